@@ -5,9 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Shape of a written date, and how to read it. A form is only tried on texts of its shape: a failed attempt costs
+# far more than the test.
 WRITTEN_FORMS = (
-    "yyyy/M/d", "M/d/yyyy", "d/M/yyyy", "M-d-yyyy", "d-M-yyyy", "yyyyMMdd", "MMM d, yyyy", "MMMM d, yyyy",
-    "d MMM yyyy", "d MMMM yyyy", "yyyy/M/d H:mm:ss", "M/d/yyyy H:mm:ss", "M/d/yyyy H:mm",
+    (r"\d{4}/\d{1,2}/\d{1,2}", ("yyyy/M/d",)),
+    (r"\d{1,2}/\d{1,2}/\d{4}", ("M/d/yyyy", "d/M/yyyy")),
+    (r"\d{1,2}-\d{1,2}-\d{4}", ("M-d-yyyy", "d-M-yyyy")),
+    (r"\d{8}", ("yyyyMMdd",)),
+    (r"\p{L}{3} \d{1,2}, \d{4}", ("MMM d, yyyy",)),
+    (r"\p{L}{4,} \d{1,2}, \d{4}", ("MMMM d, yyyy",)),
+    (r"\d{1,2} \p{L}{3} \d{4}", ("d MMM yyyy",)),
+    (r"\d{1,2} \p{L}{4,} \d{4}", ("d MMMM yyyy",)),
+    (r"\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{2}:\d{2}", ("yyyy/M/d H:mm:ss",)),
+    (r"\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}", ("M/d/yyyy H:mm:ss",)),
+    (r"\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}", ("M/d/yyyy H:mm",)),
 )
 MILLIS_ABOVE = 1e10
 SECONDS_ABOVE = 1e8
@@ -36,10 +47,13 @@ def from_epoch(value: Column, unit: str) -> Column:
 
 def from_text(value: Column) -> Column:
     """Date of a written timestamp; the date as written when a time zone follows it."""
-    iso_day = F.try_to_timestamp(F.substring(value, 1, 10), F.lit("yyyy-MM-dd"))
-    whole = F.try_to_timestamp(value)
-    forms = [F.try_to_timestamp(value, F.lit(form)) for form in WRITTEN_FORMS]
-    return F.to_date(F.coalesce(F.when(whole.isNotNull(), F.coalesce(iso_day, whole)), *forms))
+    whole = value.try_cast("timestamp")
+    iso_day = F.substring(value, 1, 10).try_cast("date")
+    branches = F.when(whole.isNotNull(), F.coalesce(iso_day, F.to_date(whole)))
+    for shape, forms in WRITTEN_FORMS:
+        read = F.coalesce(*[F.try_to_timestamp(value, F.lit(form)) for form in forms])
+        branches = branches.when(value.rlike(f"^{shape}$"), F.to_date(read))
+    return branches
 
 
 def parse_date(value: Column, unit: str = "text") -> Column:

@@ -54,6 +54,31 @@ def theme_counts(
     return found.select(F.explode(F.array_compact(F.array(*sides))).alias("theme"), "word", "mentions", "reviews")
 
 
+_EVERY = ""  # stands for "any text": a term no text contains, counted once per text
+
+
+def _vocabulary(texts: DataFrame, terms: Column, max_features: int) -> DataFrame:
+    """The ``max_features`` most frequent terms per group that occur in two or more texts, with their smooth idf
+    and the number of texts ``n``; at most ``max_features`` rows per group.
+
+    The counts of a text are made inside its row and summed on the map side. The number of texts is counted in the
+    same pass, as a term of its own that is always kept.
+    """
+    none = F.array().cast("array<struct<term:string,tf:int>>")
+    every = F.array(F.struct(F.lit(_EVERY).alias("term"), F.lit(1).alias("tf")))
+    is_every = F.col("term") == _EVERY
+    seen = (
+        texts.select("grp", F.explode(F.concat(F.coalesce(counted(terms), none), every)).alias("t"))
+        .groupBy("grp", F.col("t.term").alias("term"))
+        .agg(F.sum("t.tf").alias("total"), F.count("*").alias("df"))
+    )
+    order = [F.desc(is_every), F.desc("total"), F.asc("term")]
+    kept = top_k(seen.where((F.col("df") >= 2) | is_every), "grp", order, max_features + 1)
+    n = F.max(F.when(is_every, F.col("df"))).over(Window.partitionBy("grp"))
+    idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
+    return kept.withColumn("n", n).where((F.col("n") >= 2) & ~is_every).select("grp", "term", "n", idf.alias("idf"))
+
+
 def _weighted(
     docs: DataFrame, id_column: str, text_column: str, group: Column, top_n: int, max_features: int,
     sizes: tuple[int, int], stop_words: Sequence[str],
@@ -61,31 +86,30 @@ def _weighted(
     """Mean normalised tf-idf per term and group: smooth idf, terms in two or more texts, the ``max_features``
     most frequent of them, unit vectors, mean over all texts of the group.
 
-    Term counts of a text are made inside its row, so the first shuffle carries terms that were summed up on the
-    map side, and the second one only vocabulary terms, keyed by text to measure the vectors. The vocabulary has
-    ``max_features`` rows per group at most and is sent to the texts.
+    Two passes over the texts: one for the vocabulary, which is sent to the texts of the other one. Only vocabulary
+    terms are shuffled there, once, by text, to measure its vector.
     """
     texts = docs.where(F.col(text_column).isNotNull()).select(
         group.alias("grp"), F.col(id_column).alias("id"), F.col(text_column).alias("body")
     )
     tokens = F.filter(words(F.col("body")), lambda w: (F.length(w) >= 2) & ~w.isin(list(stop_words)))
-    rows = texts.select("grp", "id", F.explode(counted(ngrams(tokens, *sizes))).alias("t")).select(
-        "grp", "id", "t.term", "t.tf"
+    terms = ngrams(tokens, *sizes)
+    vocabulary = _vocabulary(texts, terms, max_features)
+    weights = (
+        texts.select("grp", "id", F.explode(terms).alias("term"))
+        .join(F.broadcast(vocabulary), ["grp", "term"])
+        .repartition("id")
+        .groupBy("id", "grp", "term", "n", "idf")
+        .agg((F.count("*") * F.col("idf")).alias("w"))
     )
-    seen = rows.groupBy("grp", "term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
-    kept = top_k(seen.where("df >= 2"), "grp", [F.desc("total"), F.asc("term")], max_features)
-    size = texts.groupBy("grp").agg(F.count("*").alias("n")).where("n >= 2")
-    idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
-    vocabulary = kept.join(F.broadcast(size), "grp").select("grp", "term", "n", idf.alias("idf"))
-    weights = rows.join(F.broadcast(vocabulary), ["grp", "term"]).withColumn("w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
-    terms = (
+    scores = (
         weights.select("grp", "term", "n", (F.col("w") / norm).alias("w"))
         .groupBy("grp", "term")
         .agg((F.sum("w") / F.max("n")).alias("score"))
         .withColumn("score", F.round("score", 12))
     )
-    best = top_k(terms, "grp", [F.desc("score"), F.asc("term")], top_n)
+    best = top_k(scores, "grp", [F.desc("score"), F.asc("term")], top_n)
     return best.select("grp", F.col("term").alias("keyword"), F.round("score", 6).alias("tfidf_score"))
 
 

@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinara import settings
-from opinara.operators.rollup import average, per_business, per_month, regroup, share, with_dimensions
-from opinara.plans.trends import volume_change
 from opinara.functions.dates import year_month
 from opinara.functions.numbers import percent
+from opinara.operators.rollup import average, per_business, per_month, regroup, share, with_dimensions
+from opinara.plans.trends import volume_change
+from opinara.session import durable
 from opinara.sources.warehouse import Star
 
 SCOPE = "scope"
@@ -208,7 +209,7 @@ def insights(
     """All findings, for all reviews or for each value of the review column ``by``."""
     scope = F.col(by).cast("string") if by else F.lit("all")
     reviews = star.reviews.withColumn(SCOPE, scope)
-    named = with_dimensions(per_business(reviews, SCOPE), star.businesses, star.cities, star.categories)
+    named = durable(with_dimensions(per_business(reviews, SCOPE), star.businesses, star.cities, star.categories))
     total = regroup(named, SCOPE)
     by_city = regroup(named.where("city_name IS NOT NULL"), SCOPE, "city_name").where(F.col("reviews") >= min_reviews)
     by_category = regroup(named.where("category_name IS NOT NULL"), SCOPE, "category_name").where(

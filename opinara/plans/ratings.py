@@ -1,4 +1,8 @@
-"""Ratings: totals, distribution, averages per city and category, best and worst businesses."""
+"""Ratings: totals, distribution, averages per city and category, best and worst businesses.
+
+Where sums per business are compared with a statistic of themselves they are made durable first, so the reviews are
+read once.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +13,7 @@ from opinara import settings
 from opinara.functions.numbers import flag, mean, percent
 from opinara.operators import ranking
 from opinara.operators.rollup import average, per_business, regroup, share, sums, with_dimensions
+from opinara.session import durable
 from opinara.sources.warehouse import Star
 
 MIN = settings.MIN_REVIEWS
@@ -160,7 +165,7 @@ def needs_attention(star: Star, threshold: float = settings.RATING_ALERT, min_re
 
 def above_city_average(star: Star) -> DataFrame:
     """Businesses rated above the average review of their city, both averages unrounded."""
-    rows = business_measures(star, 0, require_city=True)
+    rows = durable(business_measures(star, 0, require_city=True))
     city = rows.groupBy("city_id").agg(
         mean(F.sum("rating_sum"), F.sum("rated"), None).alias("city_avg")
     )
@@ -173,7 +178,7 @@ def above_city_average(star: Star) -> DataFrame:
 
 def business_rank(star: Star, min_reviews: int = MIN) -> DataFrame:
     """All businesses ranked by rounded average; equal averages share a rank, no rank is left out."""
-    rows = _listed(business_measures(star, min_reviews)).drop("category_name")
+    rows = durable(_listed(business_measures(star, min_reviews)).drop("category_name"))
     ranked = ranking.dense_rank_of_levels(rows, "avg_rating", "rating_rank")
     columns = ["business_id", "business_name", "city_name", "avg_rating", "review_count", "rating_rank"]
     return ranked.select(*columns).orderBy("rating_rank", "business_name", "business_id")
@@ -184,7 +189,7 @@ def rank_in_city(star: Star, min_reviews: int = MIN) -> DataFrame:
     rows = business_measures(star, min_reviews, require_city=True).select(
         "business_id", F.col("business_name").alias("name"), "city_id", "city_name", average(None).alias("_avg")
     )
-    ranked = ranking.rank_within(rows, "city_id", "_avg", "city_rank")
+    ranked = ranking.rank_within(durable(rows), "city_id", "_avg", "city_rank")
     return ranked.select("business_id", "city_name", "name", F.round("_avg", 2).alias("avg_rating"), "city_rank")
 
 
@@ -208,7 +213,7 @@ def best_city_per_category(star: Star, min_reviews: int = MIN) -> DataFrame:
     joined = with_dimensions(
         per_business(star.reviews), star.businesses, star.cities, star.categories, ("inner", "inner")
     )
-    pairs = (
+    pairs = durable(
         regroup(joined, "category_name", "city_name")
         .where(F.col("reviews") >= min_reviews)
         .select("category_name", "city_name", average(2).alias("avg_rating"), F.col("reviews").alias("review_count"))

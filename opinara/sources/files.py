@@ -54,6 +54,16 @@ def read_csv(
     return raw.select(*blanked)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt out by a unique key when a scan has fewer splits than there are cores.
+
+    For work that is heavy on the processor, such as text, over a few unsplittable files. A large input has more
+    splits than cores and stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def with_order(df: DataFrame) -> DataFrame:
     """Adds the reading order. It follows the scan's splits, so apply it directly to a read."""
     return df.withColumn(ORDER, F.monotonically_increasing_id())

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from opinara.functions import dates, text
 from opinara.operators import cleaning, complaints, profiling, sentiment, star, terms
 from opinara.plans import businesses, feedback, insights, ratings, trends, views
+from opinara.sources.files import spread
 from opinara.sources.sampling import exact_sample
 from workload import tables
-from workload.tables import canonical_reviews, rating_star, raw_reviews, read, text_reviews
+from workload.tables import canonical_reviews, plain_reviews, rating_star, raw_reviews, read, text_reviews
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +30,10 @@ def _on_text(operator: Callable[..., DataFrame], *args, **kwargs) -> Query:
     return lambda spark, folder: operator(text_reviews(spark, folder), *args, **kwargs)
 
 
+def _on_plain_text(operator: Callable[..., DataFrame], *args, **kwargs) -> Query:
+    return lambda spark, folder: operator(plain_reviews(spark, folder), *args, **kwargs)
+
+
 def _wide(query: Query) -> Query:
     """Integer columns as bigint, unrounded averages with nine decimals: what the SQL side returns."""
 
@@ -81,7 +86,7 @@ def parsed_dates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def clean_pages(spark: SparkSession, folder: str) -> DataFrame:
-    pages = read(spark, folder, "pages").select("page_id", F.col("html").alias("review_text"))
+    pages = spread(read(spark, folder, "pages"), "page_id").select("page_id", F.col("html").alias("review_text"))
     return cleaning.normalise_text(cleaning.drop_blank(pages, "review_text"), "review_text")
 
 
@@ -90,12 +95,12 @@ def cleaned(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def tagged(spark: SparkSession, folder: str) -> DataFrame:
-    rows = complaints.tag(text_reviews(spark, folder), complaints=tables.COMPLAINTS)
+    rows = complaints.tag(plain_reviews(spark, folder), complaints=tables.COMPLAINTS)
     return rows.select("review_id", F.array_join("complaint_categories", "|").alias("complaint_categories"))
 
 
 def scored(spark: SparkSession, folder: str) -> DataFrame:
-    rows = read(spark, folder, "documents").select(F.col("doc_id").alias("review_id"), F.col("text").alias("review_text"))
+    rows = plain_reviews(spark, folder).select("review_id", "review_text")
     return sentiment.score_reviews(
         rows, lexicon=tables.LEXICON, boosters=tables.BOOSTERS, negations=tables.NEGATIONS
     ).drop("review_text")
@@ -109,7 +114,7 @@ def _findings(by: str | None, *columns: str) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         data = rating_star(spark, folder)
         if by:
-            data = type(data)(**{**data.__dict__, "keywords": None})
+            data.keywords = None
         found = insights.insights(data, by=by, threshold=tables.ATTENTION)
         return found.select(*columns) if columns else found
 
@@ -187,19 +192,19 @@ def all_queries() -> dict[str, Query]:
             star.build_reviews, "review_id", "business_id", "rating", "review_date", "review_year", "review_month", "source"
         ),
         "sample_exact": lambda s, f: exact_sample(read(s, f, "documents"), 500, key="doc_id"),
-        "word_frequency": _on_text(terms.word_frequency),
+        "word_frequency": _on_plain_text(terms.word_frequency),
         "word_frequency_by_label": _on_text(terms.word_frequency_by_label),
-        "theme_counts": _on_text(terms.theme_counts, positive=tables.POSITIVE_WORDS, negative=tables.NEGATIVE_WORDS),
+        "theme_counts": _on_plain_text(terms.theme_counts, positive=tables.POSITIVE_WORDS, negative=tables.NEGATIVE_WORDS),
         "complaint_tags": tagged,
         "complaint_frequency": _on_text(complaints.frequency, complaints=tables.COMPLAINTS),
-        "complaint_frequency_all": _on_text(complaints.frequency, label_column=None, complaints=tables.COMPLAINTS),
+        "complaint_frequency_all": _on_plain_text(complaints.frequency, label_column=None, complaints=tables.COMPLAINTS),
         "busiest_businesses": _on_text(complaints.busiest, "business_name", 5),
         "business_complaints": _on_text(
             complaints.business_profile, "review_text", "business_name", top_n=5, complaints=tables.COMPLAINTS
         ),
         "keyword_rows": _on_text(complaints.keyword_rows, tables.COMPLAINTS),
         "top_complaints": _on_star(feedback.top_complaints),
-        "tfidf_keywords": _on_text(terms.tfidf_keywords),
+        "tfidf_keywords": _on_plain_text(terms.tfidf_keywords),
         "themes_by_label": _on_text(terms.themes_by_label),
         "sentiment_scores": scored,
         "insights": _findings(None, "rule_order", "type", "title"),

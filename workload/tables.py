@@ -7,12 +7,13 @@ label for their sentiment and their source for the business.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinara.operators import complaints
-from opinara.sources.files import ORDER
-from opinara.sources.warehouse import Star
+from opinara.sources.files import ORDER, spread
 
 AS_OF = "2001-11-04"
 ATTENTION = 3.0
@@ -33,68 +34,127 @@ POSITIVE_WORDS = ["the", "with", "que", "for"]
 NEGATIVE_WORDS = ["and", "der", "les", "was"]
 
 
+SCHEMAS = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+                "l_shipdate timestamp_ntz",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "pages": "page_id bigint, url string, html string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
+
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{table}.parquet")
-
-
-def rating_star(spark: SparkSession, folder: str) -> Star:
-    dated = F.when(F.col("l_linenumber") != 7, F.to_date("l_shipdate"))
-    flag = F.col("l_returnflag")
-    reviews = read(spark, folder, "lineitem").select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("review_id"),
-        F.col("l_partkey").alias("business_id"),
-        (F.lit(1) + F.pmod(F.col("l_quantity").cast("int"), F.lit(5))).cast("double").alias("rating"),
-        F.lit(None).cast("string").alias("review_text"),
-        dated.alias("review_date"),
-        F.year(dated).alias("review_year"),
-        F.month(dated).alias("review_month"),
-        F.col("l_linestatus").alias("source"),
-        F.when(flag == "N", "Positive").when(flag == "A", "Neutral").when(flag == "R", "Negative").alias(
-            "sentiment_label"
-        ),
-    )
-    parts = read(spark, folder, "part").select(
-        F.col("p_partkey").alias("business_id"),
-        F.col("p_name").alias("name"),
-        F.when(F.col("p_partkey") % 20 != 0, F.col("p_brand")).alias("city_id"),
-        F.col("p_type").alias("category_id"),
-    )
-    nations = read(spark, folder, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
-    suppliers = (
-        read(spark, folder, "supplier")
-        .join(nations, "s_nationkey")
-        .select(
-            (-1 - F.col("s_suppkey")).alias("business_id"),
-            F.col("s_name").alias("name"),
-            F.col("n_name").alias("city_id"),
-            F.lit(None).cast("string").alias("category_id"),
+    """A test table; the schema is stated, so no file is opened before the query runs."""
+    return spark.read.schema(SCHEMAS[table]).parquet(f"{folder}/{table}.parquet")
+
+
+class RatingStar:
+    """The star, each table read when a query first asks for it."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self._spark, self._folder = spark, folder
+
+    def _read(self, table: str) -> DataFrame:
+        return read(self._spark, self._folder, table)
+
+    @cached_property
+    def _part(self) -> DataFrame:
+        return self._read("part")
+
+    @cached_property
+    def _nation(self) -> DataFrame:
+        return self._read("nation")
+
+    @cached_property
+    def reviews(self) -> DataFrame:
+        dated = F.when(F.col("l_linenumber") != 7, F.to_date("l_shipdate"))
+        flag = F.col("l_returnflag")
+        return self._read("lineitem").select(
+            F.concat_ws("-", "l_orderkey", "l_linenumber").alias("review_id"),
+            F.col("l_partkey").alias("business_id"),
+            (F.lit(1) + F.pmod(F.col("l_quantity").cast("int"), F.lit(5))).cast("double").alias("rating"),
+            F.lit(None).cast("string").alias("review_text"),
+            dated.alias("review_date"),
+            F.year(dated).alias("review_year"),
+            F.month(dated).alias("review_month"),
+            F.col("l_linestatus").alias("source"),
+            F.when(flag == "N", "Positive").when(flag == "A", "Neutral").when(flag == "R", "Negative").alias(
+                "sentiment_label"
+            ),
         )
-    )
-    number = F.regexp_extract("p_brand", "[0-9]+", 0).cast("double")
-    brands = read(spark, folder, "part").select("p_brand").distinct().select(
-        F.col("p_brand").alias("city_id"),
-        F.col("p_brand").alias("city_name"),
-        F.when(number % 5 != 0, number).alias("latitude"),
-        (-number).alias("longitude"),
-    )
-    places = nations.select(
-        F.col("n_name").alias("city_id"), F.col("n_name").alias("city_name"),
-        F.lit(None).cast("double").alias("latitude"), F.lit(None).cast("double").alias("longitude"),
-    )
-    categories = read(spark, folder, "part").select(F.col("p_type").alias("category_id")).distinct()
-    return Star(
-        cities=brands.unionByName(places),
-        categories=categories.withColumn("category_name", F.col("category_id")),
-        businesses=parts.unionByName(suppliers),
-        reviews=reviews,
-        keywords=complaints.keyword_rows(text_reviews(spark, folder), COMPLAINTS),
+
+    @cached_property
+    def businesses(self) -> DataFrame:
+        parts = self._part.select(
+            F.col("p_partkey").alias("business_id"),
+            F.col("p_name").alias("name"),
+            F.when(F.col("p_partkey") % 20 != 0, F.col("p_brand")).alias("city_id"),
+            F.col("p_type").alias("category_id"),
+        )
+        suppliers = (
+            self._read("supplier")
+            .join(self._nation, F.col("s_nationkey") == F.col("n_nationkey"))
+            .select(
+                (-1 - F.col("s_suppkey")).alias("business_id"),
+                F.col("s_name").alias("name"),
+                F.col("n_name").alias("city_id"),
+                F.lit(None).cast("string").alias("category_id"),
+            )
+        )
+        return parts.unionByName(suppliers)
+
+    @cached_property
+    def cities(self) -> DataFrame:
+        number = F.regexp_extract("p_brand", "[0-9]+", 0).cast("double")
+        brands = self._part.select("p_brand").distinct().select(
+            F.col("p_brand").alias("city_id"),
+            F.col("p_brand").alias("city_name"),
+            F.when(number % 5 != 0, number).alias("latitude"),
+            (-number).alias("longitude"),
+        )
+        nowhere = F.lit(None).cast("double")
+        places = self._nation.select(
+            F.col("n_name").alias("city_id"), F.col("n_name").alias("city_name"),
+            nowhere.alias("latitude"), nowhere.alias("longitude"),
+        )
+        return brands.unionByName(places)
+
+    @cached_property
+    def categories(self) -> DataFrame:
+        kinds = self._part.select(F.col("p_type").alias("category_id")).distinct()
+        return kinds.withColumn("category_name", F.col("category_id"))
+
+    @cached_property
+    def keywords(self) -> DataFrame:
+        return complaints.keyword_rows(text_reviews(self._spark, self._folder), COMPLAINTS)
+
+
+def rating_star(spark: SparkSession, folder: str) -> RatingStar:
+    return RatingStar(spark, folder)
+
+
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(read(spark, folder, "documents"), "doc_id")
+
+
+def plain_reviews(spark: SparkSession, folder: str) -> DataFrame:
+    return documents(spark, folder).select(
+        F.col("doc_id").alias("review_id"), F.col("text").alias("review_text"), F.col("source").alias("business_name")
     )
 
 
 def text_reviews(spark: SparkSession, folder: str) -> DataFrame:
     quality = read(spark, folder, "labels").select("doc_id", "quality")
     return (
-        read(spark, folder, "documents")
+        documents(spark, folder)
         .join(quality, "doc_id", "left")
         .select(
             F.col("doc_id").alias("review_id"),
@@ -113,7 +173,7 @@ def raw_reviews(spark: SparkSession, folder: str) -> DataFrame:
     text = F.replace(F.col("text"), F.lit("é"), F.lit("e\u0301"))
     text = F.replace(text, F.lit(". "), F.lit(".\u00a0<br/>\u2019\t "))
     day = F.date_add(F.lit("2020-01-01").cast("date"), (n % 1000).cast("int"))
-    return read(spark, folder, "documents").select(
+    return documents(spark, folder).select(
         F.when(n % 11 == 0, "abc").when(n % 11 == 1, "0.5").when(n % 11 == 2, "6").when(n % 11 == 3, None)
         .otherwise((n % 5 + 1).cast("string")).alias("stars"),
         F.when(n % 13 == 0, F.lit("\u00a0\t ")).otherwise(text).alias("text"),
