@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from opinara.functions.dates import year_month
 from opinara.functions.numbers import rating_band
 from opinara.operators.rollup import average, per_business, per_month, regroup, share
+from opinara.sources.sampling import draw
 from opinara.sources.warehouse import Star
 
 
@@ -93,13 +94,14 @@ def sample_reviews(
     star: Star, sentiment: str | None = None, business_name: str | None = None, city_name: str | None = None,
     limit: int = 20, seed: int | None = None,
 ) -> DataFrame:
-    """A few random reviews that meet all conditions given. The draw happens on the review's own columns; the
-    names are joined to the drawn rows where no condition needs them earlier."""
-    wanted = {"sentiment_label": sentiment}
+    """A few random reviews that meet all conditions given, always the same ones for a seed.
+
+    The draw happens on the review's own columns, every task keeping ``limit`` rows; the names are joined to the
+    drawn rows.
+    """
     rows = star.reviews
-    for column, value in wanted.items():
-        if value:
-            rows = rows.where(F.col(column) == value)
+    if sentiment:
+        rows = rows.where(F.col("sentiment_label") == sentiment)
     businesses = star.businesses.join(star.cities.select("city_id", "city_name"), "city_id", "left").select(
         "business_id", F.col("name").alias("business_name"), "city_name"
     )
@@ -108,7 +110,7 @@ def sample_reviews(
             businesses = businesses.where(F.col(column) == value)
     if business_name or city_name:
         rows = rows.join(businesses.select("business_id"), "business_id", "left_semi")
-    drawn = rows.orderBy(F.rand(seed) if seed is not None else F.rand()).limit(limit)
+    drawn = rows.orderBy(F.rand() if seed is None else draw(F.col("review_id"), seed)).limit(limit)
     return drawn.join(businesses, "business_id").select(
         "business_name", "city_name", "rating", "sentiment_label", "review_text", "review_date"
     )

@@ -1,4 +1,4 @@
-"""Samples of an exact size."""
+"""Samples of an exact size, the same on every run and for every partitioning."""
 
 from __future__ import annotations
 
@@ -7,17 +7,20 @@ from pyspark.sql import functions as F
 
 from opinara import settings
 
-_BUCKET_BITS = 16
+_DIGITS = 4  # hex digits per histogram: 65,536 buckets
 
 
-def _boundary(counts: DataFrame, wanted: Column) -> DataFrame:
-    """The bucket in which the ``wanted``-th row falls, and how many rows come before it."""
-    running = F.sum("rows").over(Window.orderBy("bucket"))
-    return (
-        counts.select("bucket", running.alias("upto"), (running - F.col("rows")).alias("before"))
-        .where(F.col("upto") >= wanted)
-        .agg(F.min_by("bucket", "bucket").alias("bucket"), F.min_by("before", "bucket").alias("before"))
-    )
+def draw(key: Column, seed: int) -> Column:
+    """A random-looking text per key and seed; the rows with the smallest ones are a random sample."""
+    return F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed))))
+
+
+def _boundary(rows: DataFrame, bucket: str, wanted: int) -> tuple[str, int]:
+    """The bucket in which the ``wanted``-th row falls, and how many rows come before that bucket."""
+    running = F.sum("rows").over(Window.orderBy(bucket))
+    counts = rows.groupBy(bucket).agg(F.count("*").alias("rows")).withColumn("upto", running)
+    first = counts.where(F.col("upto") >= wanted).agg(F.min(F.struct(bucket, F.col("upto") - F.col("rows")))).first()[0]
+    return first[0], first[1]
 
 
 def exact_sample(
@@ -25,29 +28,19 @@ def exact_sample(
 ) -> DataFrame:
     """``n`` rows without replacement, or all rows when there are no more than that.
 
-    Rows are drawn by the hash of a unique key (the reading order when none is named): the sample is the rows
-    with the ``n`` smallest hashes. Two histograms of at most 65,536 buckets each locate the cut, so nothing
-    but the rows that share the cut's 32 hash bits is ever sorted.
+    Rows are drawn by a digest of a unique key (the reading order when none is named): the sample is the rows with
+    the ``n`` smallest digests. Two histograms of at most 65,536 buckets locate the cut, so nothing but the rows
+    that share the first eight digits with the cut is ever sorted.
     """
     id_column = F.col(key) if key else F.monotonically_increasing_id()
-    mask = (1 << _BUCKET_BITS) - 1
-    draw = F.xxhash64(id_column, F.lit(seed))
-    rows = df.withColumns({"_draw": draw, "_key": id_column}).withColumns(
-        {
-            "_high": F.shiftrightunsigned("_draw", 64 - _BUCKET_BITS),
-            "_low": F.shiftrightunsigned("_draw", 64 - 2 * _BUCKET_BITS).bitwiseAND(F.lit(mask)),
-        }
+    rows = df.withColumn("_draw", draw(id_column, seed)).withColumns(
+        {"_high": F.substring("_draw", 1, _DIGITS), "_low": F.substring("_draw", 1 + _DIGITS, _DIGITS)}
     )
-    if rows.select(F.count("*") <= n).first()[0]:
+    if rows.agg(F.count("*")).first()[0] <= n:
         return df
-    first = _boundary(rows.groupBy(F.col("_high").alias("bucket")).agg(F.count("*").alias("rows")), F.lit(n)).first()
-    inside = rows.where(F.col("_high") == first["bucket"])
-    second = _boundary(
-        inside.groupBy(F.col("_low").alias("bucket")).agg(F.count("*").alias("rows")), F.lit(n - first["before"])
-    ).first()
-    left = n - first["before"] - second["before"]
-    sure = rows.where(
-        (F.col("_high") < first["bucket"]) | ((F.col("_high") == first["bucket"]) & (F.col("_low") < second["bucket"]))
-    )
-    edge = inside.where(F.col("_low") == second["bucket"]).orderBy("_draw", "_key").limit(left)
+    high, before = _boundary(rows, "_high", n)
+    inside = rows.where(F.col("_high") == high)
+    low, more = _boundary(inside, "_low", n - before)
+    sure = rows.where((F.col("_high") < high) | ((F.col("_high") == high) & (F.col("_low") < low)))
+    edge = inside.where(F.col("_low") == low).orderBy("_draw").limit(n - before - more)
     return sure.unionByName(edge).select(*df.columns)

@@ -4,98 +4,10 @@ from __future__ import annotations
 
 from opinara import settings
 from workload import tables
-
-WORD = r"[\p{L}\p{N}_]"
-NOT_WORD = r"[^\p{L}\p{N}_]"
-SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-CASED = r"\p{Lu}\p{Ll}\p{Lt}"
-
-
-def q(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
-def texts(values) -> str:
-    return "(" + ", ".join(q(v) for v in values) + ")"
-
-
-def rows(values) -> str:
-    return ", ".join("(" + ", ".join(q(v) if isinstance(v, str) else repr(v) for v in row) + ")" for row in values)
-
-
-def rnd(value: str, digits: int) -> str:
-    """Half-up on the decimal digits of a double."""
-    return f"CAST(round(CAST({value} AS DECIMAL(38,15)), {digits}) AS DOUBLE)"
-
-
-def avg(digits: int | None, value: str = "r.rating") -> str:
-    mean = f"avg({value})"
-    return rnd(mean, digits) if digits is not None else rnd(mean, 9)
-
-
-def pct(label: str, digits: int | None, count: str = "count(*)") -> str:
-    share = f"100.0::DOUBLE * sum(CASE WHEN r.sentiment_label = '{label}' THEN 1 ELSE 0 END) / nullif({count}, 0)"
-    return rnd(share, 9 if digits is None else digits)
-
-
-REVIEWS = """
-reviews AS (
-  SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS review_id, l_partkey AS business_id,
-         CAST(1 + (CAST(trunc(l_quantity) AS BIGINT) % 5) AS DOUBLE) AS rating,
-         CASE WHEN l_linenumber <> 7 THEN CAST(l_shipdate AS DATE) END AS review_date,
-         CASE WHEN l_linenumber <> 7 THEN CAST(year(l_shipdate) AS BIGINT) END AS review_year,
-         CASE WHEN l_linenumber <> 7 THEN CAST(month(l_shipdate) AS BIGINT) END AS review_month,
-         l_linestatus AS source,
-         CASE l_returnflag WHEN 'N' THEN 'Positive' WHEN 'A' THEN 'Neutral' WHEN 'R' THEN 'Negative' END AS sentiment_label
-  FROM lineitem),
-businesses AS (
-  SELECT p_partkey AS business_id, p_name AS name, CASE WHEN p_partkey % 20 <> 0 THEN p_brand END AS city_id,
-         p_type AS category_id FROM part
-  UNION ALL
-  SELECT -1 - s_suppkey, s_name, n_name, NULL FROM supplier JOIN nation ON s_nationkey = n_nationkey),
-cities AS (
-  SELECT DISTINCT p_brand AS city_id, p_brand AS city_name,
-         CASE WHEN CAST(regexp_extract(p_brand, '[0-9]+') AS INTEGER) % 5 <> 0
-              THEN CAST(regexp_extract(p_brand, '[0-9]+') AS DOUBLE) END AS latitude,
-         -CAST(regexp_extract(p_brand, '[0-9]+') AS DOUBLE) AS longitude FROM part
-  UNION ALL
-  SELECT n_name, n_name, NULL, NULL FROM nation),
-categories AS (SELECT DISTINCT p_type AS category_id, p_type AS category_name FROM part)"""
-
-TEXT_REVIEWS = """
-text_reviews AS (
-  SELECT d.doc_id AS review_id, d.text AS review_text, d.source AS business_name,
-         CASE l.quality WHEN 1 THEN 'Positive' WHEN 0 THEN 'Negative' ELSE 'Neutral' END AS sentiment_label
-  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
-
-YM = "printf('%04d-%02d', r.review_year, r.review_month)"
-CHAIN = "reviews r JOIN businesses b ON r.business_id = b.business_id"
-CITY = f"{CHAIN} JOIN cities c ON b.city_id = c.city_id"
-CATEGORY = f"{CHAIN} JOIN categories g ON b.category_id = g.category_id"
-WIDE = f"{CHAIN} LEFT JOIN cities c ON b.city_id = c.city_id LEFT JOIN categories g ON b.category_id = g.category_id"
-MIN = settings.MIN_REVIEWS
-
-
-def star(sql: str, *more: str) -> str:
-    return "WITH " + ",".join([REVIEWS, *more]) + "\n" + sql
-
-
-def pattern(phrases) -> str:
-    return f"(^|{NOT_WORD})({'|'.join(phrases)})({NOT_WORD}|$)"
-
-
-def mentions(where: str = "WHERE sentiment_label = 'Negative'") -> str:
-    parts = [
-        f"SELECT review_id, business_name, {q(name)} AS category, {i} AS pos FROM text_reviews "
-        f"WHERE regexp_matches(lower(review_text), {q(pattern(phrases))})"
-        for i, (name, phrases) in enumerate(tables.COMPLAINTS.items())
-    ]
-    source = f"(SELECT * FROM text_reviews {where})"
-    return "mentions AS (" + " UNION ALL ".join(p.replace("FROM text_reviews", f"FROM {source}") for p in parts) + ")"
-
-
-def of_text(sql: str, *more: str) -> str:
-    return "WITH " + ",".join([TEXT_REVIEWS, *more]) + "\n" + sql
+from workload.insight_sql import insights_sql
+from workload.sqltext import (
+    CASED, CATEGORY, CHAIN, CITY, MIN, SPACE, WIDE, WORD, YM, avg, mentions, of_text, pct, q, rnd, rows, star, texts,
+)
 
 
 def listed(measure: str, tail: str, having: str = "") -> str:
@@ -203,7 +115,7 @@ SHOWN = f"coalesce(regexp_replace(text, '{SPACE}', '', 'g'), '') <> ''"
 DAY = "CAST(coalesce(try_strptime(date, '%Y-%m-%d'), try_strptime(date, '%m/%d/%Y')) AS DATE)"
 
 CANONICAL = """rows AS (
-  SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS review_id,
+  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS review_id,
          CAST(1 + (CAST(trunc(l_quantity) AS BIGINT) % 5) AS DOUBLE) AS rating, p_name AS name,
          CASE WHEN p_partkey % 20 <> 0 THEN p_brand END AS city, p_type AS category,
          CASE WHEN l_linenumber <> 7 THEN CAST(l_shipdate AS DATE) END AS day, p_size, p_partkey
@@ -266,42 +178,6 @@ SELECT *, CASE WHEN sentiment_compound >= 0.05 THEN 'Positive' WHEN sentiment_co
                ELSE 'Neutral' END AS sentiment_label FROM scores"""
 
 
-def insight_parts() -> str:
-    """Type and title of each finding over all reviews."""
-    return ",".join(
-        [
-            f"kpi AS (SELECT {pct('Positive', 1)} AS p, {pct('Negative', 1)} AS n, {avg(3)} AS a FROM reviews r)",
-            f"""low AS (SELECT r.business_id FROM {CHAIN} GROUP BY r.business_id
-                HAVING count(*) >= {MIN} AND {avg(2)} < {tables.ATTENTION})""",
-            f"""per_city AS (SELECT c.city_name, {avg(2)} AS a FROM {CITY} GROUP BY c.city_name HAVING count(*) >= {MIN})""",
-            f"""per_category AS (SELECT g.category_name, {avg(2)} AS a FROM {CATEGORY} GROUP BY g.category_name
-                HAVING count(*) >= {MIN})""",
-            MONTHS,
-            """trend AS (SELECT 100 * (avg(review_count) FILTER (late <= 3) - avg(review_count) FILTER (early <= 3))
-                       / avg(review_count) FILTER (early <= 3) AS change FROM (
-              SELECT *, row_number() OVER (ORDER BY year_month) AS early,
-                     row_number() OVER (ORDER BY year_month DESC) AS late FROM months) HAVING count(*) >= 3)""",
-        ]
-    )
-
-
-INSIGHTS = """
-SELECT CAST(1 AS BIGINT) AS rule_order, CASE WHEN p >= 70 THEN 'success' WHEN n >= 30 THEN 'critical' ELSE 'warning' END AS type,
-       CASE WHEN p >= 70 THEN 'Strong Positive Sentiment' WHEN n >= 30 THEN 'High Negative Sentiment Alert'
-            ELSE 'Elevated Negative Feedback' END AS title FROM kpi WHERE p >= 70 OR n >= 20
-UNION ALL SELECT 2, CASE WHEN count(*) > 5 THEN 'critical' ELSE 'warning' END,
-       CAST(count(*) AS VARCHAR) || ' Business' || CASE WHEN count(*) > 1 THEN 'es' ELSE '' END || ' Need Attention'
-       FROM low HAVING count(*) > 0
-UNION ALL SELECT 3, 'warning', 'Cities Below National Average' WHERE EXISTS (SELECT 1 FROM per_city, kpi WHERE per_city.a < kpi.a - 0.3)
-UNION ALL SELECT 4, 'success', 'Top Performing Cities' WHERE EXISTS (SELECT 1 FROM per_city, kpi WHERE per_city.a > kpi.a + 0.3)
-UNION ALL SELECT * FROM (SELECT 5, 'warning', 'Top Complaint: ' || category FROM mentions GROUP BY category
-                         ORDER BY count(*) DESC, category LIMIT 1)
-UNION ALL SELECT * FROM (SELECT 6, 'info', category_name || ' Outperforms Others' FROM per_category
-                         WHERE (SELECT count(*) FROM per_category) >= 2 ORDER BY a DESC, category_name LIMIT 1)
-UNION ALL SELECT 7, CASE WHEN change > 0 THEN 'success' ELSE 'warning' END,
-       CASE WHEN change > 0 THEN 'Growing Review Volume' ELSE 'Declining Review Activity' END FROM trend WHERE abs(change) > 20"""
-
-
 def all_oracles() -> dict[str, str]:
     month_filter = "WHERE review_year IS NOT NULL AND review_month IS NOT NULL GROUP BY review_year, review_month"
     built_business = f"""SELECT {BUSINESS_KEY} AS business_id, CAST(p_partkey AS VARCHAR) AS external_id, name,
@@ -595,5 +471,14 @@ def all_oracles() -> dict[str, str]:
             weighted("sentiment_label", "WHERE sentiment_label IN ('Positive', 'Negative')"),
         ),
         "sentiment_scores": sentiment_sql(),
-        "insights": "WITH " + ",".join([REVIEWS, insight_parts(), TEXT_REVIEWS, mentions()]) + INSIGHTS,
+        "insights": insights_sql(),
+        "insights_by_source": insights_sql("r.source", False),
+        "recommendations": f"SELECT scope, rule_order, action FROM ({insights_sql()})",
+        "sample_exact": "SELECT * FROM documents ORDER BY md5(CAST(doc_id AS VARCHAR) || ':42') LIMIT 500",
+        "sample_reviews": star(
+            """SELECT b.name AS business_name, c.city_name, r.rating, r.sentiment_label,
+            CAST(NULL AS VARCHAR) AS review_text, r.review_date FROM reviews r
+            JOIN businesses b ON r.business_id = b.business_id JOIN cities c ON b.city_id = c.city_id
+            WHERE r.sentiment_label = 'Negative' AND c.city_name = 'Brand#7' ORDER BY md5(review_id || ':7') LIMIT 20"""
+        ),
     }

@@ -110,13 +110,12 @@ def _built(build: Callable[[DataFrame], DataFrame], *columns: str) -> Query:
     return lambda spark, folder: build(canonical_reviews(spark, folder)).select(*columns)
 
 
-def _findings(by: str | None, *columns: str) -> Query:
+def _findings(by: str | None) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         data = rating_star(spark, folder)
         if by:
             data.keywords = None
-        found = insights.insights(data, by=by, threshold=tables.ATTENTION)
-        return found.select(*columns) if columns else found
+        return insights.insights(data, by=by, threshold=tables.ATTENTION)
 
     return run
 
@@ -207,7 +206,7 @@ def all_queries() -> dict[str, Query]:
         "tfidf_keywords": _on_plain_text(terms.tfidf_keywords),
         "themes_by_label": _on_text(terms.themes_by_label),
         "sentiment_scores": scored,
-        "insights": _findings(None, "rule_order", "type", "title"),
+        "insights": _findings(None),
         "insights_by_source": _findings("source"),
         "recommendations": lambda s, f: insights.recommendations(_findings(None)(s, f)),
     }

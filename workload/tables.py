@@ -56,6 +56,9 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[table]).parquet(f"{folder}/{table}.parquet")
 
 
+LINE_ID = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
 class RatingStar:
     """The star, each table read when a query first asks for it."""
 
@@ -78,7 +81,7 @@ class RatingStar:
         dated = F.when(F.col("l_linenumber") != 7, F.to_date("l_shipdate"))
         flag = F.col("l_returnflag")
         return self._read("lineitem").select(
-            F.concat_ws("-", "l_orderkey", "l_linenumber").alias("review_id"),
+            F.concat_ws("-", *LINE_ID).alias("review_id"),
             F.col("l_partkey").alias("business_id"),
             (F.lit(1) + F.pmod(F.col("l_quantity").cast("int"), F.lit(5))).cast("double").alias("rating"),
             F.lit(None).cast("string").alias("review_text"),
@@ -193,7 +196,7 @@ def canonical_reviews(spark: SparkSession, folder: str) -> DataFrame:
         read(spark, folder, "lineitem")
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
         .select(
-            F.concat_ws("-", "l_orderkey", "l_linenumber").alias("review_id"),
+            F.concat_ws("-", *LINE_ID).alias("review_id"),
             (F.lit(1) + F.pmod(F.col("l_quantity").cast("int"), F.lit(5))).cast("double").alias("rating"),
             F.lit(None).cast("string").alias("review_text"),
             F.col("p_name").alias("business_name"),
