@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from statistics import median
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,16 +30,17 @@ UNIT_SAMPLE = 100
 
 def detect_unit(df: DataFrame, column: str) -> str:
     """``ms``, ``s`` or ``ns`` for a column of epoch numbers, ``text`` otherwise, from 100 present values."""
-    sample = df.select(F.col(column).cast("string").alias("v")).where("v IS NOT NULL").limit(UNIT_SAMPLE)
-    number = F.col("v").try_cast("double")
-    seen = sample.agg(
-        F.count("v").alias("present"), F.count(number).alias("numeric"), F.median(number).alias("middle")
-    ).first()
-    if not seen["present"] or seen["numeric"] < seen["present"]:
+    present = df.select(F.col(column).cast("string").alias("v")).where("v IS NOT NULL").take(UNIT_SAMPLE)
+    try:
+        numbers = [x for x in (float(row["v"]) for row in present) if not math.isnan(x)]
+    except ValueError:
+        return "text"
+    if not numbers:
         return "text"
-    if seen["middle"] > MILLIS_ABOVE:
+    middle = median(numbers)
+    if middle > MILLIS_ABOVE:
         return "ms"
-    return "s" if seen["middle"] > SECONDS_ABOVE else "ns"
+    return "s" if middle > SECONDS_ABOVE else "ns"
 
 
 def from_epoch(value: Column, unit: str) -> Column:

@@ -52,7 +52,7 @@ def counted(terms: Column) -> Column:
             F.sequence(F.lit(0), size - 1),
             lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)),
         )
-        return bind(
+        measured = bind(
             starts,
             lambda s: F.zip_with(
                 s,
@@ -60,8 +60,9 @@ def counted(terms: Column) -> Column:
                 lambda a, b: F.struct(F.get(ordered, a).alias("term"), (b - a).alias("tf")),
             ),
         )
+        return F.when(size > 0, measured)
 
-    return F.when(F.size(terms) > 0, bind(F.sort_array(terms), runs))
+    return bind(F.sort_array(terms), runs)
 
 
 def dictionary(entries: Mapping[str, float]) -> Callable[[Column], Column]:

@@ -82,7 +82,7 @@ def parsed_dates(spark: SparkSession, folder: str) -> DataFrame:
         seconds.alias("s"), (seconds * 1000).alias("ms"), F.col("o_orderpriority").alias("none"),
     )
     units = {c: dates.detect_unit(raw, c) for c in ("iso", "us", "written", "zoned", "s", "ms", "none")}
-    return raw.select("o_orderkey", *[dates.parse_date(F.col(c), u).alias(f"{c}_date") for c, u in units.items()])
+    return spread(raw, "o_orderkey").select("o_orderkey", *[dates.parse_date(F.col(c), u).alias(f"{c}_date") for c, u in units.items()])
 
 
 def clean_pages(spark: SparkSession, folder: str) -> DataFrame:
