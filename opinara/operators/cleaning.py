@@ -83,6 +83,9 @@ def clean(raw: DataFrame, platform: str = settings.DEFAULT_SOURCE, date_unit: st
         rows = standardise_city(rows, roles["city"])
     if roles["date"]:
         rows = parse_dates(rows, roles["date"], unit)
+    for place in ("latitude", "longitude"):
+        if roles[place]:
+            rows = rows.withColumn(roles[place], numbers.to_number(F.col(roles[place])))
     return fill_unknown(rows)
 
 
@@ -114,7 +117,7 @@ def audit(raw: DataFrame, platform: str = settings.DEFAULT_SOURCE, date_unit: st
         city = F.col(roles["city"])
         counts["cities_before"] = F.count_distinct(F.when(kept_now, city))
         counts["cities_after"] = F.count_distinct(F.when(kept_now, text.standard_city(city)))
-    keyed = {roles["rating"], roles["date"], roles["city"], roles["review_text"]}
+    keyed = {roles[r] for r in ("rating", "date", "city", "review_text", "latitude", "longitude")}
     for field in raw.schema.fields:
         if field.dataType.typeName() == "string" and field.name not in keyed:
             counts[f"filled_{field.name}"] = total(kept_now & F.col(f"`{field.name}`").isNull())

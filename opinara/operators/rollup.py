@@ -6,8 +6,6 @@ those few rows, and coarser results add the sums up again. Averages and shares a
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +35,9 @@ def per_month(reviews: DataFrame, *extra: str) -> DataFrame:
 
 
 def regroup(partial: DataFrame, *keys: str | Column) -> DataFrame:
-    """Adds partial sums up to coarser keys; ``businesses`` counts the rows added."""
-    return partial.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in SUMS], F.count("*").alias("businesses"))
+    """Adds partial sums up to coarser keys. ``businesses`` counts the businesses behind them."""
+    businesses = F.sum("businesses") if "businesses" in partial.columns else F.count("*")
+    return partial.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in SUMS], businesses.alias("businesses"))
 
 
 def average(digits: int | None = 2) -> Column:
@@ -49,16 +48,19 @@ def share(label: str, digits: int | None = 1) -> Column:
     return percent(F.col(label), F.col("reviews"), digits)
 
 
-def with_dimensions(
-    partial: DataFrame, businesses: DataFrame, cities: DataFrame | None = None, categories: DataFrame | None = None,
-    how: Sequence[str] = ("left", "left"),
-) -> DataFrame:
-    """Per-business sums with name, city and category. Join strategies are left to the sizes Spark sees."""
-    joined = partial.join(
+def named(partial: DataFrame, businesses: DataFrame) -> DataFrame:
+    """Per-business sums with the business's name and dimension keys."""
+    return partial.join(
         businesses.select("business_id", F.col("name").alias("business_name"), "city_id", "category_id"), "business_id"
     )
-    if cities is not None:
-        joined = joined.join(cities.select("city_id", "city_name"), "city_id", how[0])
-    if categories is not None:
-        joined = joined.join(categories.select("category_id", "category_name"), "category_id", how[1])
-    return joined
+
+
+def add_names(rows: DataFrame, dimension: DataFrame, key: str, name: str, how: str = "inner") -> DataFrame:
+    """Dimension names by key. How the join is run is left to the sizes Spark sees."""
+    return rows.join(dimension.select(key, name), key, how)
+
+
+def by_name(rows: DataFrame, dimension: DataFrame, key: str, name: str, *keys: str) -> DataFrame:
+    """Sums per dimension name. They are added up per key first: a city with most of the businesses is one row by
+    the time it meets its name."""
+    return regroup(add_names(regroup(rows.where(F.col(key).isNotNull()), *keys, key), dimension, key, name), *keys, name)

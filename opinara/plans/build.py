@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,10 +15,13 @@ from opinara.sources.roles import canonical
 
 def prepare(
     raw: DataFrame, platform: str = settings.DEFAULT_SOURCE, sample_rows: int | None = None,
-    dictionaries: dict | None = None,
+    dictionaries: dict | None = None, numeric: Sequence[str] | None = settings.NUMERIC_COLUMNS,
 ) -> DataFrame:
-    """Clean, canonical and scored reviews of one platform, as one lazy plan."""
-    rows = files.with_order(files.with_numbers(raw))
+    """Clean, canonical and scored reviews of one platform, as one plan.
+
+    ``numeric`` names further number columns of the raw file; None finds them out, in one more pass over it.
+    """
+    rows = files.with_order(files.with_numbers(raw, numeric))
     if sample_rows:
         rows = sampling.exact_sample(rows, sample_rows, key=files.ORDER)
     cleaned = canonical(cleaning.clean(rows, platform), platform)
@@ -28,7 +31,7 @@ def prepare(
 def store(rows: DataFrame, location: str, complaint_words: Mapping | None = None) -> None:
     """Writes the five tables. Reviews and mentions are replaced, new dimension rows are added.
 
-    Reviews go first; what follows reads the stored reviews' columns instead of cleaning and scoring again.
+    The prepared rows are written once and read by all five, so nothing is cleaned or scored twice.
     """
     spark = rows.sparkSession
     staged = f"{location}/_staged_reviews"
@@ -56,6 +59,6 @@ def build(
     if not is_ready(spark, location):
         raw = files.read_csv(spark, files.find_csv(spark, raw_folder, preferred))
         if audit_path:
-            files.write_json(cleaning.audit(files.with_numbers(raw), platform), audit_path)
+            files.write_json(cleaning.audit(files.with_numbers(raw, settings.NUMERIC_COLUMNS), platform), audit_path)
         store(prepare(raw, platform, sample_rows), location)
     return warehouse.read_star(spark, location)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from opinara import settings
 from opinara.functions.dates import year_month
 from opinara.functions.numbers import percent
-from opinara.operators.rollup import average, per_business, per_month, regroup, share, with_dimensions
+from opinara.operators.rollup import average, by_name, named, per_business, per_month, regroup, share
 from opinara.plans.trends import volume_change
 from opinara.session import durable
 from opinara.sources.warehouse import Star
@@ -209,13 +209,12 @@ def insights(
     """All findings, for all reviews or for each value of the review column ``by``."""
     scope = F.col(by).cast("string") if by else F.lit("all")
     reviews = star.reviews.withColumn(SCOPE, scope)
-    named = durable(with_dimensions(per_business(reviews, SCOPE), star.businesses, star.cities, star.categories))
-    total = regroup(named, SCOPE)
-    by_city = regroup(named.where("city_name IS NOT NULL"), SCOPE, "city_name").where(F.col("reviews") >= min_reviews)
-    by_category = regroup(named.where("category_name IS NOT NULL"), SCOPE, "category_name").where(
-        F.col("reviews") >= min_reviews
-    )
-    low = named.where((F.col("reviews") >= min_reviews) & (average(2) < threshold))
+    rows = durable(named(per_business(reviews, SCOPE), star.businesses))
+    total = regroup(rows, SCOPE)
+    frequent = F.col("reviews") >= min_reviews
+    by_city = by_name(rows, star.cities, "city_id", "city_name", SCOPE).where(frequent)
+    by_category = by_name(rows, star.categories, "category_id", "category_name", SCOPE).where(frequent)
+    low = rows.where(frequent & (average(2) < threshold))
     rated = [average(2).alias("avg_rating"), F.col("reviews").alias("review_count")]
     months = (
         per_month(reviews, SCOPE)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from opinara import settings
 from opinara.functions.numbers import flag, mean, percent
 from opinara.operators import ranking
-from opinara.operators.rollup import average, per_business, regroup, share, sums, with_dimensions
+from opinara.operators.rollup import add_names, average, by_name, named, per_business, regroup, share, sums
 from opinara.session import durable
 from opinara.sources.warehouse import Star
 
@@ -70,9 +70,10 @@ def sentiment_counts(star: Star, digits: int | None = 2, labelled_only: bool = F
 
 
 def _by_dimension(star: Star, name: str) -> DataFrame:
-    cities, categories = (star.cities, None) if name == "city_name" else (None, star.categories)
-    joined = with_dimensions(per_business(star.reviews), star.businesses, cities, categories, ("inner", "inner"))
-    return regroup(joined, name)
+    rows = named(per_business(star.reviews), star.businesses)
+    if name == "city_name":
+        return by_name(rows, star.cities, "city_id", name)
+    return by_name(rows, star.categories, "category_id", name)
 
 
 def _average_by(star: Star, name: str, min_reviews: int, limit: int | None) -> DataFrame:
@@ -123,85 +124,94 @@ def positive_share_by_category(star: Star, min_reviews: int = 10) -> DataFrame:
     )
 
 
-def business_measures(star: Star, min_reviews: int, require_city: bool = False) -> DataFrame:
-    """Sums per business with at least ``min_reviews`` reviews, with names. The filter runs before the joins."""
-    frequent = per_business(star.reviews).where(F.col("reviews") >= min_reviews)
-    return with_dimensions(
-        frequent, star.businesses, star.cities, star.categories, ("inner" if require_city else "left", "left")
-    )
+def _with_places(rows: DataFrame, star: Star, city: str = "left") -> DataFrame:
+    placed = add_names(rows, star.cities, "city_id", "city_name", city)
+    return add_names(placed, star.categories, "category_id", "category_name", "left")
+
+
+def business_measures(star: Star, min_reviews: int) -> DataFrame:
+    """Sums per business with at least ``min_reviews`` reviews, with its name. The filter runs before the join."""
+    return named(per_business(star.reviews).where(F.col("reviews") >= min_reviews), star.businesses)
 
 
 def _listed(rows: DataFrame, *measures: Column) -> DataFrame:
     return rows.select(
-        "business_id", "business_name", "city_name", "category_name", average(2).alias("avg_rating"),
+        "business_id", "business_name", "city_id", "category_id", average(2).alias("avg_rating"),
         F.col("reviews").alias("review_count"), *measures,
     )
 
 
+_LIST = ["business_id", "business_name", "city_name", "category_name", "avg_rating", "review_count"]
+
+
+def _first(rows: DataFrame, star: Star, n: int, order: list[Column], *measures: str) -> DataFrame:
+    """The first ``n`` businesses; only those are joined to their city and category."""
+    return _with_places(rows.orderBy(*order).limit(n), star).select(*_LIST, *measures).orderBy(*order)
+
+
 def top_businesses(star: Star, n: int = 10, min_reviews: int = MIN) -> DataFrame:
     rows = _listed(business_measures(star, min_reviews), share("positive").alias("positive_pct"))
     order = [F.desc("avg_rating"), F.desc("review_count"), F.asc("business_name"), F.asc("business_id")]
-    return rows.orderBy(*order).limit(n)
+    return _first(rows, star, n, order, "positive_pct")
 
 
 def bottom_businesses(star: Star, n: int = 10, min_reviews: int = MIN) -> DataFrame:
     rows = _listed(business_measures(star, min_reviews), share("negative").alias("negative_pct"))
     order = [F.asc("avg_rating"), F.desc("negative_pct"), F.asc("business_name"), F.asc("business_id")]
-    return rows.orderBy(*order).limit(n)
+    return _first(rows, star, n, order, "negative_pct")
 
 
 def extreme_businesses_with_city(star: Star, best: bool = True, n: int = 10, min_reviews: int = 10) -> DataFrame:
     """The same for businesses that have a city, by rating alone."""
-    rows = _listed(business_measures(star, min_reviews, require_city=True)).drop("category_name")
+    rows = _listed(business_measures(star, min_reviews))
+    placed = rows.join(star.cities.select("city_id"), "city_id", "left_semi")
     by_rating = F.desc("avg_rating") if best else F.asc("avg_rating")
-    return rows.orderBy(by_rating, "business_name", "business_id").limit(n)
+    return _first(placed, star, n, [by_rating, F.asc("business_name"), F.asc("business_id")]).drop("category_name")
 
 
 def needs_attention(star: Star, threshold: float = settings.RATING_ALERT, min_reviews: int = MIN) -> DataFrame:
     """Businesses whose rounded average lies below the threshold, worst first."""
     rows = _listed(business_measures(star, min_reviews), share("negative").alias("negative_pct"))
-    return rows.where(F.col("avg_rating") < threshold).orderBy("avg_rating", "business_name", "business_id")
+    low = _with_places(rows.where(F.col("avg_rating") < threshold), star).select(*_LIST, "negative_pct")
+    return low.orderBy("avg_rating", "business_name", "business_id")
 
 
 def above_city_average(star: Star) -> DataFrame:
     """Businesses rated above the average review of their city, both averages unrounded."""
-    rows = durable(business_measures(star, 0, require_city=True))
-    city = rows.groupBy("city_id").agg(
-        mean(F.sum("rating_sum"), F.sum("rated"), None).alias("city_avg")
-    )
-    return (
-        rows.join(city, "city_id")
-        .where(average(None) > F.col("city_avg"))
-        .select("business_id", F.col("business_name").alias("name"), "city_name", average(2).alias("b_avg"))
+    rows = durable(business_measures(star, 0).where("city_id IS NOT NULL"))
+    city = rows.groupBy("city_id").agg(mean(F.sum("rating_sum"), F.sum("rated"), None).alias("city_avg"))
+    above = rows.join(add_names(city, star.cities, "city_id", "city_name"), "city_id").where(
+        average(None) > F.col("city_avg")
     )
+    return above.select("business_id", F.col("business_name").alias("name"), "city_name", average(2).alias("b_avg"))
 
 
 def business_rank(star: Star, min_reviews: int = MIN) -> DataFrame:
     """All businesses ranked by rounded average; equal averages share a rank, no rank is left out."""
-    rows = durable(_listed(business_measures(star, min_reviews)).drop("category_name"))
-    ranked = ranking.dense_rank_of_levels(rows, "avg_rating", "rating_rank")
+    rows = durable(_listed(business_measures(star, min_reviews)))
+    ranked = add_names(
+        ranking.dense_rank_of_levels(rows, "avg_rating", "rating_rank"), star.cities, "city_id", "city_name", "left"
+    )
     columns = ["business_id", "business_name", "city_name", "avg_rating", "review_count", "rating_rank"]
     return ranked.select(*columns).orderBy("rating_rank", "business_name", "business_id")
 
 
 def rank_in_city(star: Star, min_reviews: int = MIN) -> DataFrame:
     """Businesses ranked within their city by unrounded average."""
-    rows = business_measures(star, min_reviews, require_city=True).select(
-        "business_id", F.col("business_name").alias("name"), "city_id", "city_name", average(None).alias("_avg")
+    rows = business_measures(star, min_reviews).where("city_id IS NOT NULL").select(
+        "business_id", F.col("business_name").alias("name"), "city_id", average(None).alias("_avg")
     )
     ranked = ranking.rank_within(durable(rows), "city_id", "_avg", "city_rank")
-    return ranked.select("business_id", "city_name", "name", F.round("_avg", 2).alias("avg_rating"), "city_rank")
-
-
-def _reviews_per_city(star: Star) -> DataFrame:
-    joined = with_dimensions(per_business(star.reviews), star.businesses, star.cities, None, ("inner", "inner"))
-    return regroup(joined, "city_name").select("city_name", F.col("reviews").alias("review_count"))
+    return add_names(ranked, star.cities, "city_id", "city_name").select(
+        "business_id", "city_name", "name", F.round("_avg", 2).alias("avg_rating"), "city_rank"
+    )
 
 
 def city_quartiles(star: Star, descending: bool = False) -> DataFrame:
     """Cities in four groups by number of reviews."""
+    cities = _by_dimension(star, "city_name").select("city_name", F.col("reviews").alias("review_count"))
     first = F.desc("review_count") if descending else F.asc("review_count")
-    tiled = ranking.tiles(_reviews_per_city(star), 4, [first, F.asc("city_name")], "quartile")
+    tiled = ranking.tiles(cities, 4, [first, F.asc("city_name")], "quartile")
     return tiled.select("city_name", "review_count", "quartile").orderBy(F.desc("review_count"), "city_name")
 
 
@@ -210,11 +220,10 @@ def best_city_per_category(star: Star, min_reviews: int = MIN) -> DataFrame:
 
     The maximum per category is an ordinary aggregate, so no task has to sort the cities of a category.
     """
-    joined = with_dimensions(
-        per_business(star.reviews), star.businesses, star.cities, star.categories, ("inner", "inner")
-    )
+    keys = regroup(named(per_business(star.reviews), star.businesses), "category_id", "city_id")
+    sums_by_name = by_name(keys, star.cities, "city_id", "city_name", "category_id")
     pairs = durable(
-        regroup(joined, "category_name", "city_name")
+        by_name(sums_by_name, star.categories, "category_id", "category_name", "city_name")
         .where(F.col("reviews") >= min_reviews)
         .select("category_name", "city_name", average(2).alias("avg_rating"), F.col("reviews").alias("review_count"))
     )
