@@ -10,16 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinara import settings
-from opinara.functions.numbers import exact_rating, flag, mean, percent
+from opinara.functions.numbers import flag, mean_rating, percent, rating_units
 
 LABELS = {"positive": settings.POSITIVE, "neutral": settings.NEUTRAL, "negative": settings.NEGATIVE}
 SUMS = ["rating_sum", "rated", "reviews", *LABELS]
 
 
 def sums(reviews: DataFrame, *keys: str | Column) -> DataFrame:
-    rating = exact_rating(F.col("rating"))
     return reviews.groupBy(*keys).agg(
-        F.sum(rating).alias("rating_sum"),
+        F.sum(rating_units(F.col("rating"))).alias("rating_sum"),
         F.count("rating").alias("rated"),
         F.count("*").alias("reviews"),
         *[F.sum(flag(F.col("sentiment_label") == label)).alias(name) for name, label in LABELS.items()],
@@ -41,7 +40,7 @@ def regroup(partial: DataFrame, *keys: str | Column) -> DataFrame:
 
 
 def average(digits: int | None = 2) -> Column:
-    return mean(F.col("rating_sum"), F.col("rated"), digits)
+    return mean_rating(F.col("rating_sum"), F.col("rated"), digits)
 
 
 def share(label: str, digits: int | None = 1) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinara import settings
-from opinara.functions.numbers import flag, mean, percent
+from opinara.functions.numbers import flag, mean_rating, percent, rating_units
 from opinara.operators import ranking
 from opinara.operators.rollup import add_names, average, by_name, named, per_business, regroup, share, sums
 from opinara.session import durable
@@ -179,7 +179,7 @@ def needs_attention(star: Star, threshold: float = settings.RATING_ALERT, min_re
 def above_city_average(star: Star) -> DataFrame:
     """Businesses rated above the average review of their city, both averages unrounded."""
     rows = durable(business_measures(star, 0).where("city_id IS NOT NULL"))
-    city = rows.groupBy("city_id").agg(mean(F.sum("rating_sum"), F.sum("rated"), None).alias("city_avg"))
+    city = rows.groupBy("city_id").agg(mean_rating(F.sum("rating_sum"), F.sum("rated"), None).alias("city_avg"))
     above = rows.join(add_names(city, star.cities, "city_id", "city_name"), "city_id").where(
         average(None) > F.col("city_avg")
     )
@@ -244,7 +244,7 @@ def declining_businesses(
     Both averages come from one pass over the reviews. Undated reviews are not recent.
     """
     recent = F.col("review_date") >= F.add_months(as_of, -months)
-    rating = F.col("rating").cast("decimal(10,6)")
+    rating = rating_units(F.col("rating"))
     measured = (
         star.reviews.groupBy("business_id")
         .agg(
@@ -254,8 +254,8 @@ def declining_businesses(
         .where((F.col("total_reviews") >= min_reviews) & (F.col("new_count") > 0))
         .select(
             "business_id", "total_reviews",
-            mean(F.col("all_sum"), F.col("total_reviews"), digits).alias("all_time_avg"),
-            mean(F.col("new_sum"), F.col("new_count"), digits).alias("recent_avg"),
+            mean_rating(F.col("all_sum"), F.col("total_reviews"), digits).alias("all_time_avg"),
+            mean_rating(F.col("new_sum"), F.col("new_count"), digits).alias("recent_avg"),
         )
         .where(F.col("recent_avg") < F.col("all_time_avg"))
     )
