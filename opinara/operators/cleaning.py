@@ -132,3 +132,30 @@ def audit(raw: DataFrame, platform: str = settings.DEFAULT_SOURCE, date_unit: st
         numbers.percent(last, first, 2).alias("retention_pct"),
         *[name for name in counts if name.startswith(("null_", "cities_", "filled_"))],
     )
+
+
+def log_document(
+    raw: DataFrame, platform: str = settings.DEFAULT_SOURCE, source_file: str | None = None,
+    sample_size: int | None = None, date_unit: str | None = None,
+) -> DataFrame:
+    """The audit with what it was run on: file, columns, roles, limits, and three of the parsed dates."""
+    roles = _required_roles(raw, platform)
+    dated = []
+    if roles["date"]:
+        unit = date_unit or dates.detect_unit(raw, roles["date"])
+        parsed = raw.select(dates.parse_date(F.col(roles["date"]), unit).cast("string").alias("day"))
+        dated = [row["day"] for row in parsed.where("day IS NOT NULL").take(3)]
+
+    def texts(values: list) -> F.Column:
+        return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+
+    return audit(raw, platform, date_unit).select(
+        F.lit(source_file).alias("source_file"),
+        F.lit(sample_size).cast("bigint").alias("sample_size"),
+        texts(raw.columns).alias("initial_columns"),
+        F.struct(*[F.lit(name).cast("string").alias(role) for role, name in roles.items()]).alias("column_roles"),
+        F.array(F.lit(settings.RATING_MIN), F.lit(settings.RATING_MAX)).alias("rating_range"),
+        texts(["html_strip", "encoding_fix", "whitespace_collapse"]).alias("text_operations"),
+        texts(dated).alias("sample_dates"),
+        "*",
+    )

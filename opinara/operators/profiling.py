@@ -75,3 +75,9 @@ def report(df: DataFrame, title: str, sample_rows: int = 5) -> str:
     for row in df.take(sample_rows):
         lines.append("| " + " | ".join("" if v is None else str(v).replace("|", "\\|") for v in row) + " |")
     return "\n".join(lines) + "\n"
+
+
+def write_report(df: DataFrame, title: str, path: str) -> None:
+    """Stores the Markdown profile as a text file."""
+    text = report(df, title)
+    df.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)

@@ -102,6 +102,20 @@ def score_reviews(df: DataFrame, text_column: str = "review_text", **dictionarie
     ).drop("_scores")
 
 
+SCORE_COLUMNS = [
+    "sentiment_compound", "sentiment_positive", "sentiment_neutral", "sentiment_negative", "sentiment_label",
+]
+
+
+def attach_scores(reviews: DataFrame, scored: DataFrame, key: str = "review_id") -> DataFrame:
+    """Reviews with scores computed elsewhere, matched by key; a review without a score gets none.
+
+    For scores of :func:`score_reviews` this join is not needed: they are columns of the reviews already.
+    """
+    plain = reviews.drop(*SCORE_COLUMNS)
+    return plain.join(scored.select(key, *SCORE_COLUMNS), key, "left")
+
+
 def label_shares(df: DataFrame, digits: int = 1) -> DataFrame:
     """Share of each label in percent of all rows, as one row."""
     labels = {"positive_pct": settings.POSITIVE, "neutral_pct": settings.NEUTRAL, "negative_pct": settings.NEGATIVE}

@@ -28,20 +28,28 @@ def prepare(
     return sentiment.score_reviews(cleaned, **(dictionaries or {}))
 
 
-def store(rows: DataFrame, location: str, complaint_words: Mapping | None = None) -> None:
-    """Writes the five tables. Reviews and mentions are replaced, new dimension rows are added.
+def store(rows: DataFrame, location: str, complaint_words: Mapping | None = None) -> int:
+    """Writes the five tables and returns the number of complaint mentions. Reviews and mentions are replaced, new
+    dimension rows are added.
 
-    The prepared rows are written once and read by all five, so nothing is cleaned or scored twice.
+    The prepared rows are written once and read by the four table jobs, so nothing is cleaned or scored twice.
     """
     spark = rows.sparkSession
     staged = f"{location}/_staged_reviews"
     rows.write.mode("overwrite").parquet(staged)
-    rows = spark.read.parquet(staged)
+    rows = spark.read.schema(rows.schema).parquet(staged)
     warehouse.append_new(star.build_cities(rows), "cities", location)
     warehouse.append_new(star.build_categories(rows), "categories", location)
     warehouse.append_new(star.build_businesses(rows), "businesses", location)
     warehouse.write_table(star.build_reviews(rows), "reviews", location)
-    warehouse.write_table(complaints.keyword_rows(rows, complaint_words), "keywords", location)
+    return store_keywords(spark, location, complaint_words)
+
+
+def store_keywords(spark: SparkSession, location: str, complaint_words: Mapping | None = None) -> int:
+    """Tags the stored negative reviews anew, replaces the mentions and returns their number."""
+    reviews = warehouse.read_table(spark, "reviews", location)
+    warehouse.write_table(complaints.keyword_rows(reviews, complaint_words), "keywords", location)
+    return warehouse.read_table(spark, "keywords", location).count()
 
 
 def is_ready(spark: SparkSession, location: str) -> bool:
@@ -57,8 +65,10 @@ def build(
 ) -> warehouse.Star:
     """Reads, cleans, scores, tags and stores the reviews of a folder unless that has been done."""
     if not is_ready(spark, location):
-        raw = files.read_csv(spark, files.find_csv(spark, raw_folder, preferred))
+        path = files.find_csv(spark, raw_folder, preferred)
+        raw = files.read_csv(spark, path)
         if audit_path:
-            files.write_json(cleaning.audit(files.with_numbers(raw, settings.NUMERIC_COLUMNS), platform), audit_path)
+            numbers = files.with_numbers(raw, settings.NUMERIC_COLUMNS)
+            files.write_json(cleaning.log_document(numbers, platform, path, sample_rows), audit_path)
         store(prepare(raw, platform, sample_rows), location)
     return warehouse.read_star(spark, location)

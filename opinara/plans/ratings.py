@@ -115,6 +115,13 @@ def category_performance(star: Star, min_reviews: int = MIN) -> DataFrame:
     return _performance(star, "category_name", min_reviews)
 
 
+def category_volume(star: Star, n: int = 15, min_reviews: int = MIN) -> DataFrame:
+    """The categories with the most reviews."""
+    found = _by_dimension(star, "category_name").where(F.col("rated") >= min_reviews)
+    listed = found.select("category_name", average(2).alias("avg_rating"), F.col("rated").alias("review_count"))
+    return listed.orderBy(F.desc("review_count"), "category_name").limit(n)
+
+
 def positive_share_by_category(star: Star, min_reviews: int = 10) -> DataFrame:
     return (
         _by_dimension(star, "category_name")

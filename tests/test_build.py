@@ -58,6 +58,10 @@ def test_build_and_rerun(spark, raw_folder, tmp_path):
 
     audit = files.read_json(spark, str(tmp_path / "audit")).first()
     assert (audit["initial_rows"], audit["duplicates_removed"], audit["final_rows"]) == (8, 1, 5)
+    assert audit["column_roles"]["rating"] == "review_rating" and audit["column_roles"]["state"] is None
+    assert audit["initial_columns"] == HEADER and audit["rating_range"] == [1.0, 5.0]
+    assert audit["sample_dates"] == ["2024-01-10", "2024-02-10", "2024-02-10"]
+    assert audit["source_file"].endswith("reviews.csv") and audit["filled_place_name"] == 0
 
     mentions = {(r["category"], r["count"]) for r in feedback.top_complaints(built).collect()}
     assert mentions == {("Waiting Time", 2), ("Service", 2), ("Cleanliness", 3)}
@@ -66,7 +70,7 @@ def test_build_and_rerun(spark, raw_folder, tmp_path):
 
     before = {name: content(getattr(built, name)) for name in ("cities", "categories", "businesses", "reviews", "keywords")}
     raw = files.read_csv(spark, files.find_csv(spark, raw_folder))
-    build.store(build.prepare(raw), where)
+    assert build.store(build.prepare(raw), where) == 7
     again = warehouse.read_star(spark, where)
     assert before == {name: content(getattr(again, name)) for name in before}
 

@@ -80,7 +80,7 @@ def test_no_city_or_date_column(spark):
     assert cleaning.audit(df).first()["final_rows"] == 1
 
 
-def test_profile(spark, raw):
+def test_profile(spark, raw, tmp_path):
     nulls = {r["column"]: (r["null_count"], r["null_pct"], r["dtype"]) for r in profiling.null_summary(raw).collect()}
     assert nulls["size"] == (8, 80.0, "double") and nulls["text"] == (0, 0.0, "string")
     assert profiling.null_summary(raw).first()["column"] == "size"
@@ -91,6 +91,9 @@ def test_profile(spark, raw):
     report = profiling.report(raw, "sample")
     assert "- Rows: 10" in report and "| size | double | 8 | 80.0 |" in report
     assert profiling.duplicate_rows(raw.where("false")).first()[0] == 0
+    for _ in range(2):
+        profiling.write_report(raw, "sample", str(tmp_path / "report"))
+    assert "- Duplicate rows: 1" in [r["value"] for r in spark.read.text(str(tmp_path / "report")).collect()]
 
 
 def test_spread_keeps_rows(spark):

@@ -161,3 +161,10 @@ def test_label_shares(spark):
     df = frame(spark, [(1, "", "Positive", ""), (2, "", "Negative", ""), (3, "", "Negative", "")])
     assert tuple(sentiment.label_shares(df).first()) == (33.3, 0.0, 66.7)
     assert tuple(sentiment.label_shares(df.where("false")).first()) == (None, None, None)
+
+
+def test_attached_scores(spark):
+    df = frame(spark, [(1, "good", "Negative", "b"), (2, "bad", "Negative", "b")])
+    scored = sentiment.score_reviews(df.where("review_id = 1"))
+    got = {r["review_id"]: r["sentiment_label"] for r in sentiment.attach_scores(df, scored).collect()}
+    assert got == {1: "Positive", 2: None}

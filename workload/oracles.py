@@ -234,6 +234,10 @@ def all_oracles() -> dict[str, str]:
         ),
         "city_performance": performance(CITY, "city_name"),
         "category_performance": performance(CATEGORY, "category_name"),
+        "category_volume": star(
+            f"""SELECT category_name, {avg(2)} AS avg_rating, count(*) AS review_count FROM {CATEGORY} GROUP BY category_name
+            HAVING count(*) >= {MIN} ORDER BY review_count DESC, category_name LIMIT 4"""
+        ),
         "overall_avg": star(f"SELECT {avg(3)} AS national_avg FROM reviews r"),
         "positive_share_by_category": star(
             f"""SELECT category_name, {pct('Positive', None)} AS pos_pct FROM {CATEGORY} GROUP BY category_name
@@ -471,6 +475,11 @@ def all_oracles() -> dict[str, str]:
             weighted("sentiment_label", "WHERE sentiment_label IN ('Positive', 'Negative')"),
         ),
         "sentiment_scores": sentiment_sql(),
+        "attached_scores": """SELECT d.doc_id AS review_id, d.source AS business_name,
+            CAST(quality - toxic AS DOUBLE) AS sentiment_compound, CAST(quality AS DOUBLE) AS sentiment_positive,
+            CASE WHEN l.doc_id IS NOT NULL THEN 0.0::DOUBLE END AS sentiment_neutral, CAST(toxic AS DOUBLE) AS sentiment_negative,
+            CASE WHEN quality > toxic THEN 'Positive' WHEN quality < toxic THEN 'Negative' WHEN quality = toxic THEN 'Neutral' END
+            AS sentiment_label FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
         "insights": insights_sql(),
         "insights_by_source": insights_sql("r.source", False),
         "recommendations": f"SELECT scope, rule_order, action FROM ({insights_sql()})",

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinara.functions import dates, text
+from opinara.functions.numbers import sentiment_label
 from opinara.operators import cleaning, complaints, profiling, sentiment, star, terms
 from opinara.plans import businesses, feedback, insights, ratings, trends, views
 from opinara.sources.files import spread
@@ -106,6 +107,19 @@ def scored(spark: SparkSession, folder: str) -> DataFrame:
     ).drop("review_text")
 
 
+def attached(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality labels written to the documents as scores, matched by key."""
+    labels = read(spark, folder, "labels").select(
+        F.col("doc_id").alias("review_id"),
+        (F.col("quality") - F.col("toxic")).cast("double").alias("sentiment_compound"),
+        F.col("quality").cast("double").alias("sentiment_positive"),
+        F.lit(0.0).alias("sentiment_neutral"),
+        F.col("toxic").cast("double").alias("sentiment_negative"),
+        sentiment_label((F.col("quality") - F.col("toxic")).cast("double")).alias("sentiment_label"),
+    )
+    return sentiment.attach_scores(plain_reviews(spark, folder).drop("review_text"), labels)
+
+
 def _built(build: Callable[[DataFrame], DataFrame], *columns: str) -> Query:
     return lambda spark, folder: build(canonical_reviews(spark, folder)).select(*columns)
 
@@ -139,6 +153,7 @@ def all_queries() -> dict[str, Query]:
         "monthly_sentiment": _on_star(trends.monthly_sentiment),
         "city_performance": _on_star(ratings.city_performance),
         "category_performance": _on_star(ratings.category_performance),
+        "category_volume": _on_star(ratings.category_volume, n=4),
         "overall_avg": _on_star(ratings.overall_average),
         "positive_share_by_category": _on_star(ratings.positive_share_by_category),
         "business_profile": _on_star(businesses.profile, tables.NAMES[0]),
@@ -206,6 +221,7 @@ def all_queries() -> dict[str, Query]:
         "tfidf_keywords": _on_plain_text(terms.tfidf_keywords),
         "themes_by_label": _on_text(terms.themes_by_label),
         "sentiment_scores": scored,
+        "attached_scores": attached,
         "insights": _findings(None),
         "insights_by_source": _findings("source"),
         "recommendations": lambda s, f: insights.recommendations(_findings(None)(s, f)),
