@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from opinara.functions.text import WORD_CHAR, bind
 
 
-def words(text: Column, extra: str = "") -> Column:
+def words(text: Column, extra: str = "", shortest: int = 1) -> Column:
     """Lower-case word runs of a text, in order."""
-    return F.regexp_extract_all(F.lower(text), F.lit(f"[{WORD_CHAR}{extra}]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(f"[{WORD_CHAR}{extra}]{{{shortest},}}"), F.lit(0))
 
 
 def plain_words(text: Column, stop_words: Sequence[str]) -> Column:
@@ -43,28 +43,6 @@ def ngrams(tokens: Column, low: int, high: int) -> Column:
     return bind(tokens, lambda ts: F.concat(*[of_size(ts, n) for n in range(low, high + 1)]))
 
 
-def counted(terms: Column) -> Column:
-    """``array<struct<term, tf>>`` of an array of terms: sort it, then measure each run of equal terms."""
-
-    def runs(ordered: Column) -> Column:
-        size = F.size(ordered)
-        starts = F.filter(
-            F.sequence(F.lit(0), size - 1),
-            lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)),
-        )
-        measured = bind(
-            starts,
-            lambda s: F.zip_with(
-                s,
-                F.concat(F.slice(s, F.lit(2), F.size(s)), F.array(size)),
-                lambda a, b: F.struct(F.get(ordered, a).alias("term"), (b - a).alias("tf")),
-            ),
-        )
-        return F.when(size > 0, measured)
-
-    return bind(F.sort_array(terms), runs)
-
-
 def dictionary(entries: Mapping[str, float]) -> Callable[[Column], Column]:
     """Lookup ``token -> value`` (null when absent) in a dictionary that travels with the plan.
 

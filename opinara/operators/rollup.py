@@ -60,6 +60,6 @@ def add_names(rows: DataFrame, dimension: DataFrame, key: str, name: str, how: s
 
 
 def by_name(rows: DataFrame, dimension: DataFrame, key: str, name: str, *keys: str) -> DataFrame:
-    """Sums per dimension name. They are added up per key first: a city with most of the businesses is one row by
-    the time it meets its name."""
-    return regroup(add_names(regroup(rows.where(F.col(key).isNotNull()), *keys, key), dimension, key, name), *keys, name)
+    """Sums per dimension name, which is unique. They are added up per key before: a city with most of the businesses
+    is one row by the time it meets its name."""
+    return add_names(regroup(rows.where(F.col(key).isNotNull()), *keys, key), dimension, key, name)

@@ -8,9 +8,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinara import settings
-from opinara.functions.words import counted, ngrams, plain_words, words
+from opinara.functions.words import ngrams, plain_words, words
 from opinara.operators.ranking import top_k
 
+_EVERY = ""  # stands for "any text": a term no text contains, counted once per text
+
+
+def _totals(texts: DataFrame, terms: Column, *keys: str) -> DataFrame:
+    """``total`` occurrences of each term and the number of texts ``df`` it occurs in; the term ``_EVERY`` counts
+    the texts.
+
+    The terms of a text are sorted inside its row, so the first of equal ones shows there, and both numbers are
+    plain sums that start on the map side.
+    """
+    ordered = F.sort_array(F.concat(F.array(F.lit(_EVERY)), F.coalesce(terms, F.array().cast("array<string>"))))
+    before = F.concat(F.array(F.lit(None).cast("string")), F.col("ordered"))
+    pairs = F.explode(F.arrays_zip(F.col("ordered").alias("term"), before.alias("before"))).alias("pair")
+    rows = texts.select(*keys, ordered.alias("ordered")).select(*keys, pairs).select(*keys, "pair.term", "pair.before")
+    is_first = F.when(F.col("term").eqNullSafe(F.col("before")), 0).otherwise(1)
+    return (
+        rows.where("term IS NOT NULL")
+        .groupBy(*keys, "term")
+        .agg(F.count("*").alias("total"), F.sum(is_first).alias("df"))
+    )
+
 
 def word_frequency(
     df: DataFrame, text_column: str = "review_text", max_words: int = settings.WORD_LIST_SIZE,
@@ -43,35 +64,21 @@ def theme_counts(
 ) -> DataFrame:
     """How often each theme word occurs, and in how many reviews."""
     themes = {"positive": positive or settings.POSITIVE_THEMES, "negative": negative or settings.NEGATIVE_THEMES}
-    tokens = words(F.col(text_column))
     wanted = sorted({w for ws in themes.values() for w in ws})
-    found = (
-        df.select(F.explode(counted(F.filter(tokens, lambda w: w.isin(wanted)))).alias("t"))
-        .groupBy(F.col("t.term").alias("word"))
-        .agg(F.sum("t.tf").alias("mentions"), F.count("*").alias("reviews"))
+    found = _totals(df, F.filter(words(F.col(text_column)), lambda w: w.isin(wanted))).where(F.col("term") != _EVERY)
+    sides = [F.when(F.col("term").isin(list(ws)), F.lit(name)) for name, ws in themes.items()]
+    return found.select(
+        F.explode(F.array_compact(F.array(*sides))).alias("theme"), F.col("term").alias("word"),
+        F.col("total").alias("mentions"), F.col("df").alias("reviews"),
     )
-    sides = [F.when(F.col("word").isin(list(ws)), F.lit(name)) for name, ws in themes.items()]
-    return found.select(F.explode(F.array_compact(F.array(*sides))).alias("theme"), "word", "mentions", "reviews")
-
-
-_EVERY = ""  # stands for "any text": a term no text contains, counted once per text
 
 
 def _vocabulary(texts: DataFrame, terms: Column, max_features: int) -> DataFrame:
     """The ``max_features`` most frequent terms per group that occur in two or more texts, with their smooth idf
     and the number of texts ``n``; at most ``max_features`` rows per group.
-
-    The counts of a text are made inside its row and summed on the map side. The number of texts is counted in the
-    same pass, as a term of its own that is always kept.
     """
-    none = F.array().cast("array<struct<term:string,tf:int>>")
-    every = F.array(F.struct(F.lit(_EVERY).alias("term"), F.lit(1).alias("tf")))
+    seen = _totals(texts, terms, "grp")
     is_every = F.col("term") == _EVERY
-    seen = (
-        texts.select("grp", F.explode(F.concat(F.coalesce(counted(terms), none), every)).alias("t"))
-        .groupBy("grp", F.col("t.term").alias("term"))
-        .agg(F.sum("t.tf").alias("total"), F.count("*").alias("df"))
-    )
     order = [F.desc(is_every), F.desc("total"), F.asc("term")]
     kept = top_k(seen.where((F.col("df") >= 2) | is_every), "grp", order, max_features + 1)
     n = F.max(F.when(is_every, F.col("df"))).over(Window.partitionBy("grp"))
@@ -92,7 +99,7 @@ def _weighted(
     texts = docs.where(F.col(text_column).isNotNull()).select(
         group.alias("grp"), F.col(id_column).alias("id"), F.col(text_column).alias("body")
     )
-    tokens = F.filter(words(F.col("body")), lambda w: (F.length(w) >= 2) & ~w.isin(list(stop_words)))
+    tokens = F.filter(words(F.col("body"), shortest=2), lambda w: ~w.isin(list(stop_words)))
     terms = ngrams(tokens, *sizes)
     vocabulary = _vocabulary(texts, terms, max_features)
     weights = (

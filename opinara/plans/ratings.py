@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from opinara import settings
 from opinara.functions.numbers import flag, mean_rating, percent, rating_units
 from opinara.operators import ranking
-from opinara.operators.rollup import add_names, average, by_name, named, per_business, regroup, share, sums
+from opinara.operators.rollup import add_names, average, by_name, named, per_business, share, sums
 from opinara.session import durable
 from opinara.sources.warehouse import Star
 
@@ -227,10 +227,10 @@ def best_city_per_category(star: Star, min_reviews: int = MIN) -> DataFrame:
 
     The maximum per category is an ordinary aggregate, so no task has to sort the cities of a category.
     """
-    keys = regroup(named(per_business(star.reviews), star.businesses), "category_id", "city_id")
-    sums_by_name = by_name(keys, star.cities, "city_id", "city_name", "category_id")
+    known = named(per_business(star.reviews), star.businesses).where("category_id IS NOT NULL")
+    places = by_name(known, star.cities, "city_id", "city_name", "category_id")
     pairs = durable(
-        by_name(sums_by_name, star.categories, "category_id", "category_name", "city_name")
+        add_names(places, star.categories, "category_id", "category_name")
         .where(F.col("reviews") >= min_reviews)
         .select("category_name", "city_name", average(2).alias("avg_rating"), F.col("reviews").alias("review_count"))
     )
