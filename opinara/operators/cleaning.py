@@ -92,37 +92,41 @@ def clean(raw: DataFrame, platform: str = settings.DEFAULT_SOURCE, date_unit: st
 def audit(raw: DataFrame, platform: str = settings.DEFAULT_SOURCE, date_unit: str | None = None) -> DataFrame:
     """One row of counts: rows before and after each step, dates lost, fills, city spellings, retention.
 
-    All counts come from one aggregation over the distinct raw rows. They are result columns, not accumulators,
-    so a task that runs twice does not count twice.
+    All counts are summed over the distinct raw rows, per city spelling first, so that spellings are counted on one
+    row each. They are result columns, not accumulators: a task that runs twice does not count twice.
     """
     roles = _required_roles(raw, platform)
     unit = (date_unit or dates.detect_unit(raw, roles["date"])) if roles["date"] else None
     valid = numbers.is_valid_rating(F.col(roles["rating"]))
     kept = valid & ~text.is_blank(F.col(roles["review_text"]))
     rows = collapse_copies(raw).withColumns({"_valid": valid, "_kept": kept})
-    kept_now = F.col("_kept")
 
-    def total(condition) -> F.Column:
-        return F.coalesce(F.sum(numbers.flag(condition)), F.lit(0)).cast("bigint")
+    def rows_with(condition) -> F.Column:
+        return F.sum(numbers.flag(condition))
 
     counts = {
-        "initial_rows": F.coalesce(F.sum(COPIES), F.lit(0)),
+        "initial_rows": F.sum(COPIES),
         "distinct_rows": F.count("*"),
-        "valid_rating_rows": total(F.col("_valid")),
-        "final_rows": total(kept_now),
+        "valid_rating_rows": rows_with(F.col("_valid")),
+        "final_rows": rows_with(F.col("_kept")),
     }
     if roles["date"]:
-        counts["null_dates"] = total(kept_now & dates.parse_date(F.col(roles["date"]), unit).isNull())
-    if roles["city"]:
-        city = F.col(roles["city"])
-        counts["cities_before"] = F.count_distinct(F.when(kept_now, city))
-        counts["cities_after"] = F.count_distinct(F.when(kept_now, text.standard_city(city)))
+        parsed = dates.parse_date(F.col(roles["date"]), unit)
+        counts["null_dates"] = rows_with(F.col("_kept") & parsed.isNull())
     keyed = {roles[r] for r in ("rating", "date", "city", "review_text", "latitude", "longitude")}
     for field in raw.schema.fields:
         if field.dataType.typeName() == "string" and field.name not in keyed:
-            counts[f"filled_{field.name}"] = total(kept_now & F.col(f"`{field.name}`").isNull())
+            counts[f"filled_{field.name}"] = rows_with(F.col("_kept") & F.col(f"`{field.name}`").isNull())
+    spelling = F.col(roles["city"]) if roles["city"] else F.lit(None).cast("string")
+    per_spelling = rows.groupBy(spelling.alias("_city")).agg(*[c.alias(name) for name, c in counts.items()])
+    totals = [F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in counts]
+    if roles["city"]:
+        used = F.when(F.col("final_rows") > 0, F.col("_city"))
+        standard = F.when(F.col("final_rows") > 0, text.standard_city(F.col("_city")))
+        totals += [F.count(used).alias("cities_before"), F.count_distinct(standard).alias("cities_after")]
     first, last = F.col("initial_rows"), F.col("final_rows")
-    return rows.agg(*[c.alias(name) for name, c in counts.items()]).select(
+    found = per_spelling.agg(*totals)
+    return found.select(
         "initial_rows",
         (first - F.col("distinct_rows")).alias("duplicates_removed"),
         (F.col("distinct_rows") - F.col("valid_rating_rows")).alias("invalid_ratings_removed"),
@@ -130,7 +134,7 @@ def audit(raw: DataFrame, platform: str = settings.DEFAULT_SOURCE, date_unit: st
         "final_rows",
         (first - last).alias("total_rows_removed"),
         numbers.percent(last, first, 2).alias("retention_pct"),
-        *[name for name in counts if name.startswith(("null_", "cities_", "filled_"))],
+        *[name for name in found.columns if name.startswith(("null_", "cities_", "filled_"))],
     )
 
 
@@ -152,7 +156,7 @@ def log_document(
     return audit(raw, platform, date_unit).select(
         F.lit(source_file).alias("source_file"),
         F.lit(sample_size).cast("bigint").alias("sample_size"),
-        texts(raw.columns).alias("initial_columns"),
+        texts([c for c in raw.columns if c != ORDER]).alias("initial_columns"),
         F.struct(*[F.lit(name).cast("string").alias(role) for role, name in roles.items()]).alias("column_roles"),
         F.array(F.lit(settings.RATING_MIN), F.lit(settings.RATING_MAX)).alias("rating_range"),
         texts(["html_strip", "encoding_fix", "whitespace_collapse"]).alias("text_operations"),

@@ -69,19 +69,19 @@ def rank_within(df: DataFrame, group: str, value: str, name: str, width: float =
     return df.join(ranked.select(group, value, rank.alias(name)), [group, value])
 
 
-def positions(df: DataFrame, order: Sequence[Column], name: str = "_position") -> DataFrame:
-    """Numbers all rows from 0 in a total order, without a single-task sort.
+def positions(df: DataFrame, order: Sequence[Column], name: str = "_position", total: str = "_total") -> DataFrame:
+    """Numbers all rows from 0 in a total order and adds their number, without a single-task sort.
 
     The rows are range-partitioned and sorted, written to the checkpoint folder so that the ranges stay as they
     are, and numbered inside each range on top of the rows in the ranges before it.
     """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = durable(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()))
-    before = F.sum("_rows").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = (
-        ranged.groupBy("_range").agg(F.count("*").alias("_rows"))
-        .select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("_range").agg(F.count("*").alias("_rows")).select(
+        "_range",
+        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"),
+        F.sum("_rows").over(Window.partitionBy()).alias(total),
     )
     here = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
     return (
@@ -94,10 +94,9 @@ def positions(df: DataFrame, order: Sequence[Column], name: str = "_position") -
 def tiles(df: DataFrame, n: int, order: Sequence[Column], name: str) -> DataFrame:
     """``ntile(n)`` over all rows: sizes differ by one at most, the larger tiles come first."""
     numbered = positions(df, order)
-    total = numbered.agg(F.count("*")).scalar()
-    size, larger, at = F.floor(total / n), total % n, F.col("_position")
+    size, larger, at = F.floor(F.col("_total") / n), F.col("_total") % n, F.col("_position")
     in_larger = larger * (size + 1)
     tile = F.when(at < in_larger, F.floor(at / (size + 1)) + 1).otherwise(
         larger + F.floor(F.try_divide(at - in_larger, size)) + 1
     )
-    return numbered.withColumn(name, tile.cast("bigint")).drop("_position")
+    return numbered.withColumn(name, tile.cast("bigint")).drop("_position", "_total")

@@ -13,17 +13,19 @@ from opinara.sources import files, sampling, warehouse
 from opinara.sources.roles import canonical
 
 
-def prepare(
-    raw: DataFrame, platform: str = settings.DEFAULT_SOURCE, sample_rows: int | None = None,
-    dictionaries: dict | None = None, numeric: Sequence[str] | None = settings.NUMERIC_COLUMNS,
+def ordered(
+    raw: DataFrame, sample_rows: int | None = None, numeric: Sequence[str] | None = settings.NUMERIC_COLUMNS
 ) -> DataFrame:
-    """Clean, canonical and scored reviews of one platform, as one plan.
+    """The raw rows to work on: in reading order, numbers as numbers, a sample of an exact size if one is wanted.
 
-    ``numeric`` names further number columns of the raw file; None finds them out, in one more pass over it.
+    ``numeric`` names the number columns that play no role; None finds them out, in one more pass over the file.
     """
     rows = files.with_order(files.with_numbers(raw, numeric))
-    if sample_rows:
-        rows = sampling.exact_sample(rows, sample_rows, key=files.ORDER)
+    return sampling.exact_sample(rows, sample_rows, key=files.ORDER) if sample_rows else rows
+
+
+def prepare(rows: DataFrame, platform: str = settings.DEFAULT_SOURCE, dictionaries: dict | None = None) -> DataFrame:
+    """Clean, canonical and scored reviews of one platform, as one plan."""
     cleaned = canonical(cleaning.clean(rows, platform), platform)
     return sentiment.score_reviews(cleaned, **(dictionaries or {}))
 
@@ -66,9 +68,8 @@ def build(
     """Reads, cleans, scores, tags and stores the reviews of a folder unless that has been done."""
     if not is_ready(spark, location):
         path = files.find_csv(spark, raw_folder, preferred)
-        raw = files.read_csv(spark, path)
+        rows = ordered(files.read_csv(spark, path), sample_rows)
         if audit_path:
-            numbers = files.with_numbers(raw, settings.NUMERIC_COLUMNS)
-            files.write_json(cleaning.log_document(numbers, platform, path, sample_rows), audit_path)
-        store(prepare(raw, platform, sample_rows), location)
+            files.write_json(cleaning.log_document(rows, platform, path, sample_rows), audit_path)
+        store(prepare(rows, platform), location)
     return warehouse.read_star(spark, location)

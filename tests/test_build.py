@@ -70,7 +70,7 @@ def test_build_and_rerun(spark, raw_folder, tmp_path):
 
     before = {name: content(getattr(built, name)) for name in ("cities", "categories", "businesses", "reviews", "keywords")}
     raw = files.read_csv(spark, files.find_csv(spark, raw_folder))
-    assert build.store(build.prepare(raw), where) == 7
+    assert build.store(build.prepare(build.ordered(raw)), where) == 7
     again = warehouse.read_star(spark, where)
     assert before == {name: content(getattr(again, name)) for name in before}
 
@@ -92,8 +92,10 @@ def test_registered_views(spark, raw_folder, tmp_path):
 
 
 def test_sampled_build(spark, raw_folder, tmp_path):
-    built = build.build(spark, raw_folder, str(tmp_path / "star"), sample_rows=3)
-    assert 0 < built.reviews.count() <= 3
+    built = build.build(spark, raw_folder, str(tmp_path / "star"), sample_rows=3, audit_path=str(tmp_path / "audit"))
+    audit = files.read_json(spark, str(tmp_path / "audit")).first()
+    assert (audit["initial_rows"], audit["sample_size"]) == (3, 3)
+    assert built.reviews.count() == audit["final_rows"]
 
 
 def test_business_without_city_column(spark):
