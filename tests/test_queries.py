@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from workload.oracles import all_oracles
+from workload.queries import all_queries
 
 FOLDER = os.environ.get("OPINARA_TEST_TABLES", "/root/testdata/sf0.001")
 TABLES = (
@@ -30,10 +32,11 @@ def ordered(rows, columns):
 
 
 def test_every_query_has_sql():
-    assert set(contract.oracle_sql()) == set(contract.queries())
+    assert set(all_oracles()) == set(all_queries())
+    assert set(all_queries()) <= set(contract.queries())
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(all_queries()))
 def test_query_equals_sql(spark, sql, name):
     df = contract.queries()[name](spark, FOLDER)
     cursor = sql.execute(contract.oracle_sql()[name])
