@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinara.llm import chat, packing, simhash, url_filter
+from opinara.llm import chat, decontamination, packing, simhash, substring, url_filter
 from opinara.llm.shared import table
 
 #: Rules of the page filter, and the hosts its list names.
@@ -44,6 +44,15 @@ def op2_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_benchmark_index(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontamination.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"), n=10)
+    names = F.array_sort(F.transform("items", lambda i: i.cast("string")))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"), shingle=4, radius=4)
     return found.select(F.col("id").alias("doc_id"), simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
@@ -58,6 +67,11 @@ def op9_url_cascade(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(table(spark, folder, "pages"), RULES, listed).withColumnRenamed("id", "page_id")
 
 
+def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = substring.remove_copies(table(spark, folder, "documents").select("doc_id", "text"), size=13)
+    return found.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_chat_format, op7_simhash, op8_nnls_packing, op9_url_cascade]
+    found = [op2_chat_format, op6_benchmark_index, op7_simhash, op8_nnls_packing, op9_url_cascade, op10_substring_dedup]
     return {f.__name__: f for f in found}

@@ -47,7 +47,7 @@ judged AS (
   FROM parts
 )
 SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict,
-  CASE WHEN len(list_filter([{_LISTED}], k -> host = k OR ends_with(host, '.' || k))) > 0 THEN 'block' ELSE 'allow' END) AS verdict
+  CASE WHEN len(list_filter([{_LISTED}], lambda k: host = k OR ends_with(host, '.' || k))) > 0 THEN 'block' ELSE 'allow' END) AS verdict
 FROM judged
 """
 
