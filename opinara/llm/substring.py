@@ -35,6 +35,8 @@ from opinara.llm.shared import shared_folder, utf8
 
 #: Text bytes in a block; a longer document is a block of its own.
 BLOCK_BYTES = 16 << 20
+#: Text bytes in a bucket, up to 50,000 buckets.
+BUCKET_BYTES = 32 << 20
 #: Rows of counters; each has about six counters to a window.
 DEPTH = 2
 SLICES = 1 << 16
@@ -130,7 +132,7 @@ def _store_blocks(docs: DataFrame, text_column: str) -> tuple[DataFrame, int]:
 
     schema = rows.select("row").schema.add("block", "long")
     total = docs.agg(F.sum(F.octet_length(F.col(text_column).cast("string")))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(50_000, total // (2 * BLOCK_BYTES) + 1))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(50_000, total // BUCKET_BYTES + 1))
     name = f"substring_blocks_{uuid.uuid4().hex}"
     writer = rows.mapInArrow(assign, schema).write.format("parquet").option("path", f"{shared_folder(spark)}/{name}")
     writer.bucketBy(buckets, "block").sortBy("block").saveAsTable(name)
