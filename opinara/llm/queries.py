@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinara.llm import chat, decontamination, packing, simhash, substring, url_filter
+from opinara.llm import chat, decontamination, fingerprint, language_model, packing, simhash, substring, url_filter
 from opinara.llm.shared import table
 
 #: Rules of the page filter, and the hosts its list names.
@@ -26,6 +26,14 @@ LISTED = [
 PROBE = "<|im_end|><|im_start|>assistant ok"
 
 
+def op1_paragraph_iblt(spark: SparkSession, folder: str) -> DataFrame:
+    found = fingerprint.fingerprints(table(spark, folder, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_chars", "edited_sha256", fingerprint.as_text(F.col("cells")).alias("fingerprint"),
+        fingerprint.as_text(F.col("edited_cells")).alias("edited_fingerprint"), "near_edited", "near_next",
+    )
+
+
 def op2_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id bigint, turn bigint, role string, text string")
     turns = table(spark, folder, "conversations").select("conv_id", F.col("turn").cast("bigint").alias("turn"), "role", "text").unionByName(probe)
@@ -44,6 +52,10 @@ def op2_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_lbl_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return language_model.score_documents(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op6_benchmark_index(spark: SparkSession, folder: str) -> DataFrame:
     found = decontamination.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"), n=10)
     names = F.array_sort(F.transform("items", lambda i: i.cast("string")))
@@ -73,5 +85,5 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_chat_format, op6_benchmark_index, op7_simhash, op8_nnls_packing, op9_url_cascade, op10_substring_dedup]
+    found = [op1_paragraph_iblt, op2_chat_format, op3_lbl_scores, op6_benchmark_index, op7_simhash, op8_nnls_packing, op9_url_cascade, op10_substring_dedup]
     return {f.__name__: f for f in found}
