@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinara.llm import chat, decontamination, fingerprint, language_model, packing, simhash, substring, url_filter
+from opinara.llm import chat, decontamination, fingerprint, html_text, language_model, packing, quality, simhash, substring, url_filter
 from opinara.llm.shared import table
 
 #: Rules of the page filter, and the hosts its list names.
@@ -56,6 +56,17 @@ def op3_lbl_scores(spark: SparkSession, folder: str) -> DataFrame:
     return language_model.score_documents(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op4_page_text(spark: SparkSession, folder: str) -> DataFrame:
+    found = html_text.main_texts(table(spark, folder, "pages"))
+    return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+def op5_kn_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "text")
+    found = quality.classify(docs, quality.trusted_of(table(spark, folder, "labels")))
+    return found.select(F.col("row.doc_id").alias("doc_id"), F.col("row.lang").alias("lang"), "perplexity", "worst", "accepted")
+
+
 def op6_benchmark_index(spark: SparkSession, folder: str) -> DataFrame:
     found = decontamination.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"), n=10)
     names = F.array_sort(F.transform("items", lambda i: i.cast("string")))
@@ -85,5 +96,5 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_paragraph_iblt, op2_chat_format, op3_lbl_scores, op6_benchmark_index, op7_simhash, op8_nnls_packing, op9_url_cascade, op10_substring_dedup]
+    found = [op1_paragraph_iblt, op2_chat_format, op3_lbl_scores, op4_page_text, op5_kn_quality, op6_benchmark_index, op7_simhash, op8_nnls_packing, op9_url_cascade, op10_substring_dedup]
     return {f.__name__: f for f in found}

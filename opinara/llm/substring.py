@@ -8,7 +8,8 @@ without moving the texts again.
    counters reached two. Counters overestimate, so no repeated window is lost; the sketch is split over tasks and grows
    with the corpus, and nothing of it is broadcast.
 2. Only windows whose counters all reached two are grouped exactly, by 128-bit digests of their words: a block sends each
-   once with the smallest and largest document id that has it, and is answered with the smallest id of all blocks.
+   once with the smallest and largest document id that has it, and is answered with the smallest id of all blocks. Both
+   travel as sorted lists, a slice of digests at a time.
 3. A window is a copy if that id is smaller than its document's; the words that copies cover are removed.
 
 A window that a third of all documents share is one row per block by then.
@@ -28,19 +29,20 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opinara.llm.shared import shared_folder, utf8
 
 #: Text bytes in a block; a longer document is a block of its own.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Text bytes in a bucket, up to 50,000 buckets.
 BUCKET_BYTES = 32 << 20
 #: Rows of counters; each has about six counters to a window.
 DEPTH = 2
 SLICES = 1 << 16
 NO_ID = 2**63 - 1
+HALF = np.uint64(0xFFFFFFFF)
 WORDS_KEPT = 300_000
 _FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _MIXES = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
@@ -107,6 +109,16 @@ def decode(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.uint64), dtype=np.uint64)
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Numbers in any order, byte plane by byte plane."""
+    return zstandard.compress(values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
+
+
 def _in_sorted(values: np.ndarray, among: np.ndarray) -> np.ndarray:
     if not len(among):
         return np.zeros(len(values), bool)
@@ -187,6 +199,29 @@ def _merge(group: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array([b for b, _ in out], pa.int64()), "slice": pa.array([depth] * len(out), pa.int64()), "cells": pa.array([c for _, c in out], pa.binary())})
 
 
+def _least_ids(group: pa.Table) -> pa.Table:
+    """For one slice of digests: what each block sent that has a smaller id somewhere, with the smallest id of all."""
+    lists = [decode(x) for x in group["a"].to_pylist()]
+    a = np.concatenate(lists)
+    b, low, more = (np.concatenate([unpack(x) for x in group[c].to_pylist()]) for c in ("b", "low", "more"))
+    low = low.view(np.int64)
+    high = low + more.view(np.int64)
+    order = np.lexsort((b, a))
+    new = np.ones(len(a), bool)
+    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+    least = np.empty(len(a), np.int64)
+    least[order] = np.minimum.reduceat(low[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+    out, end = [], 0
+    for block, own in zip(group["block"].to_pylist(), lists, strict=True):
+        begin, end = end, end + len(own)
+        hit = begin + np.flatnonzero(high[begin:end] > least[begin:end])
+        if len(hit):
+            out.append((block, encode(a[hit]), pack(b[hit] & HALF), pack(least[hit].view(np.uint64))))
+    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
+    return pa.table({n: pa.array(list(c), k) for n, c, k in zip(("block", "a", "b", "least"), columns, kinds, strict=True)})
+
+
 def _plain(table: pa.Table, column: str) -> pa.Array:
     found = table["row"].combine_chunks()
     found = found.chunk(0) if isinstance(found, pa.ChunkedArray) else found
@@ -208,10 +243,11 @@ def remove_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     slice_bits = min(SLICES.bit_length() - 1, max(2, bits - 22))
     flags = _sketch(blocks, text_column, size, bits, slice_bits).groupBy("slice").applyInArrow(_merge, "block bigint, slice bigint, cells binary")
 
+    nothing = pa.table({n: pa.array([], pa.int64() if n in ("slice", "block") else pa.binary()) for n in ("slice", "block", "a", "b", "low", "more")})
+
     def candidates(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["a", "b", "block", "low", "high"]
         if not left.num_rows or not right.num_rows:
-            return pa.table({n: pa.array([], pa.int64()) for n in names})
+            return nothing
         block = Block(utf8(_plain(left, text_column)), size, WordHashes())
         keep = np.ones(len(block.doc), bool)
         which = right["slice"].to_numpy() >> slice_bits
@@ -228,13 +264,20 @@ def remove_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(a)) - 1 if len(first) else first
-        values = [a[first].view(np.int64), b[first].view(np.int64), np.full(len(first), left["block"][0].as_py()), doc[first], doc[last]]
-        return pa.table({n: pa.array(v, pa.int64()) for n, v in zip(names, values, strict=True)})
-
-    repeated = blocks.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(candidates, "a bigint, b bigint, block bigint, low bigint, high bigint")
-    # one row per block and window: the copies of one window are as many rows as there are blocks, at most
-    least = F.min("low").over(Window.partitionBy("a", "b"))
-    answers = repeated.withColumn("least", least).where("high > least").select("block", "a", "b", "least")
+        a, b, low, high = a[first], b[first], doc[first].view(np.uint64), doc[last].view(np.uint64)
+        slices = (a >> np.uint64(64 - slice_bits)).astype(np.int64)
+        parts = np.split(np.arange(len(a)), np.flatnonzero(np.diff(slices)) + 1) if len(a) else []
+        return pa.table(
+            {
+                "slice": pa.array([int(slices[p[0]]) for p in parts], pa.int64()), "block": pa.array([left["block"][0].as_py()] * len(parts), pa.int64()),
+                "a": pa.array([encode(a[p]) for p in parts], pa.binary()), "b": pa.array([pack(b[p]) for p in parts], pa.binary()),
+                "low": pa.array([pack(low[p]) for p in parts], pa.binary()), "more": pa.array([pack(high[p] - low[p]) for p in parts], pa.binary()),
+            }
+        )
+
+    sent = "slice bigint, block bigint, a binary, b binary, low binary, more binary"
+    repeated = blocks.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(candidates, sent)
+    answers = repeated.groupBy("slice").applyInArrow(_least_ids, "block bigint, a binary, b binary, least binary")
 
     kept_type = f"row {blocks.schema['row'].dataType.simpleString()}, n_words bigint, n_removed bigint, kept string"
 
@@ -242,8 +285,9 @@ def remove_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         block = Block(utf8(_plain(left, text_column)), size, WordHashes())
         copies = np.zeros(len(block.doc), bool)
         if right.num_rows and len(copies):
-            a, b, low = (right[c].to_numpy() for c in ("a", "b", "least"))
-            a, b = a.view(np.uint64), b.view(np.uint64)
+            a = np.concatenate([decode(x) for x in right["a"].to_pylist()])
+            b = np.concatenate([unpack(x) for x in right["b"].to_pylist()])
+            low = np.concatenate([unpack(x) for x in right["least"].to_pylist()]).view(np.int64)
             order = np.argsort(a, kind="stable")
             a, b, low = a[order], b[order], low[order]
             doc = _ids(left, id_column)[block.doc]
@@ -251,7 +295,7 @@ def remove_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             left_over = np.arange(len(at))
             while len(left_over := left_over[at[left_over] < len(a)]):
                 left_over = left_over[a[at[left_over]] == block.digests[0][left_over]]
-                same = b[at[left_over]] == block.digests[1][left_over]
+                same = b[at[left_over]] == block.digests[1][left_over] & HALF
                 hit = left_over[same]
                 copies[hit] = low[at[hit]] < doc[hit]
                 left_over = left_over[~same]
