@@ -1,6 +1,6 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests, in DataFrame functions only.
 
-A text's paragraphs (here its lines and clauses) are hashed to 64-bit digests, each once. A sketch has three rows of
+A text's paragraphs (here its lines and sentences) are hashed to 64-bit digests, each once. A sketch has three rows of
 cells; a digest goes into one cell of each row, which keeps the number, the XOR of the digests and the XOR of their
 checks. Sketches of two versions subtract cell by cell; peeling takes out digests that stand alone in a cell until nothing
 is left, which recovers exactly the digests that differ.
@@ -21,18 +21,19 @@ row. Other columns are ignored. An empty table gives an empty result.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinara.llm.shared import shared_folder
 
-PARAGRAPH_ENDS = r"\s*\n\s*|(?<=[.,;:!?])\s+"
+PARAGRAPH_ENDS = r"\s*\n\s*|(?<=[.!?])\s+"
 ROWS = 3
-WIDTH = 8
+WIDTH = 10
 SHARD = 5
-RETRIES = ((1, 5), (2, 12), (3, 40))
-RANGE_BYTES = 32 << 20
+RETRIES = ((1, 6), (2, 16), (3, 50))
+RANGE_BYTES = 2 << 20
 SIDE = 128  # ranges: at most SIDE * SIDE
 
 def digests(text: Column, ends: str = PARAGRAPH_ENDS) -> Column:
@@ -40,69 +41,75 @@ def digests(text: Column, ends: str = PARAGRAPH_ENDS) -> Column:
     return F.array_distinct(F.transform(F.filter(F.split(text, ends), lambda p: p != ""), lambda p: F.xxhash64(p)))
 
 
-def _check(digest: Column) -> Column:
-    return F.hash(digest, F.lit(17))
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _place(digest: Column, row: int, width: int, seed: int) -> Column:
-    spread = F.xxhash64(digest, F.lit(seed)) if seed else digest
-    return F.pmod(F.shiftright(spread, 16 * row), F.lit(width)).cast("int")
+def _placed(values: Column, width: int, seed: int, n: Callable[[Column], Column], key: Callable[[Column], Column]) -> Column:
+    """Each digest with its number, its check and its cell in each row."""
 
+    def one(value: Column) -> Column:
+        spread = F.xxhash64(key(value), F.lit(seed)) if seed else key(value)
+        places = [F.pmod(F.shiftright(spread, 16 * row), F.lit(width)).cast("int").alias(f"p{row}") for row in range(ROWS)]
+        return F.struct(n(value).alias("n"), key(value).alias("key"), F.hash(key(value), F.lit(17)).alias("check"), *places)
 
-def _add(cell: Column, digest: Column, number: Column) -> Column:
-    return F.struct(
-        (cell["n"] + number).cast("int").alias("n"), cell["key"].bitwiseXOR(digest).alias("key"), cell["check"].bitwiseXOR(_check(digest)).alias("check")
-    )
+    return F.transform(values, one)
+
+
+def _add(cell: Column, other: Column, n: Column) -> Column:
+    return F.struct(n.alias("n"), cell["key"].bitwiseXOR(other["key"]).alias("key"), cell["check"].bitwiseXOR(other["check"]).alias("check"))
 
 
 def sketch(values: Column, width: int = WIDTH, seed: int = 0) -> Column:
     """Cells of all rows, one row after the other: array<struct<n, key, check>>."""
     empty = F.struct(F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("key"), F.lit(0).alias("check"))
 
-    def cells(row: int) -> Column:
-        def cell(i: Column) -> Column:
-            own = F.filter(values, lambda x: _place(x, row, width, seed) == i)
-            return F.aggregate(own, empty, lambda c, x: _add(c, x, F.lit(1)))
+    def filled(placed: Column) -> Column:
+        def cells(row: int) -> Column:
+            def cell(i: Column) -> Column:
+                return F.aggregate(F.filter(placed, lambda x: x[f"p{row}"] == i), empty, lambda c, x: _add(c, x, c["n"] + 1))
 
-        return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), cell)
+            return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), cell)
 
-    return F.concat(*[cells(row) for row in range(ROWS)])
+        return F.concat(*[cells(row) for row in range(ROWS)])
+
+    return _bound(_placed(values, width, seed, lambda x: F.lit(1), lambda x: x), filled)
 
 
 def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(
-        a, b, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["key"].bitwiseXOR(y["key"]).alias("key"), x["check"].bitwiseXOR(y["check"]).alias("check"))
-    )
+    return F.zip_with(a, b, lambda x, y: _add(x, y, x["n"] - y["n"]))
 
 
-def peel(cells: Column, width: int = WIDTH, seed: int = 0, rounds: int = 10) -> Column:
-    """struct<cells, found>: the digests recovered with their side (1 or -1), and what is left of the cells."""
+def peel(cells: Column, width: int = WIDTH, seed: int = 0, rounds: int = 12) -> Column:
+    """struct<cells, found, live>: the digests recovered with their side (1 or -1), and what is left of the cells."""
 
     def alone(cells: Column) -> Column:
-        pure = F.filter(cells, lambda c: (F.abs(c["n"]) == 1) & (c["check"] == _check(c["key"])))
-        return F.array_distinct(F.transform(pure, lambda c: F.struct(c["key"].alias("key"), c["n"].alias("n"))))
+        pure = F.filter(cells, lambda c: (F.abs(c["n"]) == 1) & (c["check"] == F.hash(c["key"], F.lit(17))))
+        once = F.array_distinct(F.transform(pure, lambda c: F.struct(c["key"].alias("key"), c["n"].alias("n"))))
+        return _placed(once, width, seed, lambda c: c["n"], lambda c: c["key"])
 
     def without(cells: Column, pure: Column) -> Column:
         def part(row: int) -> Column:
             def cell(c: Column, i: Column) -> Column:
-                own = F.filter(pure, lambda p: _place(p["key"], row, width, seed) == i)
-                return F.aggregate(own, c, lambda left, p: _add(left, p["key"], -p["n"]))
+                return F.aggregate(F.filter(pure, lambda p: p[f"p{row}"] == i), c, lambda left, p: _add(left, p, left["n"] - p["n"]))
 
             return F.transform(F.slice(cells, row * width + 1, width), cell)
 
         return F.concat(*[part(row) for row in range(ROWS)])
 
     def one_round(state: Column) -> Column:
-        # the array of one element names the pure digests, which are used twice
-        return F.aggregate(
-            F.array(alone(state["cells"])), state,
-            lambda s, pure: F.when(F.size(pure) == 0, s).otherwise(
-                F.struct(without(s["cells"], pure).alias("cells"), F.concat(s["found"], pure).alias("found"))
-            ),
-        )
+        def taken(pure: Column) -> Column:
+            found = F.transform(pure, lambda p: F.struct(p["key"].alias("key"), p["n"].alias("n")))
+            return F.when(
+                F.size(pure) > 0, F.struct(without(state["cells"], pure).alias("cells"), F.concat(state["found"], found).alias("found"), F.lit(True).alias("live"))
+            ).otherwise(F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.lit(False).alias("live")))
+
+        return F.when(state["live"], _bound(alone(state["cells"]), taken)).otherwise(state)
 
     nothing = F.array().cast("array<struct<key:bigint,n:int>>")
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(cells.alias("cells"), nothing.alias("found")), lambda s, _: one_round(s))
+    start = F.struct(cells.alias("cells"), nothing.alias("found"), F.lit(True).alias("live"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, lambda s, _: one_round(s))
 
 
 def is_empty(cells: Column) -> Column:
@@ -111,7 +118,7 @@ def is_empty(cells: Column) -> Column:
 
 def recovered(peeled: Column) -> Column:
     """How many digests differ; null if peeling failed."""
-    return F.when(is_empty(peeled["cells"]), F.size(peeled["found"]))
+    return _bound(peeled, lambda p: F.when(is_empty(p["cells"]), F.size(p["found"])))
 
 
 def retried(a: Column, b: Column) -> Column:

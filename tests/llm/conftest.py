@@ -1,5 +1,10 @@
+import os
+
 import pytest
 
+os.environ.setdefault("OMP_NUM_THREADS", "1")  # the workers of a local session share its cores
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
+
 
 @pytest.fixture
 def write_tables(tmp_path):
