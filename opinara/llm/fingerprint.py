@@ -6,9 +6,9 @@ checks. Sketches of two versions subtract cell by cell; peeling takes out digest
 is left, which recovers exactly the digests that differ.
 
 A sketch of ``WIDTH`` cells a row is a document's fingerprint. If the difference of two is too large to peel, the pair is
-retried with larger sketches: its digests are dealt to shards by hash, about ``SHARD`` to each, every shard has a sketch of
-its own, and a shard that fails is retried in the same row with wider rows and other hashes (after the last of them the
-few digests are compared directly).
+retried with a larger sketch that has room for all its digests; should that fail too, the digests are dealt to shards by
+hash, about ``SHARD`` to each, every shard has a sketch of its own, and a shard that fails is retried with wider rows and
+other hashes (after the last of them its few digests are compared directly).
 
 The next document is met in key ranges that are found from quantiles of the ids; the first document of each range is a
 guest in the range before. The texts are shuffled once; what follows stays in the same bucketed ranges.
@@ -28,10 +28,11 @@ from pyspark.sql import functions as F
 
 from opinara.llm.shared import shared_folder
 
-PARAGRAPH_ENDS = r"\s*\n\s*|(?<=[.!?])\s+"
+PARAGRAPH_ENDS = r"[.!?]\s+|\n"
 ROWS = 3
 WIDTH = 10
 SHARD = 5
+ROOM = 16
 RETRIES = ((1, 6), (2, 16), (3, 50))
 RANGE_BYTES = 2 << 20
 SIDE = 128  # ranges: at most SIDE * SIDE
@@ -167,6 +168,40 @@ def _ranges(docs: DataFrame) -> DataFrame:
     return order.unionAll(guests) if guests is not None else order
 
 
+def _single(pair: DataFrame, size: Column) -> DataFrame:
+    """A row for each digest of the pairs: its side (1 or -1) and the size of its pair's sketch."""
+    sided = lambda side, n: F.transform(side, lambda x: F.struct(x.alias("x"), F.lit(n).alias("side")))
+    rows = pair.select("bucket", "uid", "of", size.cast("bigint").alias("size"), F.explode(F.concat(sided("a", 1), sided("b", -1))).alias("d"))
+    return rows.select("bucket", "uid", "of", "size", "d.x", "d.side")
+
+
+def _wide_sketches(pair: DataFrame) -> DataFrame:
+    """First retry, (bucket, uid, of, differ, whole): a sketch with ``ROOM`` cells a row for each digest of the pair, kept as
+    rows of the cells in use. With that room one round of peeling nearly always recovers all; ``whole`` tells."""
+    key = ["bucket", "uid", "of"]
+    rows = _single(pair, ROOM * (F.size("a") + F.size("b"))).withColumn("row", F.explode(F.array(*[F.lit(r) for r in range(ROWS)])))
+    check = lambda x: F.hash(x, F.lit(17)).cast("bigint")
+    cell = F.pmod(F.xxhash64("x", F.col("row") + 101), F.col("size"))
+    cells = rows.groupBy(*key, "row", cell.alias("cell")).agg(F.sum("side").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor(check(F.col("x"))).alias("check"))
+    alone = F.when((F.abs("n") == 1) & (F.col("check") == check(F.col("x"))), F.col("x"))
+    first = F.col("row") == 0  # every digest is in one cell of the first row
+    found = cells.groupBy(*key, alone.alias("alone")).agg(F.max("n").alias("side"), F.bit_xor(F.when(first, F.col("x"))).alias("all"), F.sum(F.when(first, F.col("n"))).alias("sides"))
+    is_found = F.col("alone").isNotNull()
+    none = F.lit(0).cast("bigint")
+    return found.groupBy(*key).agg(
+        F.count("alone").cast("bigint").alias("differ"),
+        ((F.coalesce(F.bit_xor("alone"), none) == F.coalesce(F.bit_xor("all"), none)) & (F.coalesce(F.sum(F.when(is_found, F.col("side"))), none) == F.sum("sides"))).alias("whole"),
+    )
+
+
+def _sharded_sketches(pair: DataFrame) -> DataFrame:
+    """Further retries, (bucket, uid, of, differ): sketches of about ``SHARD`` digests each, retried until they peel."""
+    rows = _single(pair, F.ceil((F.size("a") + F.size("b")) / SHARD)).withColumn("shard", F.pmod(F.xxhash64("x", F.lit(0)), F.col("size")))
+    sides = [F.collect_list(F.when(F.col("side") == n, F.col("x"))).alias(name) for name, n in (("a", 1), ("b", -1))]
+    differ = rows.groupBy("bucket", "uid", "of", "shard").agg(*sides).withColumn("differ", retried(F.col("a"), F.col("b")))
+    return differ.groupBy("bucket", "uid", "of").agg(F.sum("differ").cast("bigint").alias("differ"))
+
+
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row of ``docs``: (id, n_chars, edited_sha256, cells, edited_cells, near_edited, near_next).
 
@@ -200,14 +235,10 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     found = spark.table(name)
 
     pair = found.select("bucket", "uid", F.explode("again").alias("p")).select("bucket", "uid", "p.of", "p.a", "p.b")
-    shards = F.ceil((F.size("a") + F.size("b")) / SHARD).cast("bigint")
-    sided = lambda side: F.transform(side, lambda x: F.struct(x.alias("x"), F.lit(side == "a").alias("left")))
-    single = pair.select("bucket", "uid", "of", shards.alias("shards"), F.explode(F.concat(sided("a"), sided("b"))).alias("d"))
-    single = single.select("bucket", "uid", "of", F.pmod(F.xxhash64("d.x", F.lit(0)), F.col("shards")).alias("shard"), "d.x", "d.left")
-    lists = single.groupBy("bucket", "uid", "of", "shard").agg(
-        F.collect_list(F.when(F.col("left"), F.col("x"))).alias("a"), F.collect_list(F.when(~F.col("left"), F.col("x"))).alias("b")
-    )
-    differ = lists.select("bucket", "uid", "of", retried(F.col("a"), F.col("b")).alias("differ"))
+    once = _wide_sketches(pair)
+    stuck = once.where("NOT whole").select(F.col("bucket").alias("k"), F.col("uid").alias("u"), F.col("of").alias("o"))
+    left = pair.join(stuck, (F.col("bucket") == F.col("k")) & (F.col("uid") == F.col("u")) & (F.col("of") == F.col("o")), "left_semi")
+    differ = once.where("whole").select("bucket", "uid", "of", "differ").unionByName(_sharded_sketches(left))
     more = differ.groupBy(F.col("bucket").alias("k"), F.col("uid").alias("u")).agg(
         F.sum(F.when(F.col("of") == "edited", F.col("differ"))).alias("more_edited"), F.sum(F.when(F.col("of") == "next", F.col("differ"))).alias("more_next")
     )

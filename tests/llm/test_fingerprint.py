@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from opinara.llm import fingerprint, queries
 from tests.llm import odd
 
-ENDS = re.compile(r"[ \t\n\x0b\f\r]*\n[ \t\n\x0b\f\r]*|(?<=[.!?])[ \t\n\x0b\f\r]+")
+ENDS = re.compile(r"[.!?][ \t\n\x0b\f\r]+|\n")
 
 
 def paragraphs(text):
@@ -86,6 +86,18 @@ def test_retries_until_whole(spark, n):
     assert df.select(fingerprint.retried(F.col("a"), F.col("b"))).first()[0] == n // 2 + n
 
 
+@pytest.mark.parametrize("room", [16, 1])
+def test_larger_sketches_of_pairs(spark, monkeypatch, room):
+    monkeypatch.setattr(fingerprint, "ROOM", room)
+    rows = [(0, u, "next", list(range(u)), list(range(u // 2, u + 7))) for u in range(0, 120, 3)]
+    pair = spark.createDataFrame(rows, "bucket int, uid bigint, of string, a array<bigint>, b array<bigint>")
+    pair = pair.select("bucket", "uid", "of", *[F.transform(c, lambda x: F.xxhash64(x)).alias(c) for c in "ab"])
+    got = fingerprint._wide_sketches(pair).collect()
+    assert len(got) == len(rows) and all(r.differ == r.uid // 2 + 7 for r in got if r.whole)
+    assert sum(r.whole for r in got) > 30 if room == 16 else not all(r.whole for r in got)
+    assert {r.uid: r.differ for r in fingerprint._sharded_sketches(pair).collect()} == {u: u // 2 + 7 for _, u, *_ in rows}
+
+
 def test_query(spark, write_tables):
     docs = odd.documents(spark)
     out = queries.op1_paragraph_iblt(spark, write_tables(documents=docs)).collect()
