@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import math
-from statistics import median
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from opinara.functions.numbers import to_number
+
 # Shape of a written date, and how to read it. A form is only tried on texts of its shape: a failed attempt costs
 # far more than the test.
 WRITTEN_FORMS = (
@@ -25,44 +24,50 @@ WRITTEN_FORMS = (
 )
 MILLIS_ABOVE = 1e10
 SECONDS_ABOVE = 1e8
-UNIT_SAMPLE = 100
+PER_DAY = {"s": 86400.0, "ms": 86400.0 * 1e3, "ns": 86400.0 * 1e9}
+FIRST_DAY, LAST_DAY = -719162, 2932896  # years 1 to 9999
 
 
-def detect_unit(df: DataFrame, column: str) -> str:
-    """``ms``, ``s`` or ``ns`` for a column of epoch numbers, ``text`` otherwise, from 100 present values."""
-    present = df.select(F.col(column).cast("string").alias("v")).where("v IS NOT NULL").take(UNIT_SAMPLE)
-    try:
-        numbers = [x for x in (float(row["v"]) for row in present) if not math.isnan(x)]
-    except ValueError:
-        return "text"
-    if not numbers:
-        return "text"
-    middle = median(numbers)
-    if middle > MILLIS_ABOVE:
-        return "ms"
-    return "s" if middle > SECONDS_ABOVE else "ns"
+def from_epoch(value: Column, unit: str | None = None) -> Column:
+    """UTC date of an epoch number, whatever the session's time zone; null for what is no number or no date.
 
+    Without a unit each value's size decides: milliseconds above 1e10, seconds above 1e8, nanoseconds below.
+    """
+    number = to_number(value)
+    if unit:
+        days = number / F.lit(PER_DAY[unit])
+    else:
+        days = number / F.when(number > MILLIS_ABOVE, PER_DAY["ms"]).when(number > SECONDS_ABOVE, PER_DAY["s"]).otherwise(PER_DAY["ns"])
+    inside = (days >= FIRST_DAY) & (days < LAST_DAY + 1)
+    return F.when(inside, F.date_from_unix_date(F.floor(days).cast("int")))
 
-def from_epoch(value: Column, unit: str) -> Column:
-    """UTC date of an epoch number, whatever the session's time zone."""
-    per_day = 86400 * {"s": 1.0, "ms": 1e3, "ns": 1e9}[unit]
-    return F.date_from_unix_date(F.floor(value.try_cast("double") / F.lit(per_day)).cast("int"))
 
+def from_text(value: Column, day_first: bool = False) -> Column:
+    """Date of a written timestamp; the date as written when a time zone follows it, null for a time without a date.
 
-def from_text(value: Column) -> Column:
-    """Date of a written timestamp; the date as written when a time zone follows it."""
-    whole = value.try_cast("timestamp")
+    ``day_first`` says how 03/04/2024 is read; the other order is tried where the first gives no date.
+    """
+    whole = F.when(value.rlike(r"^\s*[+-]?\d{4}"), value.try_cast("timestamp"))
     iso_day = F.substring(value, 1, 10).try_cast("date")
     branches = F.when(whole.isNotNull(), F.coalesce(iso_day, F.to_date(whole)))
     for shape, forms in WRITTEN_FORMS:
-        read = F.coalesce(*[F.try_to_timestamp(value, F.lit(form)) for form in forms])
+        ordered = forms[::-1] if day_first else forms
+        read = F.coalesce(*[F.try_to_timestamp(value, F.lit(form)) for form in ordered])
         branches = branches.when(value.rlike(f"^{shape}$"), F.to_date(read))
     return branches
 
 
-def parse_date(value: Column, unit: str = "text") -> Column:
-    """Date of a raw value, null where it cannot be read as one."""
-    return from_text(value.cast("string")) if unit == "text" else from_epoch(value, unit)
+def parse_date(value: Column, unit: str | None = None, day_first: bool = False) -> Column:
+    """Date of a raw value, null where it cannot be read as one. Without a unit each value is read by its own shape: eight
+    digits that are a date, then numbers by their size, then written forms."""
+    if unit == "text":
+        return from_text(value.cast("string"), day_first)
+    if unit:
+        return from_epoch(value, unit)
+    text = value.cast("string")
+    compact = F.when(text.rlike(r"^\d{8}$"), F.to_date(F.try_to_timestamp(text, F.lit("yyyyMMdd"))))
+    number = to_number(text)
+    return F.when(number.isNotNull(), F.coalesce(compact, from_epoch(text))).otherwise(from_text(text, day_first))
 
 
 def year_month(year: Column, month: Column) -> Column:

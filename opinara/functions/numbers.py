@@ -17,9 +17,13 @@ def percent(part: Column, whole: Column, digits: int | None) -> Column:
     return maybe_round(F.try_divide(F.lit(100.0) * part, whole), digits)
 
 
+_NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
+
 def to_number(value: Column) -> Column:
-    """Double value of a text; null where it is none."""
-    return value.try_cast("double")
+    """Double value of a text that is written as a decimal number; null where it is none."""
+    text = value.cast("string")
+    return F.when(text.rlike(_NUMBER), text.try_cast("double"))
 
 
 def is_valid_rating(value: Column) -> Column:

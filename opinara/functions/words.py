@@ -74,3 +74,9 @@ def any_phrase(phrases: Sequence[str]) -> str:
         body = "|".join(quoted(p) for p in plain)
         parts.insert(0, f"(?<![{WORD_CHAR}])(?:{body})(?![{WORD_CHAR}])")
     return "|".join(parts)
+
+
+def row_digest(columns: Sequence[str], *more: Column) -> Column:
+    """256-bit digest of a row's values, nulls told apart from texts."""
+    whole = F.to_json(F.struct(*more, *[F.col(f"`{c}`") for c in columns]), {"ignoreNullFields": "false"})
+    return F.sha2(whole, 256)

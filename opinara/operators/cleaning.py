@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from opinara import settings
 from opinara.functions import dates, numbers, text
+from opinara.functions.words import row_digest
 from opinara.sources.files import ORDER, with_order
 from opinara.sources.roles import resolve_roles
 
@@ -26,11 +27,10 @@ def collapse_copies(df: DataFrame) -> DataFrame:
     )
 
 
-def with_review_id(df: DataFrame) -> DataFrame:
-    """Key of a distinct raw row: a digest of all its values, the same on every run."""
+def with_review_id(df: DataFrame, platform: str = settings.DEFAULT_SOURCE) -> DataFrame:
+    """Key of a distinct raw row: a digest of the platform and all its values, the same on every run."""
     columns = [c for c in df.columns if c not in (ORDER, COPIES)]
-    whole = F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns]), {"ignoreNullFields": "false"})
-    return df.withColumn("review_id", F.sha2(whole, 256))
+    return df.withColumn("review_id", row_digest(columns, F.lit(platform)))
 
 
 def keep_valid_ratings(df: DataFrame, column: str) -> DataFrame:
@@ -50,7 +50,7 @@ def standardise_city(df: DataFrame, column: str) -> DataFrame:
 
 
 def parse_dates(df: DataFrame, column: str, unit: str | None = None) -> DataFrame:
-    return df.withColumn(column, dates.parse_date(F.col(column), unit or dates.detect_unit(df, column)))
+    return df.withColumn(column, dates.parse_date(F.col(column), unit))
 
 
 def fill_unknown(df: DataFrame) -> DataFrame:
@@ -70,10 +70,9 @@ def _required_roles(raw: DataFrame, platform: str) -> dict[str, str | None]:
 def clean(raw: DataFrame, platform: str = settings.DEFAULT_SOURCE, date_unit: str | None = None) -> DataFrame:
     """The raw columns cleaned in place, one row per review kept, with ``review_id`` and reading order."""
     roles = _required_roles(raw, platform)
-    unit = (date_unit or dates.detect_unit(raw, roles["date"])) if roles["date"] else None
     rows = (
         collapse_copies(raw)
-        .transform(with_review_id)
+        .transform(with_review_id, platform)
         .drop(COPIES)
         .transform(keep_valid_ratings, roles["rating"])
         .transform(drop_blank, roles["review_text"])
@@ -82,7 +81,7 @@ def clean(raw: DataFrame, platform: str = settings.DEFAULT_SOURCE, date_unit: st
     if roles["city"]:
         rows = standardise_city(rows, roles["city"])
     if roles["date"]:
-        rows = parse_dates(rows, roles["date"], unit)
+        rows = parse_dates(rows, roles["date"], date_unit)
     for place in ("latitude", "longitude"):
         if roles[place]:
             rows = rows.withColumn(roles[place], numbers.to_number(F.col(roles[place])))
@@ -92,33 +91,26 @@ def clean(raw: DataFrame, platform: str = settings.DEFAULT_SOURCE, date_unit: st
 def audit(raw: DataFrame, platform: str = settings.DEFAULT_SOURCE, date_unit: str | None = None) -> DataFrame:
     """One row of counts: rows before and after each step, dates lost, fills, city spellings, retention.
 
-    All counts are summed over the distinct raw rows, per city spelling first, so that spellings are counted on one
-    row each. They are result columns, not accumulators: a task that runs twice does not count twice.
+    Copies are found by a digest of the whole row, so only digests, flags and city spellings are shuffled, never texts.
+    All counts are summed over the distinct raw rows, per city spelling first. They are result columns, not
+    accumulators: a task that runs twice does not count twice.
     """
     roles = _required_roles(raw, platform)
-    unit = (date_unit or dates.detect_unit(raw, roles["date"])) if roles["date"] else None
     valid = numbers.is_valid_rating(F.col(roles["rating"]))
     kept = valid & ~text.is_blank(F.col(roles["review_text"]))
-    rows = collapse_copies(raw).withColumns({"_valid": valid, "_kept": kept})
-
-    def rows_with(condition) -> F.Column:
-        return F.sum(numbers.flag(condition))
-
-    counts = {
-        "initial_rows": F.sum(COPIES),
-        "distinct_rows": F.count("*"),
-        "valid_rating_rows": rows_with(F.col("_valid")),
-        "final_rows": rows_with(F.col("_kept")),
-    }
+    flags = {"valid_rating_rows": valid, "final_rows": kept}
     if roles["date"]:
-        parsed = dates.parse_date(F.col(roles["date"]), unit)
-        counts["null_dates"] = rows_with(F.col("_kept") & parsed.isNull())
+        flags["null_dates"] = kept & dates.parse_date(F.col(roles["date"]), date_unit).isNull()
     keyed = {roles[r] for r in ("rating", "date", "city", "review_text", "latitude", "longitude")}
     for field in raw.schema.fields:
         if field.dataType.typeName() == "string" and field.name not in keyed:
-            counts[f"filled_{field.name}"] = rows_with(F.col("_kept") & F.col(f"`{field.name}`").isNull())
+            flags[f"filled_{field.name}"] = kept & F.col(f"`{field.name}`").isNull()
     spelling = F.col(roles["city"]) if roles["city"] else F.lit(None).cast("string")
-    per_spelling = rows.groupBy(spelling.alias("_city")).agg(*[c.alias(name) for name, c in counts.items()])
+    digest = row_digest([c for c in raw.columns if c != ORDER])
+    slim = raw.select(digest.alias("_digest"), spelling.alias("_city"), *[numbers.flag(f).alias(name) for name, f in flags.items()])
+    distinct = slim.groupBy("_digest", "_city", *flags).agg(F.count("*").alias("initial_rows"))
+    counts = ["initial_rows", "distinct_rows", *flags]
+    per_spelling = distinct.withColumn("distinct_rows", F.lit(1)).groupBy("_city").agg(*[F.sum(name).alias(name) for name in counts])
     totals = [F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in counts]
     if roles["city"]:
         used = F.when(F.col("final_rows") > 0, F.col("_city"))
@@ -146,8 +138,7 @@ def log_document(
     roles = _required_roles(raw, platform)
     dated = []
     if roles["date"]:
-        unit = date_unit or dates.detect_unit(raw, roles["date"])
-        parsed = raw.select(dates.parse_date(F.col(roles["date"]), unit).cast("string").alias("day"))
+        parsed = raw.select(dates.parse_date(F.col(roles["date"]), date_unit).cast("string").alias("day"))
         dated = [row["day"] for row in parsed.where("day IS NOT NULL").take(3)]
 
     def texts(values: list) -> F.Column:

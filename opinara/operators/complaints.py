@@ -76,9 +76,9 @@ def business_profile(
     df: DataFrame, text_column: str, business_column: str, label_column: str | None = "sentiment_label",
     top_n: int = 20, complaints: Dictionary | None = None,
 ) -> DataFrame:
-    """Mentions per category for the busiest businesses. Their names, ``top_n`` rows, are sent to the reviews."""
+    """Mentions per category for the busiest businesses. Reviews of others are left out before tagging."""
     chosen = busiest(df, business_column, top_n, label_column).select(business_column)
-    kept = _relevant(df, label_column).join(F.broadcast(chosen), business_column, "left_semi")
+    kept = _relevant(df, label_column).join(chosen, business_column, "left_semi")
     return (
         mentions(kept, text_column, complaints, [F.col(business_column).alias("business")], None)
         .groupBy("business", "category")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opinara.functions.numbers import percent
+from opinara.functions.words import row_digest
 
 
 def null_summary(df: DataFrame) -> DataFrame:
@@ -43,14 +44,14 @@ def top_values(df: DataFrame, column: str, n: int = 10) -> DataFrame:
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    """Rows beyond the first of each group of equal rows."""
-    groups = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count("*").alias("_n"))
+    """Rows beyond the first of each group of equal rows; only digests of the rows are shuffled."""
+    groups = df.select(row_digest(df.columns).alias("_row")).groupBy("_row").agg(F.count("*").alias("_n"))
     return groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"))
 
 
 def overview(df: DataFrame) -> DataFrame:
     """Rows, columns and duplicate rows, from one grouping."""
-    groups = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count("*").alias("_n"))
+    groups = df.select(row_digest(df.columns).alias("_row")).groupBy("_row").agg(F.count("*").alias("_n"))
     rows = F.coalesce(F.sum("_n"), F.lit(0))
     return groups.agg(
         rows.alias("total_rows"),

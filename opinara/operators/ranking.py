@@ -41,7 +41,8 @@ def dense_rank_of_levels(df: DataFrame, value: str, name: str) -> DataFrame:
     """
     levels = df.select(value).distinct()
     ranked = levels.withColumn(name, F.dense_rank().over(Window.orderBy(F.col(value).desc())).cast("bigint"))
-    return df.join(F.broadcast(ranked), value)
+    level = ranked.withColumnRenamed(value, "_level")
+    return df.join(level, F.col(value).eqNullSafe(F.col("_level"))).drop("_level")
 
 
 def rank_within(df: DataFrame, group: str, value: str, name: str, width: float = 1e-4) -> DataFrame:
@@ -85,7 +86,7 @@ def positions(df: DataFrame, order: Sequence[Column], name: str = "_position", t
     )
     here = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
     return (
-        ranged.join(F.broadcast(offsets), "_range")
+        ranged.join(offsets, "_range")
         .withColumn(name, F.col("_before") + here - 1)
         .drop("_range", "_before")
     )

@@ -104,7 +104,7 @@ def _weighted(
     vocabulary = _vocabulary(texts, terms, max_features)
     weights = (
         texts.select("grp", "id", F.explode(terms).alias("term"))
-        .join(F.broadcast(vocabulary), ["grp", "term"])
+        .join(vocabulary, ["grp", "term"])
         .repartition("id")
         .groupBy("id", "grp", "term", "n", "idf")
         .agg((F.count("*") * F.col("idf")).alias("w"))

@@ -64,12 +64,13 @@ def is_ready(spark: SparkSession, location: str) -> bool:
 def build(
     spark: SparkSession, raw_folder: str, location: str, platform: str = settings.DEFAULT_SOURCE,
     preferred: str | None = None, sample_rows: int | None = None, audit_path: str | None = None,
+    multi_line: bool = False,
 ) -> warehouse.Star:
-    """Reads, cleans, scores, tags and stores the reviews of a folder unless that has been done."""
+    """Reads, cleans, scores, tags and stores the reviews of all files of a folder unless that has been done."""
     if not is_ready(spark, location):
-        path = files.find_csv(spark, raw_folder, preferred)
-        rows = ordered(files.read_csv(spark, path), sample_rows)
+        paths = files.find_csv(spark, raw_folder, preferred)
+        rows = ordered(files.read_csv(spark, paths, multi_line), sample_rows)
         if audit_path:
-            files.write_json(cleaning.log_document(rows, platform, path, sample_rows), audit_path)
+            files.write_json(cleaning.log_document(rows, platform, ", ".join(paths), sample_rows), audit_path)
         store(prepare(rows, platform), location)
     return warehouse.read_star(spark, location)

@@ -96,7 +96,7 @@ def sample_reviews(
 ) -> DataFrame:
     """A few random reviews that meet all conditions given, always the same ones for a seed.
 
-    The draw happens on the review's own columns, every task keeping ``limit`` rows; the names are joined to the
+    Only reviews of known businesses are drawn from, every task keeping ``limit`` rows; the names are joined to the
     drawn rows.
     """
     rows = star.reviews
@@ -108,8 +108,7 @@ def sample_reviews(
     for column, value in {"business_name": business_name, "city_name": city_name}.items():
         if value:
             businesses = businesses.where(F.col(column) == value)
-    if business_name or city_name:
-        rows = rows.join(businesses.select("business_id"), "business_id", "left_semi")
+    rows = rows.join(businesses.select("business_id"), "business_id", "left_semi")
     drawn = rows.orderBy(F.rand() if seed is None else draw(F.col("review_id"), seed)).limit(limit)
     return drawn.join(businesses, "business_id").select(
         "business_name", "city_name", "rating", "sentiment_label", "review_text", "review_date"

@@ -16,7 +16,6 @@ from opinara.functions.dates import year_month
 from opinara.functions.numbers import percent
 from opinara.operators.rollup import average, by_name, named, per_business, per_month, regroup, share
 from opinara.plans.trends import volume_change
-from opinara.session import durable
 from opinara.sources.warehouse import Star
 
 SCOPE = "scope"
@@ -209,7 +208,7 @@ def insights(
     """All findings, for all reviews or for each value of the review column ``by``."""
     scope = F.col(by).cast("string") if by else F.lit("all")
     reviews = star.reviews.withColumn(SCOPE, scope)
-    rows = durable(named(per_business(reviews, SCOPE), star.businesses))
+    rows = named(per_business(reviews, SCOPE), star.businesses)
     total = regroup(rows, SCOPE)
     frequent = F.col("reviews") >= min_reviews
     by_city = by_name(rows, star.cities, "city_id", "city_name", SCOPE).where(frequent)

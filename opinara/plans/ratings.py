@@ -13,7 +13,6 @@ from opinara import settings
 from opinara.functions.numbers import flag, mean_rating, percent, rating_units
 from opinara.operators import ranking
 from opinara.operators.rollup import add_names, average, by_name, named, per_business, share, sums
-from opinara.session import durable
 from opinara.sources.warehouse import Star
 
 MIN = settings.MIN_REVIEWS
@@ -185,7 +184,7 @@ def needs_attention(star: Star, threshold: float = settings.RATING_ALERT, min_re
 
 def above_city_average(star: Star) -> DataFrame:
     """Businesses rated above the average review of their city, both averages unrounded."""
-    rows = durable(business_measures(star, 0).where("city_id IS NOT NULL"))
+    rows = business_measures(star, 0).where("city_id IS NOT NULL")
     city = rows.groupBy("city_id").agg(mean_rating(F.sum("rating_sum"), F.sum("rated"), None).alias("city_avg"))
     above = rows.join(add_names(city, star.cities, "city_id", "city_name"), "city_id").where(
         average(None) > F.col("city_avg")
@@ -195,7 +194,7 @@ def above_city_average(star: Star) -> DataFrame:
 
 def business_rank(star: Star, min_reviews: int = MIN) -> DataFrame:
     """All businesses ranked by rounded average; equal averages share a rank, no rank is left out."""
-    rows = durable(_listed(business_measures(star, min_reviews)))
+    rows = _listed(business_measures(star, min_reviews))
     ranked = add_names(
         ranking.dense_rank_of_levels(rows, "avg_rating", "rating_rank"), star.cities, "city_id", "city_name", "left"
     )
@@ -208,7 +207,7 @@ def rank_in_city(star: Star, min_reviews: int = MIN) -> DataFrame:
     rows = business_measures(star, min_reviews).where("city_id IS NOT NULL").select(
         "business_id", F.col("business_name").alias("name"), "city_id", average(None).alias("_avg")
     )
-    ranked = ranking.rank_within(durable(rows), "city_id", "_avg", "city_rank")
+    ranked = ranking.rank_within(rows, "city_id", "_avg", "city_rank")
     return add_names(ranked, star.cities, "city_id", "city_name").select(
         "business_id", "city_name", "name", F.round("_avg", 2).alias("avg_rating"), "city_rank"
     )
@@ -229,7 +228,7 @@ def best_city_per_category(star: Star, min_reviews: int = MIN) -> DataFrame:
     """
     known = named(per_business(star.reviews), star.businesses).where("category_id IS NOT NULL")
     places = by_name(known, star.cities, "city_id", "city_name", "category_id")
-    pairs = durable(
+    pairs = (
         add_names(places, star.categories, "category_id", "category_name")
         .where(F.col("reviews") >= min_reviews)
         .select("category_name", "city_name", average(2).alias("avg_rating"), F.col("reviews").alias("review_count"))

@@ -9,33 +9,33 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from opinara import settings
+from opinara.functions.numbers import to_number
 
 ORDER = "_order"
 
 
-def find_csv(spark: SparkSession, folder: str, preferred: str | None = None) -> str:
-    """Path of the preferred CSV file of a folder, else of its first one by name."""
-    wanted = F.col("path").endswith("/" + preferred) if preferred else F.lit(False)
+def find_csv(spark: SparkSession, folder: str, preferred: str | None = None) -> list[str]:
+    """Paths of all CSV files of a folder by name, or of the preferred one alone if it is there."""
     try:
         files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder).select("path")
-        best = files.orderBy(wanted.desc(), "path").first()
+        paths = [row["path"] for row in files.orderBy("path").collect()]
     except AnalysisException:
-        best = None
-    if best is None:
+        paths = []
+    if not paths:
         raise FileNotFoundError(f"no CSV file in {folder}")
-    return best["path"]
+    return [p for p in paths if preferred and p.endswith("/" + preferred)] or paths
 
 
 def read_csv(
     spark: SparkSession,
     path: str | Sequence[str],
-    multi_line: bool = True,
+    multi_line: bool = False,
     null_texts: Sequence[str] = tuple(settings.NULL_TEXTS),
 ) -> DataFrame:
     """A UTF-8 CSV file (or folder, or several) with header, every column as text.
 
-    Quoted line breaks need ``multi_line``, which reads one file per task; pass False for files known to have
-    none, and Spark splits them. Raises ValueError when there are no rows.
+    Files are split over tasks. Quoted line breaks need ``multi_line``, which reads one file per task. All files must
+    have the same header; another one is an error. Raises ValueError when there are no rows.
     """
     raw = (
         spark.read.option("header", True)
@@ -44,6 +44,7 @@ def read_csv(
         .option("quote", '"')
         .option("escape", '"')
         .option("multiLine", multi_line)
+        .option("enforceSchema", False)
         .csv(path if isinstance(path, str) else list(path))
     )
     if raw.isEmpty():
@@ -54,16 +55,6 @@ def read_csv(
     return raw.select(*blanked)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows dealt out by a unique key when a scan has fewer splits than there are cores.
-
-    For work that is heavy on the processor, such as text, over a few unsplittable files. A large input has more
-    splits than cores and stays as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def with_order(df: DataFrame) -> DataFrame:
     """Adds the reading order. It follows the scan's splits, so apply it directly to a read."""
     return df.withColumn(ORDER, F.monotonically_increasing_id())
@@ -75,7 +66,7 @@ def numeric_columns(df: DataFrame) -> list[str]:
     if not texts:
         return []
     tests = [
-        (F.count(F.col(f"`{c}`")) == F.count(F.col(f"`{c}`").try_cast("double"))).alias(c) for c in texts
+        (F.count(F.col(f"`{c}`")) == F.count(to_number(F.col(f"`{c}`")))).alias(c) for c in texts
     ]
     row = df.agg(*tests).first()
     return [c for c in texts if row[c]]
@@ -84,7 +75,7 @@ def numeric_columns(df: DataFrame) -> list[str]:
 def with_numbers(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Casts numeric text columns to double; which ones is found out when not given."""
     names = numeric_columns(df) if columns is None else [c for c in columns if c in df.columns]
-    return df.withColumns({c: F.col(f"`{c}`").try_cast("double") for c in names}) if names else df
+    return df.withColumns({c: to_number(F.col(f"`{c}`")) for c in names}) if names else df
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -24,7 +24,7 @@ def _boundary(rows: DataFrame, bucket: str, wanted: int) -> tuple[str, int]:
 
 
 def exact_sample(
-    df: DataFrame, n: int = settings.SAMPLE_ROWS, seed: int = settings.SAMPLE_SEED, key: str | None = None
+    df: DataFrame, n: int, seed: int = settings.SAMPLE_SEED, key: str | None = None
 ) -> DataFrame:
     """``n`` rows without replacement, or all rows when there are no more than that.
 

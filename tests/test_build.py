@@ -37,7 +37,7 @@ def content(df):
 def test_build_and_rerun(spark, raw_folder, tmp_path):
     where = str(tmp_path / "star")
     assert not build.is_ready(spark, where)
-    built = build.build(spark, raw_folder, where, preferred="reviews.csv", audit_path=str(tmp_path / "audit"))
+    built = build.build(spark, raw_folder, where, preferred="reviews.csv", audit_path=str(tmp_path / "audit"), multi_line=True)
     assert build.is_ready(spark, where)
 
     assert sorted(r["city_name"] for r in built.cities.collect()) == ["Ankara", "Istanbul", "Unknown"]
@@ -69,14 +69,14 @@ def test_build_and_rerun(spark, raw_folder, tmp_path):
     assert {r["total_reviews"] for r in views.business_summary(built).collect()} == {3, 1}
 
     before = {name: content(getattr(built, name)) for name in ("cities", "categories", "businesses", "reviews", "keywords")}
-    raw = files.read_csv(spark, files.find_csv(spark, raw_folder))
+    raw = files.read_csv(spark, files.find_csv(spark, raw_folder), multi_line=True)
     assert build.store(build.prepare(build.ordered(raw)), where) == 7
     again = warehouse.read_star(spark, where)
     assert before == {name: content(getattr(again, name)) for name in before}
 
 
 def test_registered_views(spark, raw_folder, tmp_path):
-    built = build.build(spark, raw_folder, str(tmp_path / "star"))
+    built = build.build(spark, raw_folder, str(tmp_path / "star"), multi_line=True)
     warehouse.register(built)
     views.register_views(built)
     got = warehouse.query(
@@ -92,7 +92,7 @@ def test_registered_views(spark, raw_folder, tmp_path):
 
 
 def test_sampled_build(spark, raw_folder, tmp_path):
-    built = build.build(spark, raw_folder, str(tmp_path / "star"), sample_rows=3, audit_path=str(tmp_path / "audit"))
+    built = build.build(spark, raw_folder, str(tmp_path / "star"), sample_rows=3, audit_path=str(tmp_path / "audit"), multi_line=True)
     audit = files.read_json(spark, str(tmp_path / "audit")).first()
     assert (audit["initial_rows"], audit["sample_size"]) == (3, 3)
     assert built.reviews.count() == audit["final_rows"]
@@ -109,3 +109,13 @@ def test_business_without_city_column(spark):
     assert got["A"]["external_id"] == "y" and got["A"]["city_id"] is None
     assert star.build_cities(rows).count() == 0
     assert star.build_categories(rows).count() == 2
+
+
+def test_build_reads_every_file_of_the_folder(spark, raw_folder, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for i, row in enumerate(ROWS[:2]):
+        with open(folder / f"part{i}.csv", "w", newline="", encoding="utf-8") as f:
+            csv.writer(f).writerows([HEADER, row])
+    raw = files.read_csv(spark, files.find_csv(spark, str(folder)), multi_line=True)
+    assert raw.count() == 2

@@ -94,13 +94,3 @@ def test_profile(spark, raw, tmp_path):
     for _ in range(2):
         profiling.write_report(raw, "sample", str(tmp_path / "report"))
     assert "- Duplicate rows: 1" in [r["value"] for r in spark.read.text(str(tmp_path / "report")).collect()]
-
-
-def test_spread_keeps_rows(spark):
-    df = spark.range(100).coalesce(1)
-    wide = files.spread(df, "id")
-    assert wide.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert wide.count() == 100
-    many = spark.range(0, 100, 1, 50)
-    assert files.spread(many, "id") is many
-    assert wide.agg(F.sum("id")).first()[0] == 4950

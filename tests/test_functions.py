@@ -1,6 +1,5 @@
 import datetime as dt
 import re
-import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -23,21 +22,16 @@ SAMPLES = [
 ]
 
 
-def expected_clean(value):
-    value = re.sub(r"<[^>]+>", " ", value)
-    value = unicodedata.normalize("NFC", value)
-    for odd, plain in (("’", "'"), ("‘", "'"), ("“", '"'), ("”", '"')):
-        value = value.replace(odd, plain)
-    return re.sub(r"\s+", " ", value).strip()
+CLEANED = ['a b', '', '\'x\' "y"', 'été', 'two lines here now', 'field', '', 'a c', "İSTANBUL'da", 'straße ß', 'x\u200by']
 
 
 def test_normalise(column):
-    assert column(SAMPLES, text.normalise(V)) == [expected_clean(s) for s in SAMPLES]
+    assert column(SAMPLES, text.normalise(V)) == CLEANED
 
 
 def test_blank(column):
     values = ["", "  ", "\t\n", " ", " \x1c", None, ".", " a "]
-    assert column(values, text.is_blank(V)) == [v is None or v.strip() == "" for v in values]
+    assert column(values, text.is_blank(V)) == [True, True, True, True, True, True, False, False]
 
 
 def test_city(column):
@@ -45,10 +39,7 @@ def test_city(column):
         "nyc", " Bombay ", "o'fallon st-john", "", None, "İstanbul", "IZMIR", "3rd ave", "ŞİŞLİ", "straße", "ßen", " la\t",
         "washington DC", "new  york", "中a b",
     ]
-    aliases = settings.CITY_ALIASES
-    wanted = [
-        "Unknown" if v is None or not v.strip() else aliases.get(v.strip().lower(), v.strip().title()) for v in values
-    ]
+    wanted = ['New York City', 'Mumbai', "O'Fallon St-John", 'Unknown', 'Unknown', 'İstanbul', 'Izmir', '3Rd Ave', 'Şi̇şli̇', 'Straße', 'Ssen', 'Los Angeles', 'Washington D.C.', 'New  York', '中A B']
     assert column(values, text.standard_city(V)) == wanted
 
 
@@ -79,16 +70,24 @@ def test_written_dates(column):
     assert column(values, dates.parse_date(V)) == wanted
 
 
-def test_epoch_dates(spark, column):
-    for unit, value in (("ms", 1700000000000), ("s", 1700000000)):
-        df = spark.createDataFrame([(str(value),), (None,), (str(value + 5),)], "v string")
-        assert dates.detect_unit(df, "v") == unit
-        assert column([str(value), "x", None], dates.parse_date(V, unit)) == [dt.date(2023, 11, 14), None, None]
-    small = spark.createDataFrame([(17,), (18,)], "v int")
-    assert dates.detect_unit(small, "v") == "ns"
-    assert column([17], dates.parse_date(V, "ns"), "int") == [dt.date(1970, 1, 1)]
-    assert dates.detect_unit(spark.createDataFrame([("2024-01-01",)], "v string"), "v") == "text"
-    assert dates.detect_unit(spark.createDataFrame([], "v string"), "v") == "text"
+def test_epoch_dates(column):
+    day, first = dt.date(2023, 11, 14), dt.date(1970, 1, 1)
+    values = ["1700000000000", "1700000000", "1.7e9", "-5", "17", "20240305", "99999999", "1e19", "Infinity", "NaN", "1700000000d", None]
+    assert column(values, dates.parse_date(V)) == [day, day, day, dt.date(1969, 12, 31), first, dt.date(2024, 3, 5), first] + [None] * 5
+    assert column(["1700000000000", "1e30"], dates.parse_date(V, "ms")) == [day, None]
+    assert column([1700000000, 17], dates.parse_date(V), "bigint") == [day, first]
+    assert column(["12:30:00", "T12:30", "2024-03-05T12:30"], dates.parse_date(V)) == [None, None, dt.date(2024, 3, 5)]
+
+
+def test_order_of_day_and_month(column):
+    values = ["03/04/2024", "25/12/2024", "12-25-2024"]
+    assert column(values, dates.parse_date(V)) == [dt.date(2024, 3, 4), dt.date(2024, 12, 25), dt.date(2024, 12, 25)]
+    assert column(values, dates.parse_date(V, day_first=True)) == [dt.date(2024, 4, 3), dt.date(2024, 12, 25), dt.date(2024, 12, 25)]
+
+
+def test_numbers_have_the_shape_of_numbers(column):
+    values = ["5d", "4f", "0x1p1", "4L", " 4.50 ", ".5", "5.", "-1e-1", "+3", "1e", "e1", "4 5", "NaN", ""]
+    assert column(values, numbers.to_number(V)) == [None] * 4 + [4.5, 0.5, 5.0, -0.1, 3.0] + [None] * 5
 
 
 def test_words(column):
@@ -115,8 +114,6 @@ def test_dictionary_lookup(column):
 def test_phrases(column):
     texts = ["wait", "waiting", "a wait.", "hizmetçi", "hizmet!", "c++", "c++x", "a.b", "axb", "no parking here", "_wait"]
     phrases = ["wait", "hizmet", "a.b", "no parking"]
-    wanted = [any(re.search(r"\b" + re.escape(p) + r"\b", t) for p in phrases) for t in texts]
+    wanted = [True, False, True, False, True, False, False, True, False, True, False]
     assert column(texts, V.rlike(words.any_phrase(phrases))) == wanted
-    assert column(["c++x", "c++", "c++ "], V.rlike(words.any_phrase(["c++"]))) == [
-        bool(re.search(r"\b" + re.escape("c++") + r"\b", t)) for t in ("c++x", "c++", "c++ ")
-    ]
+    assert column(["c++x", "c++", "c++ "], V.rlike(words.any_phrase(["c++"]))) == [True, False, False]

@@ -14,7 +14,7 @@ def write(folder, name, text):
 
 def test_csv_quotes_line_breaks_and_missing_values(spark, tmp_path):
     path = write(tmp_path, "a.csv", 'name,text,stars\n"Çay ""1""","line one\nline two, more",5\nB,N/A,\n"NA",x,4\n')
-    df = files.read_csv(spark, path)
+    df = files.read_csv(spark, path, multi_line=True)
     assert [tuple(r) for r in df.orderBy("stars").collect()] == [
         ("B", None, None), (None, "x", "4"), ('Çay "1"', "line one\nline two, more", "5"),
     ]
@@ -34,14 +34,17 @@ def test_csv_without_rows_or_file(spark, tmp_path):
 def test_find_csv(spark, tmp_path):
     for name in ("b.csv", "a.csv", "wanted.csv", "c.txt"):
         write(tmp_path, name, "x\n1\n")
-    assert files.find_csv(spark, str(tmp_path), "wanted.csv").endswith("/wanted.csv")
-    assert files.find_csv(spark, str(tmp_path), "missing.csv").endswith("/a.csv")
+    def names(preferred=None):
+        return [path.rsplit("/", 1)[1] for path in files.find_csv(spark, str(tmp_path), preferred)]
+
+    assert names("wanted.csv") == ["wanted.csv"]
+    assert names("missing.csv") == names() == ["a.csv", "b.csv", "wanted.csv"]
 
 
 def test_csv_and_json_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("a,b", 'say "x"', 1), ("two\nlines", None, 2)], "p string, q string, n int")
     files.write_csv(df, str(tmp_path / "csv"))
-    back = files.read_csv(spark, str(tmp_path / "csv"))
+    back = files.read_csv(spark, str(tmp_path / "csv"), multi_line=True)
     assert sorted(tuple(r) for r in back.collect()) == [("a,b", 'say "x"', "1"), ("two\nlines", None, "2")]
     for _ in range(2):
         files.write_json(df, str(tmp_path / "json"))

@@ -71,12 +71,13 @@ def null_summary() -> str:
         "review_id": "string", "business_id": "bigint", "rating": "double", "review_date": "date", "review_year": "int",
         "review_month": "int", "source": "string", "sentiment_label": "string",
     }
+    empty = "SELECT 'review_text' AS \"column\", count(*) AS null_count, 100.0::DOUBLE AS null_pct, 'string' AS dtype FROM reviews"
     parts = [
         f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS null_count, "
         f"{rnd(f'100.0::DOUBLE * (count(*) - count({c})) / count(*)', 2)} AS null_pct, '{k}' AS dtype FROM reviews"
         for c, k in kinds.items()
     ]
-    return star(" UNION ALL ".join(parts))
+    return star(" UNION ALL ".join([empty, *parts]))
 
 
 def title(value: str) -> str:
@@ -99,7 +100,7 @@ def normalised(value: str) -> str:
 
 
 RAW = """raw AS (
-  SELECT CASE n_chars % 11 WHEN 0 THEN 'abc' WHEN 1 THEN '0.5' WHEN 2 THEN '6' WHEN 3 THEN NULL
+  SELECT CASE n_chars % 11 WHEN 0 THEN 'abc' WHEN 1 THEN '0.5' WHEN 2 THEN '6' WHEN 3 THEN NULL WHEN 4 THEN '5d' WHEN 5 THEN '4f' WHEN 6 THEN '0x1p1'
               ELSE CAST(n_chars % 5 + 1 AS VARCHAR) END AS stars,
          CASE WHEN n_chars % 13 = 0 THEN chr(160) || chr(9) || ' '
               ELSE replace(replace(text, 'é', 'e' || chr(769)), '. ', '.' || chr(160) || '<br/>' || chr(8217) || chr(9) || ' ') END AS text,
@@ -375,10 +376,10 @@ def all_oracles() -> dict[str, str]:
             {rnd('100.0::DOUBLE * count(*) / (SELECT count(*) FROM reviews)', 2)} AS pct FROM reviews GROUP BY review_date
             ORDER BY count DESC, value NULLS FIRST LIMIT 20"""
         ),
-        "duplicate_rows": """SELECT CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT text, lang FROM documents)) AS BIGINT)
+        "duplicate_rows": """SELECT CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM documents)) AS BIGINT)
             AS duplicate_rows FROM documents""",
-        "profile_overview": """SELECT count(*) AS total_rows, CAST(2 AS BIGINT) AS total_columns,
-            CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)) AS BIGINT)
+        "profile_overview": """SELECT count(*) AS total_rows, CAST(11 AS BIGINT) AS total_columns,
+            CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem)) AS BIGINT)
             AS duplicate_rows FROM lineitem""",
         "scored_counts": star(
             "SELECT count(*) AS total_reviews, count(sentiment_label) AS scored_reviews FROM reviews"
@@ -408,7 +409,8 @@ def all_oracles() -> dict[str, str]:
             UNION SELECT CASE event_type WHEN 'view' THEN 'Bombay' WHEN 'click' THEN ' nyc' || chr(9) WHEN 'purchase' THEN ' ' END
             FROM events) SELECT city, {city('city')} AS standard_city FROM names""",
         "parse_dates": f"""SELECT o_orderkey, {day} AS iso_date, {day} AS us_date, {day} AS written_date, {day} AS zoned_date,
-            {day} AS s_date, {day} AS ms_date, CAST(NULL AS DATE) AS none_date FROM orders""",
+            {day} AS s_date, {day} AS ms_date, CAST(NULL AS DATE) AS none_date,
+            CASE WHEN o_orderkey % 5 < 3 THEN {day} END AS mixed_date FROM orders""",
         "build_cities": f"""WITH {CANONICAL} SELECT DISTINCT sha256(city) AS city_id, city AS city_name FROM rows
             WHERE city IS NOT NULL""",
         "build_categories": f"""WITH {CANONICAL} SELECT DISTINCT sha256(category) AS category_id, category AS category_name

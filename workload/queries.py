@@ -11,7 +11,6 @@ from opinara.functions import dates, text
 from opinara.functions.numbers import sentiment_label
 from opinara.operators import cleaning, complaints, profiling, sentiment, star, terms
 from opinara.plans import businesses, feedback, insights, ratings, trends, views
-from opinara.sources.files import spread
 from opinara.sources.sampling import exact_sample
 from workload import tables
 from workload.tables import canonical_reviews, plain_reviews, rating_star, raw_reviews, read, text_reviews
@@ -82,17 +81,21 @@ def parsed_dates(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T01:30:00+05:00")).alias("zoned"),
         seconds.alias("s"), (seconds * 1000).alias("ms"), F.col("o_orderpriority").alias("none"),
     )
-    units = {c: dates.detect_unit(raw, c) for c in ("iso", "us", "written", "zoned", "s", "ms", "none")}
-    return spread(raw, "o_orderkey").select("o_orderkey", *[dates.parse_date(F.col(c), u).alias(f"{c}_date") for c, u in units.items()])
+    key = F.col("o_orderkey")
+    bad = F.when(key % 5 == 3, F.when(key % 2 == 0, "1e19").otherwise("NaN")).when(key % 10 == 4, "12:30:00").otherwise("T12:30")
+    mixed = F.when(key % 5 == 0, F.col("s").cast("string")).when(key % 5 == 1, F.col("ms").cast("string")).when(key % 5 == 2, F.col("iso"))
+    raw = raw.withColumn("mixed", mixed.otherwise(bad))
+    names = ("iso", "us", "written", "zoned", "s", "ms", "none", "mixed")
+    return raw.select("o_orderkey", *[dates.parse_date(F.col(c)).alias(f"{c}_date") for c in names])
 
 
 def clean_pages(spark: SparkSession, folder: str) -> DataFrame:
-    pages = spread(read(spark, folder, "pages"), "page_id").select("page_id", F.col("html").alias("review_text"))
+    pages = read(spark, folder, "pages").select("page_id", F.col("html").alias("review_text"))
     return cleaning.normalise_text(cleaning.drop_blank(pages, "review_text"), "review_text")
 
 
 def cleaned(spark: SparkSession, folder: str) -> DataFrame:
-    return cleaning.clean(raw_reviews(spark, folder), date_unit="text").drop("review_id", "_order")
+    return cleaning.clean(raw_reviews(spark, folder)).drop("review_id", "_order")
 
 
 def tagged(spark: SparkSession, folder: str) -> DataFrame:
@@ -187,14 +190,14 @@ def all_queries() -> dict[str, Query]:
         "business_names": _on_star(businesses.business_names),
         "city_names": _on_star(businesses.city_names),
         "category_names": _on_star(businesses.category_names),
-        "null_summary": lambda s, f: profiling.null_summary(rating_star(s, f).reviews.drop("review_text")),
+        "null_summary": lambda s, f: profiling.null_summary(rating_star(s, f).reviews),
         "value_frequency": lambda s, f: profiling.top_values(rating_star(s, f).reviews, "review_date", 20),
-        "duplicate_rows": lambda s, f: profiling.duplicate_rows(read(s, f, "documents").select("text", "lang")),
-        "profile_overview": lambda s, f: profiling.overview(read(s, f, "lineitem").select("l_orderkey", "l_linenumber")),
+        "duplicate_rows": lambda s, f: profiling.duplicate_rows(read(s, f, "documents")),
+        "profile_overview": lambda s, f: profiling.overview(read(s, f, "lineitem")),
         "scored_counts": _on_star(ratings.scored_counts),
         "clean_pages": clean_pages,
         "clean_reviews": cleaned,
-        "cleaning_metrics": lambda s, f: cleaning.audit(raw_reviews(s, f), date_unit="text"),
+        "cleaning_metrics": lambda s, f: cleaning.audit(raw_reviews(s, f)),
         "standardise_city": city_names_of,
         "parse_dates": parsed_dates,
         "build_cities": _built(star.build_cities, "city_id", "city_name"),

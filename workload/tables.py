@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opinara.operators import complaints
-from opinara.sources.files import ORDER, spread
+from opinara.sources.files import ORDER
 
 AS_OF = "2001-11-04"
 ATTENTION = 3.0
@@ -145,7 +145,7 @@ def rating_star(spark: SparkSession, folder: str) -> RatingStar:
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(read(spark, folder, "documents"), "doc_id")
+    return read(spark, folder, "documents")
 
 
 def plain_reviews(spark: SparkSession, folder: str) -> DataFrame:
@@ -178,6 +178,7 @@ def raw_reviews(spark: SparkSession, folder: str) -> DataFrame:
     day = F.date_add(F.lit("2020-01-01").cast("date"), (n % 1000).cast("int"))
     return documents(spark, folder).select(
         F.when(n % 11 == 0, "abc").when(n % 11 == 1, "0.5").when(n % 11 == 2, "6").when(n % 11 == 3, None)
+        .when(n % 11 == 4, "5d").when(n % 11 == 5, "4f").when(n % 11 == 6, "0x1p1")
         .otherwise((n % 5 + 1).cast("string")).alias("stars"),
         F.when(n % 13 == 0, F.lit("\u00a0\t ")).otherwise(text).alias("text"),
         F.concat(F.lit("Shop "), (n % 10).cast("string")).alias("name"),
