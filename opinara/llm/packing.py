@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from opinara.llm.shared import stored
+from opinara.llm.shared import slices, stored
 
 END = 0
 SPLIT_CHARS = 1 << 20
@@ -158,7 +158,7 @@ def tokenized(docs: DataFrame, id_column: str, text_column: str, window: int, to
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = np.zeros(window + 1, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             ids_out, rows = batch.column(1), []
             for text in batch.column(2).to_pylist():
                 ids = np.append(token_ids(text or "", tokenizer), np.uint32(END)).astype("<u4")

@@ -46,11 +46,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows`` rows, which bounds what a task unpacks at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def by_batch(function: Callable[[pa.RecordBatch], pa.Table | pa.RecordBatch | None]):
-    """A mapInArrow function that treats each batch on its own."""
+    """A mapInArrow function that treats each part of a batch on its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = function(batch)
             if out is not None:
                 yield from out.to_batches() if isinstance(out, pa.Table) else [out]
