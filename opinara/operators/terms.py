@@ -33,6 +33,25 @@ def _totals(texts: DataFrame, terms: Column, *keys: str) -> DataFrame:
     )
 
 
+def _term_counts(terms: Column) -> Column:
+    """The distinct terms of one text with how often each occurs: array<struct<term, tf>>. Counted inside the row."""
+
+    def runs(ordered: Column) -> Column:
+        size = F.size(ordered)
+        places = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(places, lambda i: (i == 1) | (F.get(ordered, i - 1) != F.get(ordered, i - 2)))
+        return F.flatten(
+            F.transform(
+                F.array(starts),
+                lambda at: F.transform(
+                    at, lambda i, k: F.struct(F.get(ordered, i - 1).alias("term"), (F.coalesce(F.get(at, k + 1), size + 1) - i).alias("tf"))
+                ),
+            )
+        )
+
+    return F.flatten(F.transform(F.array(F.sort_array(terms)), runs))
+
+
 def word_frequency(
     df: DataFrame, text_column: str = "review_text", max_words: int = settings.WORD_LIST_SIZE,
     stop_words: Sequence[str] | None = None,
@@ -93,8 +112,8 @@ def _weighted(
     """Mean normalised tf-idf per term and group: smooth idf, terms in two or more texts, the ``max_features``
     most frequent of them, unit vectors, mean over all texts of the group.
 
-    Two passes over the texts: one for the vocabulary, which is sent to the texts of the other one. Only vocabulary
-    terms are shuffled there, once, by text, to measure its vector.
+    Two passes over the texts: one for the vocabulary, which meets the texts of the other one. Terms are counted inside
+    their text; only the distinct vocabulary terms of a text are shuffled, once, to measure its vector.
     """
     texts = docs.where(F.col(text_column).isNotNull()).select(
         group.alias("grp"), F.col(id_column).alias("id"), F.col(text_column).alias("body")
@@ -103,11 +122,10 @@ def _weighted(
     terms = ngrams(tokens, *sizes)
     vocabulary = _vocabulary(texts, terms, max_features)
     weights = (
-        texts.select("grp", "id", F.explode(terms).alias("term"))
+        texts.select("grp", "id", F.explode(_term_counts(terms)).alias("t"))
+        .select("grp", "id", "t.term", "t.tf")
         .join(vocabulary, ["grp", "term"])
-        .repartition("id")
-        .groupBy("id", "grp", "term", "n", "idf")
-        .agg((F.count("*") * F.col("idf")).alias("w"))
+        .select("grp", "id", "term", "n", (F.col("tf") * F.col("idf")).alias("w"))
     )
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
     scores = (
