@@ -43,6 +43,15 @@ def canonical(df: DataFrame, platform: str = settings.DEFAULT_SOURCE, source: st
 
 
 def union_platforms(frames: Mapping[str, DataFrame]) -> DataFrame:
-    """One canonical frame out of one raw or cleaned frame per platform."""
-    parts = [canonical(df, platform) for platform, df in frames.items()]
+    """One canonical frame out of one raw or cleaned frame per platform.
+
+    Reading orders follow the platforms' order here, then each platform's own.
+    """
+    parts = []
+    for place, (platform, df) in enumerate(frames.items()):
+        part = canonical(df, platform)
+        if ORDER in part.columns:
+            own = F.col(ORDER).cast("decimal(20,0)")
+            part = part.withColumn(ORDER, (F.lit(str(place << 63)).cast("decimal(38,0)") + own).cast("decimal(38,0)"))
+        parts.append(part)
     return reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), parts)

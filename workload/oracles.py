@@ -482,6 +482,11 @@ def all_oracles() -> dict[str, str]:
             CASE WHEN l.doc_id IS NOT NULL THEN 0.0::DOUBLE END AS sentiment_neutral, CAST(toxic AS DOUBLE) AS sentiment_negative,
             CASE WHEN quality > toxic THEN 'Positive' WHEN quality < toxic THEN 'Negative' WHEN quality = toxic THEN 'Neutral' END
             AS sentiment_label FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
+        "platform_union": """SELECT 'google_maps' AS source, CAST(l_quantity AS DOUBLE) AS rating, l_returnflag AS review_text,
+            CAST(NULL AS VARCHAR) AS business_name, l_linestatus AS city, CAST(l_partkey AS VARCHAR) AS business_id FROM lineitem
+            UNION ALL SELECT 'yelp', CAST(doc_id % 5 + 1 AS DOUBLE), text, source, lang, CAST(NULL AS VARCHAR) FROM documents""",
+        "sql_with_params": """SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_linestatus = 'O' AND l_linenumber >= 3
+            GROUP BY l_returnflag""",
         "insights": insights_sql(),
         "insights_by_source": insights_sql("r.source", False),
         "recommendations": f"SELECT scope, rule_order, action FROM ({insights_sql()})",

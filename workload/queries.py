@@ -11,6 +11,7 @@ from opinara.functions import dates, text
 from opinara.functions.numbers import sentiment_label
 from opinara.operators import cleaning, complaints, profiling, sentiment, star, terms
 from opinara.plans import businesses, feedback, insights, ratings, trends, views
+from opinara.sources import roles, warehouse
 from opinara.sources.sampling import exact_sample
 from workload import tables
 from workload.tables import canonical_reviews, plain_reviews, rating_star, raw_reviews, read, text_reviews
@@ -137,6 +138,26 @@ def _findings(by: str | None) -> Query:
     return run
 
 
+def platform_union(spark: SparkSession, folder: str) -> DataFrame:
+    """Line items as one platform's delivery and documents as another's, in one canonical frame."""
+    maps = read(spark, folder, "lineitem").select(
+        F.col("l_quantity").cast("string").alias("rating"), F.col("l_returnflag").alias("text"),
+        F.col("l_partkey").cast("string").alias("gmap_id"), F.col("l_linestatus").alias("city"),
+    )
+    yelp = read(spark, folder, "documents").select(
+        (F.col("doc_id") % 5 + 1).cast("string").alias("stars"), "text", F.col("source").alias("name"), F.col("lang").alias("city")
+    )
+    return roles.union_platforms({"google_maps": maps, "yelp": yelp}).select(
+        "source", "rating", "review_text", "business_name", "city", "business_id"
+    )
+
+
+def sql_with_params(spark: SparkSession, folder: str) -> DataFrame:
+    read(spark, folder, "lineitem").createOrReplaceTempView("parameterised_lines")
+    text = "SELECT l_returnflag, count(*) AS n FROM parameterised_lines WHERE l_linestatus = :status AND l_linenumber >= :least GROUP BY l_returnflag"
+    return warehouse.query(spark, text, {"status": "O", "least": 3})
+
+
 def all_queries() -> dict[str, Query]:
     plain: dict[str, Query] = {
         "kpi_summary": _on_star(ratings.kpi_summary),
@@ -223,6 +244,8 @@ def all_queries() -> dict[str, Query]:
         "top_complaints": _on_star(feedback.top_complaints),
         "tfidf_keywords": _on_plain_text(terms.tfidf_keywords),
         "themes_by_label": _on_text(terms.themes_by_label),
+        "platform_union": platform_union,
+        "sql_with_params": sql_with_params,
         "sentiment_scores": scored,
         "attached_scores": attached,
         "insights": _findings(None),
