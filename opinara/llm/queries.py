@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinara.llm import chat, decontamination, fingerprint, html_text, language_model, packing, quality, simhash, substring, url_filter
+from opinara.llm import (
+    alignment, chat, decontamination, fingerprint, html_text, language_model, packing, quality, sharding, simhash, spelling, substring, url_filter,
+)
 from opinara.llm.shared import table
 
 #: Rules of the page filter, and the hosts its list names.
@@ -95,6 +97,24 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_lockstep_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op12_spelling_tiles(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.group_variants(spelling.word_counts(table(spark, folder, "documents")))
+
+
+def op13_lpt_shards(spark: SparkSession, folder: str) -> DataFrame:
+    found = sharding.shard_by_bytes(table(spark, folder, "documents"), shards=40)
+    return found.select(
+        F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_paragraph_iblt, op2_chat_format, op3_lbl_scores, op4_page_text, op5_kn_quality, op6_benchmark_index, op7_simhash, op8_nnls_packing, op9_url_cascade, op10_substring_dedup]
+    found = [
+        op1_paragraph_iblt, op2_chat_format, op3_lbl_scores, op4_page_text, op5_kn_quality, op6_benchmark_index, op7_simhash, op8_nnls_packing,
+        op9_url_cascade, op10_substring_dedup, op11_lockstep_alignment, op12_spelling_tiles, op13_lpt_shards,
+    ]
     return {f.__name__: f for f in found}
