@@ -67,8 +67,8 @@ def any_phrase(phrases: Sequence[str]) -> str:
         same, other = ("?<!", "?<=") if before else ("?!", "?=")
         return f"({same if re.match(r'\w', char) else other}[{WORD_CHAR}])"
 
-    plain = [p for p in phrases if re.fullmatch(r"\w(.*\w)?", p, re.S)]
-    odd = [p for p in phrases if p not in plain]
+    plain = [p for p in phrases if is_run_bound(p)]
+    odd = [p for p in phrases if not is_run_bound(p)]
     parts = [edge(p[0], True) + quoted(p) + edge(p[-1], False) for p in odd]
     if plain:
         body = "|".join(quoted(p) for p in plain)
@@ -76,6 +76,66 @@ def any_phrase(phrases: Sequence[str]) -> str:
     return "|".join(parts)
 
 
+RUNS = f"[{WORD_CHAR}]+|[^{WORD_CHAR}]+"  # words, and what stands between them
+
+
+def word_stretches(lowered: Column, longest: int) -> Column:
+    """The distinct stretches of one to ``longest`` words of a text, as written there, with what stands between the words."""
+
+    def of(runs: Column) -> Column:
+        size = F.size(runs)
+        starts = F.filter(F.transform(runs, lambda r, at: F.when(r.rlike(f"^[{WORD_CHAR}]"), at)), lambda at: at.isNotNull())
+
+        def at_place(at: Column) -> Column:
+            ends = [F.when(at + 2 * n < size, F.array_join(F.slice(runs, at + 1, 2 * n + 1), "")) for n in range(1, longest)]
+            return F.array(F.get(runs, at), *ends)
+
+        return F.array_distinct(F.array_compact(F.flatten(F.transform(starts, at_place))))
+
+    return bind(F.regexp_extract_all(lowered, F.lit(RUNS), F.lit(0)), of)
+
+
+def is_run_bound(phrase: str) -> bool:
+    """Whether a phrase starts and ends with a word character, so that it covers whole words where it is found."""
+    return bool(re.fullmatch(r"\w(.*\w)?", phrase, re.S))
+
+
+def phrases_found(lowered: Column, phrases: Mapping[str, Sequence[int]]) -> Column:
+    """Numbers of all the phrases found in a lower-case text, each once, in order: one pass, however many phrases there are.
+
+    The text is cut in runs of words and runs of what stands between them. Where a run is the first word of a phrase, the
+    stretches that are as many words long as some phrase starting like that are looked up in a dictionary of all phrases.
+    Phrases have to be run-bound and in lower case.
+    """
+    codes = sorted({tuple(sorted(numbers)) for numbers in phrases.values()})
+    code_of = {numbers: i for i, numbers in enumerate(codes)}
+    lookup = dictionary({p: code_of[tuple(sorted(numbers))] for p, numbers in phrases.items()})
+    numbers_of = F.from_json(F.lit(json.dumps(codes)), "array<array<int>>")
+    firsts: dict[int, set[str]] = {}
+    for phrase in phrases:
+        runs = re.findall(r"\w+|\W+", phrase)
+        firsts.setdefault(len(runs), set()).add(runs[0])
+    every_first = sorted(set().union(*firsts.values())) if firsts else []
+
+    def of(runs: Column) -> Column:
+        starts = F.filter(F.transform(runs, lambda r, at: F.when(r.isin(every_first), at)), lambda at: at.isNotNull())
+
+        def at_place(at: Column) -> Column:
+            first = F.get(runs, at)
+            stretches = [
+                F.when(first.isin(sorted(begin)), first if length == 1 else F.array_join(F.slice(runs, at + 1, length), ""))
+                for length, begin in sorted(firsts.items())
+            ]
+            return F.transform(F.array_compact(F.array(*stretches)), lambda s: lookup(s).cast("int"))
+
+        hits = F.array_distinct(F.array_compact(F.flatten(F.transform(starts, at_place))))
+        return F.array_sort(F.array_distinct(F.flatten(F.transform(hits, lambda c: F.get(numbers_of, c)))))
+
+    if not phrases:
+        return F.array().cast("array<int>")
+    return bind(F.regexp_extract_all(lowered, F.lit(RUNS), F.lit(0)), of)
+
+
 def row_digest(columns: Sequence[str], *more: Column) -> Column:
     """256-bit digest of a row's values, nulls told apart from texts."""
     whole = F.to_json(F.struct(*more, *[F.col(f"`{c}`") for c in columns]), {"ignoreNullFields": "false"})

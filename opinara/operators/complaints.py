@@ -10,18 +10,34 @@ from pyspark.sql import functions as F
 from opinara import settings
 from opinara.functions.numbers import percent
 from opinara.functions.text import bind
-from opinara.functions.words import any_phrase
+from opinara.functions.words import any_phrase, is_run_bound, phrases_found, word_stretches
+from opinara.operators.lookup import look_up
 
 Dictionary = Mapping[str, Sequence[str]]
 
 
 def categories(text: Column, complaints: Dictionary | None = None) -> Column:
-    """Array of the categories that have a phrase in the text, in dictionary order."""
+    """Array of the categories that have a phrase in the text, in dictionary order.
+
+    All phrases are looked up in one pass over the words; the few that don't begin and end with a word are searched for.
+    """
     chosen = settings.COMPLAINTS if complaints is None else complaints
-    patterns = {name: any_phrase([p.lower() for p in phrases]) for name, phrases in chosen.items()}
+    names = list(chosen)
+    whole: dict[str, list[int]] = {}
+    odd: dict[int, list[str]] = {}
+    for number, phrases in enumerate(chosen.values()):
+        for phrase in {p.lower() for p in phrases}:
+            if is_run_bound(phrase):
+                whole.setdefault(phrase, []).append(number)
+            else:
+                odd.setdefault(number, []).append(phrase)
 
     def of(lowered: Column) -> Column:
-        return F.array_compact(F.array(*[F.when(lowered.rlike(p), F.lit(n)) for n, p in patterns.items()]))
+        found = phrases_found(lowered, whole)
+        if odd:
+            searched = [F.when(lowered.rlike(any_phrase(phrases)), F.lit(number)) for number, phrases in odd.items()]
+            found = F.array_sort(F.array_distinct(F.concat(found, F.array_compact(F.array(*searched)))))
+        return F.transform(found, lambda n: F.get(F.array(*[F.lit(name) for name in names]), n))
 
     return bind(F.lower(F.coalesce(text, F.lit(""))), of)
 
@@ -45,6 +61,22 @@ def mentions(
     return _relevant(df, label_column).select(*keep, found)
 
 
+def mentions_by_table(
+    df: DataFrame, phrases: DataFrame, key: str = "review_id", text_column: str = "review_text", longest: int = 3
+) -> DataFrame:
+    """(key, category): the categories whose phrases a text has, by a table (category, phrase) of any size.
+
+    Phrases of up to ``longest`` words that begin and end with a word are found, in any case, as :func:`categories` finds
+    them. Every stretch of so many words is looked up once per text, whatever the number of phrases.
+    """
+    wanted = phrases.select(F.lower("phrase").alias("stretch"), "category").where("stretch IS NOT NULL AND category IS NOT NULL")
+    wanted = wanted.groupBy("stretch").agg(F.collect_set("category").alias("categories"))
+    stretches = word_stretches(F.lower(F.col(text_column)), longest)
+    rows = df.select(F.col(key), F.explode(stretches).alias("stretch"))
+    found = look_up(rows, wanted, "stretch")
+    return found.select(key, F.explode("categories").alias("category")).distinct()
+
+
 def ranked_shares(counted: DataFrame, category: str, digits: int | None = 2) -> DataFrame:
     """Adds the share of all mentions; there are as many rows as categories."""
     whole = F.sum("count").over(Window.partitionBy())

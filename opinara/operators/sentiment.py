@@ -1,51 +1,118 @@
-"""Dictionary sentiment, computed inside each row: scoring a table is a projection.
+"""Dictionary sentiment after a published method (Hutto & Gilbert, 2014), with dictionaries supplied by the caller.
 
 A token's valence is taken from the dictionary; a booster among the three tokens before it moves the valence
 away from zero (or towards it), less the further away it stands; a negation among them turns and damps it. The
 compound score squeezes the sum S into (-1, 1) as S / sqrt(S^2 + 15), and the three shares weigh positive,
-negative and neutral tokens (Hutto & Gilbert, 2014, with dictionaries supplied by the caller).
+negative and neutral tokens. ``Rules`` adds what needs the text as written: capitals, marks, and words like "but".
+
+:func:`score_reviews` has small dictionaries in the plan and computes everything inside the row: scoring is a projection.
+:func:`score_with_lexicon` takes a lexicon table of any size: token positions are joined with it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Collection, Mapping
+from collections.abc import Collection, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinara import settings
-from opinara.functions.numbers import percent, sentiment_label
-from opinara.functions.text import bind
+from opinara.functions.numbers import flag, percent, sentiment_label
+from opinara.functions.text import WORD_CHAR, bind
 from opinara.functions.words import dictionary, words
+from opinara.operators.lookup import look_up
+
+#: Sums of the table job are whole numbers of this part of a point: they don't depend on the order of adding.
+UNIT = 1e-9
+
+
+@dataclass(frozen=True)
+class Rules:
+    """What the written form of a text adds; zero or empty switches a rule off.
+
+    ``capitals``: a word in capitals, in a text that also has others, gains so much; so does a booster. ``exclamation``
+    and ``question``: exclamation marks, four at most, move the sum away from zero, and so do two or three question
+    marks; more count as ``questions``. ``pivots``: what stands before the first of these words weighs ``before``, what
+    follows it ``after``.
+    """
+
+    capitals: float = 0.733
+    exclamation: float = 0.292
+    question: float = 0.18
+    questions: float = 0.96
+    pivots: Sequence[str] = ("but",)
+    before: float = 0.5
+    after: float = 1.5
+
+
+PLAIN = Rules(capitals=0.0, exclamation=0.0, question=0.0, questions=0.0, pivots=())
+
+
+def _shouted(word: Column) -> Column:
+    return (word == F.upper(word)) & (word != F.lower(word))
+
+
+def _is_mixed(tokens: Column, rules: Rules) -> Column:
+    """Whether some words are in capitals and others aren't."""
+    if not rules.capitals:
+        return F.lit(False)
+    return F.exists(tokens, _shouted) & F.exists(tokens, lambda w: ~_shouted(w))
 
 
-def valences(
-    text: Column, lexicon: Mapping[str, float], boosters: Mapping[str, float], negations: Collection[str]
+def _pivot(tokens: Column, rules: Rules) -> Column:
+    """Place of the first pivot, null if there is none."""
+    if not rules.pivots:
+        return F.lit(None).cast("int")
+    places = F.transform(tokens, lambda w, at: F.when(F.lower(w).isin(list(rules.pivots)), at))
+    return F.array_min(places)
+
+
+def _marks(text: Column, rules: Rules) -> Column:
+    """How far exclamation and question marks move the sum from zero."""
+    exclamations, asked = F.regexp_count(text, F.lit("!")), F.regexp_count(text, F.lit(r"\?"))
+    question = F.when(asked < 2, 0.0).when(asked <= 3, asked * rules.question).otherwise(rules.questions)
+    return F.least(exclamations, F.lit(4)) * F.lit(rules.exclamation) + question
+
+
+def _adjusted(
+    valence: Column, word: Column, earlier: Sequence[Column], mixed: Column, at: Column, pivot: Column, boost_of, turned: list[str], rules: Rules
 ) -> Column:
-    """Array with the adjusted valence of every token, zero for tokens outside the lexicon."""
-    valence_of = dictionary({w: v for w, v in lexicon.items() if w not in boosters})
-    boost_of = dictionary(boosters)
-    turned = list(negations)
-    zero = F.lit(0.0)
-
-    def per_token(tokens: Column) -> Column:
-        def adjusted(token: Column, at: Column) -> Column:
-            valence = valence_of(token)
-            earlier = [F.get(tokens, at - back) for back in range(1, len(settings.BOOST_DECAY) + 1)]
-            boost = sum(
-                (F.coalesce(boost_of(word), zero) * decay for word, decay in zip(earlier, settings.BOOST_DECAY)), zero
-            )
-            is_negated = F.lit(False)
-            for word in earlier:
-                is_negated = is_negated | F.coalesce(word.isin(turned), F.lit(False))
-            factor = F.when(is_negated, settings.NEGATION_FACTOR).otherwise(1.0)
-            return F.when(valence.isNull() | (valence == 0), zero).otherwise(
-                (valence + F.signum(valence) * boost) * factor
-            )
+    """Valence of a word of the lexicon among its neighbours; ``earlier`` are the words before it, nearest first."""
+    zero, lowered = F.lit(0.0), [F.lower(w) if rules.capitals else w for w in earlier]
+
+    def loud(w: Column) -> Column:
+        return F.when(mixed & _shouted(w), rules.capitals).otherwise(0.0) if rules.capitals else zero
 
-        return F.transform(tokens, adjusted)
+    moved = loud(word)
+    is_negated = F.lit(False)
+    for w, low, decay in zip(earlier, lowered, settings.BOOST_DECAY, strict=True):
+        moved = moved + F.coalesce((boost_of(low) + loud(w)) * decay, zero)
+        is_negated = is_negated | F.coalesce(low.isin(turned), F.lit(False))
+    factor = F.when(is_negated, settings.NEGATION_FACTOR).otherwise(1.0)
+    if rules.pivots:
+        factor = factor * F.when(at < pivot, rules.before).when(at > pivot, rules.after).otherwise(1.0)
+    return (valence + F.signum(valence) * moved) * factor
 
-    return bind(words(text, extra="'"), per_token)
+
+def _shares(up: Column, down: Column, whole: Column, neutral: Column, marks: Column, empty: Column) -> Column:
+    """``struct<compound, positive, neutral, negative>`` out of the sums over a text."""
+    total = whole + F.signum(whole) * marks
+    up, down = up + F.when(up > down, marks).otherwise(0.0), down + F.when(down > up, marks).otherwise(0.0)
+    weight = up + down + neutral
+    return F.struct(
+        F.when(empty, 0.0).otherwise(F.round(total / F.sqrt(total * total + settings.COMPOUND_ALPHA), 4)).alias("compound"),
+        F.when(empty, 0.0).otherwise(F.round(F.try_divide(up, weight), 4)).alias("positive"),
+        F.when(empty, 1.0).otherwise(F.round(F.try_divide(neutral, weight), 4)).alias("neutral"),
+        F.when(empty, 0.0).otherwise(F.round(F.try_divide(down, weight), 4)).alias("negative"),
+    )
+
+
+def _tokens(text: Column, rules: Rules) -> Column:
+    """Words as written where capitals count, else in lower case."""
+    if rules.capitals:
+        return F.regexp_extract_all(text, F.lit(f"[{WORD_CHAR}']+"), F.lit(0))
+    return words(text, extra="'")
 
 
 def scores(
@@ -53,43 +120,51 @@ def scores(
     lexicon: Mapping[str, float] | None = None,
     boosters: Mapping[str, float] | None = None,
     negations: Collection[str] | None = None,
+    rules: Rules = PLAIN,
 ) -> Column:
-    """``struct<compound, positive, neutral, negative>`` of a text, each with four decimals."""
+    """``struct<compound, positive, neutral, negative>`` of a text, each with four decimals.
+
+    Only tokens of the lexicon are looked at with their neighbours.
+    """
+    boosters = settings.BOOSTERS if boosters is None else boosters
+    entries = {w: v for w, v in (settings.LEXICON if lexicon is None else lexicon).items() if w not in boosters and v}
+    valence_of, boost_of = dictionary(entries), dictionary(boosters)
+    turned = list(settings.NEGATIONS if negations is None else negations)
+    text = F.coalesce(text, F.lit(""))
+
+    def lowered(word: Column) -> Column:
+        return F.lower(word) if rules.capitals else word
 
     def total(values: Column) -> Column:
         return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
 
-    def of(values: Column) -> Column:
-        def of_marked(marked: Column) -> Column:
-            up = total(F.transform(F.filter(marked, lambda v: v > 0), lambda v: v + 1))
-            down = total(F.transform(F.filter(marked, lambda v: v < 0), lambda v: 1 - v))
-            neutral = F.size(values) - F.size(marked)
-            weight = up + down + neutral
-            whole = total(marked)
-            empty = F.coalesce(F.size(values), F.lit(0)) <= 0
-            return F.struct(
-                F.when(empty, 0.0)
-                .otherwise(F.round(whole / F.sqrt(whole * whole + settings.COMPOUND_ALPHA), 4))
-                .alias("compound"),
-                F.when(empty, 0.0).otherwise(F.round(F.try_divide(up, weight), 4)).alias("positive"),
-                F.when(empty, 1.0).otherwise(F.round(F.try_divide(neutral, weight), 4)).alias("neutral"),
-                F.when(empty, 0.0).otherwise(F.round(F.try_divide(down, weight), 4)).alias("negative"),
-            )
-
-        return bind(F.filter(values, lambda v: v != 0), of_marked)
-
-    found = valences(
-        F.coalesce(text, F.lit("")),
-        settings.LEXICON if lexicon is None else lexicon,
-        settings.BOOSTERS if boosters is None else boosters,
-        settings.NEGATIONS if negations is None else negations,
-    )
-    return bind(found, of)
+    def of_tokens(found: Column) -> Column:
+        tokens, mixed, pivot = found["tokens"], found["mixed"], found["pivot"]
+        places = F.filter(F.transform(tokens, lambda w, at: F.when(lowered(w).isin(list(entries)), at)), lambda at: at.isNotNull())
+
+        def value(at: Column) -> Column:
+            word = F.get(tokens, at)
+            earlier = [F.get(tokens, at - back) for back in range(1, len(settings.BOOST_DECAY) + 1)]
+            return _adjusted(valence_of(lowered(word)), word, earlier, mixed, at, pivot, boost_of, turned, rules)
+
+        def of_values(values: Column) -> Column:
+            marked = F.filter(values, lambda v: v != 0)
+            up = total(F.transform(F.filter(values, lambda v: v > 0), lambda v: v + 1))
+            down = total(F.transform(F.filter(values, lambda v: v < 0), lambda v: 1 - v))
+            empty = F.coalesce(F.size(tokens), F.lit(0)) <= 0
+            return _shares(up, down, total(values), F.size(tokens) - F.size(marked), _marks(text, rules), empty)
+
+        return bind(F.transform(places, value), of_values)
+
+    def with_facts(tokens: Column) -> Column:
+        return F.struct(tokens.alias("tokens"), _is_mixed(tokens, rules).alias("mixed"), _pivot(tokens, rules).alias("pivot"))
+
+    return bind(bind(_tokens(text, rules), with_facts), of_tokens)
 
 
-def score_reviews(df: DataFrame, text_column: str = "review_text", **dictionaries) -> DataFrame:
+def _with_scores(df: DataFrame, found: Column) -> DataFrame:
     """Adds the four scores and the label."""
-    scored = df.withColumn("_scores", scores(F.col(text_column), **dictionaries))
+    scored = df.withColumn("_scores", found)
     compound = F.col("_scores.compound")
     return scored.withColumns(
         {
@@ -102,6 +177,87 @@ def score_reviews(df: DataFrame, text_column: str = "review_text", **dictionarie
     ).drop("_scores")
 
 
+def score_reviews(df: DataFrame, text_column: str = "review_text", **options) -> DataFrame:
+    """Adds the four scores and the label; ``options`` as for :func:`scores`."""
+    return _with_scores(df, scores(F.col(text_column), **options))
+
+
+def _positions(df: DataFrame, key: str, text_column: str, rules: Rules) -> DataFrame:
+    """One row per token with the three before it, and one per text (``at`` -1) with its number of tokens and its marks."""
+    text = F.coalesce(F.col(text_column), F.lit(""))
+    back = [f"w{i}" for i in range(1, len(settings.BOOST_DECAY) + 1)]
+    kinds = f"struct<at:int, word:string, {', '.join(f'{b}:string' for b in back)}>"
+
+    def listed(tokens: Column) -> Column:
+        return F.transform(
+            tokens,
+            lambda w, at: F.struct(at.alias("at"), w.alias("word"), *[F.get(tokens, at - i).alias(b) for i, b in enumerate(back, 1)]).cast(kinds),
+        )
+
+    head = F.array(F.struct(F.lit(-1), *[F.lit(None).cast("string")] * (1 + len(back))).cast(kinds))
+    facts = bind(
+        _tokens(text, rules),
+        lambda tokens: F.struct(
+            F.size(tokens).alias("n"), _is_mixed(tokens, rules).alias("mixed"), _pivot(tokens, rules).alias("pivot"),
+            F.concat(head, listed(tokens)).alias("places"),
+        ),
+    )
+    whole = df.select(F.col(key), _marks(text, rules).alias("marks"), facts.alias("facts"))
+    rows = whole.select(key, "marks", "facts.n", "facts.mixed", "facts.pivot", F.explode("facts.places").alias("place"))
+    return rows.select(key, "marks", "n", "mixed", "pivot", "place.*", F.lower("place.word").alias("token"))
+
+
+def score_with_lexicon(
+    df: DataFrame, lexicon: DataFrame, key: str = "review_id", text_column: str = "review_text",
+    boosters: Mapping[str, float] | None = None, negations: Collection[str] | None = None, rules: Rules = Rules(),
+) -> DataFrame:
+    """(key, four scores, label) per text, by a ``lexicon`` table (token, valence) of any size.
+
+    ``key`` tells the texts apart. A token that the lexicon has several times has its mean valence. Tokens
+    meet the lexicon by :func:`look_up`, so the words of every text don't gather in a few tasks; neighbours are looked at
+    for the tokens that were found. Sums are of whole units, per text on the map side first.
+    """
+    boosters = settings.BOOSTERS if boosters is None else boosters
+    turned = list(settings.NEGATIONS if negations is None else negations)
+    entries = lexicon.select(F.lower("token").alias("token"), F.col("valence").cast("double").alias("valence")).where("valence IS NOT NULL")
+    entries = entries.groupBy("token").agg(F.avg("valence").alias("valence"))
+    if boosters:
+        entries = entries.where(~F.col("token").isin(list(boosters)))
+    positions = _positions(df, key, text_column, rules)
+    counted = df.select(F.explode(_tokens(F.col(text_column), rules)).alias("token")).select(F.lower("token").alias("token"))
+    found = look_up(positions, entries, "token", counted, always=F.col("at") < 0)
+    earlier = [F.col(f"w{i}") for i in range(1, len(settings.BOOST_DECAY) + 1)]
+    value = _adjusted(F.col("valence"), F.col("word"), earlier, F.col("mixed"), F.col("at"), F.col("pivot"), dictionary(boosters), turned, rules)
+    units = F.when(F.col("at") >= 0, F.round(value / UNIT).cast("bigint"))
+    found = found.select(key, "at", "marks", "n", units.alias("v"))
+
+    def summed(kept: Column, v: Column) -> Column:
+        return F.coalesce(F.sum(F.when(kept, v)), F.lit(0)) * UNIT
+
+    v, one = F.col("v"), round(1 / UNIT)
+    sums = found.groupBy(key).agg(
+        F.max("marks").alias("marks"), F.max("n").alias("n"), F.sum(flag(v != 0)).alias("hits"),
+        summed(v > 0, v + one).alias("up"), summed(v < 0, one - v).alias("down"), summed(v != 0, v).alias("whole"),
+    )
+    shares = _shares(F.col("up"), F.col("down"), F.col("whole"), F.col("n") - F.col("hits"), F.col("marks"), F.col("n") <= 0)
+    return _with_scores(sums, shares).select(key, *SCORE_COLUMNS)
+
+
+def lexicon_from_labels(
+    df: DataFrame, text_column: str = "review_text", label_column: str = "sentiment_label", min_texts: int = 5, scale: float = 4.0
+) -> DataFrame:
+    """A lexicon (token, valence) learnt from labelled texts: by how much a word's positive texts outnumber its negative
+    ones, as a share of both, times ``scale``. Words of fewer than ``min_texts`` labelled texts, and even ones, are left out.
+    """
+    labelled = df.where(F.col(label_column).isin(settings.POSITIVE, settings.NEGATIVE))
+    seen = labelled.select(F.col(label_column).alias("label"), F.explode(F.array_distinct(words(F.col(text_column), extra="'"))).alias("token"))
+    counts = seen.groupBy("token").agg(
+        F.sum(flag(F.col("label") == settings.POSITIVE)).alias("good"), F.sum(flag(F.col("label") == settings.NEGATIVE)).alias("bad")
+    )
+    valence = F.round(F.lit(scale) * (F.col("good") - F.col("bad")) / (F.col("good") + F.col("bad")), 3)
+    return counts.where(F.col("good") + F.col("bad") >= min_texts).select("token", valence.alias("valence")).where("valence != 0")
+
+
 SCORE_COLUMNS = [
     "sentiment_compound", "sentiment_positive", "sentiment_neutral", "sentiment_negative", "sentiment_label",
 ]

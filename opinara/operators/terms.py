@@ -11,45 +11,7 @@ from opinara import settings
 from opinara.functions.words import ngrams, plain_words, words
 from opinara.operators.ranking import top_k
 
-_EVERY = ""  # stands for "any text": a term no text contains, counted once per text
-
-
-def _totals(texts: DataFrame, terms: Column, *keys: str) -> DataFrame:
-    """``total`` occurrences of each term and the number of texts ``df`` it occurs in; the term ``_EVERY`` counts
-    the texts.
-
-    The terms of a text are sorted inside its row, so the first of equal ones shows there, and both numbers are
-    plain sums that start on the map side.
-    """
-    ordered = F.sort_array(F.concat(F.array(F.lit(_EVERY)), F.coalesce(terms, F.array().cast("array<string>"))))
-    before = F.concat(F.array(F.lit(None).cast("string")), F.col("ordered"))
-    pairs = F.explode(F.arrays_zip(F.col("ordered").alias("term"), before.alias("before"))).alias("pair")
-    rows = texts.select(*keys, ordered.alias("ordered")).select(*keys, pairs).select(*keys, "pair.term", "pair.before")
-    is_first = F.when(F.col("term").eqNullSafe(F.col("before")), 0).otherwise(1)
-    return (
-        rows.where("term IS NOT NULL")
-        .groupBy(*keys, "term")
-        .agg(F.count("*").alias("total"), F.sum(is_first).alias("df"))
-    )
-
-
-def _term_counts(terms: Column) -> Column:
-    """The distinct terms of one text with how often each occurs: array<struct<term, tf>>. Counted inside the row."""
-
-    def runs(ordered: Column) -> Column:
-        size = F.size(ordered)
-        places = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
-        starts = F.filter(places, lambda i: (i == 1) | (F.get(ordered, i - 1) != F.get(ordered, i - 2)))
-        return F.flatten(
-            F.transform(
-                F.array(starts),
-                lambda at: F.transform(
-                    at, lambda i, k: F.struct(F.get(ordered, i - 1).alias("term"), (F.coalesce(F.get(at, k + 1), size + 1) - i).alias("tf"))
-                ),
-            )
-        )
-
-    return F.flatten(F.transform(F.array(F.sort_array(terms)), runs))
+_EVERY = ""  # a term no text contains, counted once per text
 
 
 def word_frequency(
@@ -84,7 +46,11 @@ def theme_counts(
     """How often each theme word occurs, and in how many reviews."""
     themes = {"positive": positive or settings.POSITIVE_THEMES, "negative": negative or settings.NEGATIVE_THEMES}
     wanted = sorted({w for ws in themes.values() for w in ws})
-    found = _totals(df, F.filter(words(F.col(text_column)), lambda w: w.isin(wanted))).where(F.col("term") != _EVERY)
+    hits = F.filter(words(F.col(text_column)), lambda w: w.isin(wanted))
+    # a word's occurrences in a text follow each other once they are sorted: the first one counts the text
+    rows = df.select(F.posexplode(F.sort_array(hits)).alias("at", "term"), F.sort_array(hits).alias("hits"))
+    is_first = F.when(F.col("at") == F.array_position("hits", F.col("term")) - 1, 1).otherwise(0)
+    found = rows.select("term", is_first.alias("first")).groupBy("term").agg(F.count("*").alias("total"), F.sum("first").alias("df"))
     sides = [F.when(F.col("term").isin(list(ws)), F.lit(name)) for name, ws in themes.items()]
     return found.select(
         F.explode(F.array_compact(F.array(*sides))).alias("theme"), F.col("term").alias("word"),
@@ -92,41 +58,48 @@ def theme_counts(
     )
 
 
-def _vocabulary(texts: DataFrame, terms: Column, max_features: int) -> DataFrame:
-    """The ``max_features`` most frequent terms per group that occur in two or more texts, with their smooth idf
-    and the number of texts ``n``; at most ``max_features`` rows per group.
+def _most_frequent(seen: DataFrame, k: int, groups: Sequence) -> DataFrame:
+    """The ``k`` terms of each group with the largest ``total``, equal ones by the alphabet; ``groups`` lists all groups.
+
+    A count of terms per total shows how far down the k-th lies; there are few totals (their sum is the number of
+    occurrences). What lies above is kept as it is; of the terms level with the cut, each task keeps its first k by the
+    alphabet and one more step the first of those.
     """
-    seen = _totals(texts, terms, "grp")
-    is_every = F.col("term") == _EVERY
-    order = [F.desc(is_every), F.desc("total"), F.asc("term")]
-    kept = top_k(seen.where((F.col("df") >= 2) | is_every), "grp", order, max_features + 1)
-    n = F.max(F.when(is_every, F.col("df"))).over(Window.partitionBy("grp"))
-    idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
-    return kept.withColumn("n", n).where((F.col("n") >= 2) & ~is_every).select("grp", "term", "n", idf.alias("idf"))
+    downwards = Window.partitionBy("grp").orderBy(F.desc("total")).rowsBetween(Window.unboundedPreceding, -1)
+    levels = seen.groupBy("grp", "total").agg(F.count("*").alias("terms")).withColumn("above", F.coalesce(F.sum("terms").over(downwards), F.lit(0)))
+    cut = levels.where(F.col("above") < k).groupBy("grp").agg(F.min(F.struct("total", "above")).alias("cut"))
+    cut = F.broadcast(cut.select("grp", F.col("cut.total").alias("level"), (k - F.col("cut.above")).alias("missing")))  # one row per group
+    placed = seen.join(cut, "grp")
+    kept = placed.where(F.col("total") > F.col("level")).drop("level", "missing")
+    for group in groups:
+        level = placed.where((F.col("grp") == F.lit(group)) & (F.col("total") == F.col("level"))).orderBy("term").limit(k)
+        numbered = level.withColumn("number", F.row_number().over(Window.partitionBy("grp").orderBy("term")))
+        kept = kept.unionByName(numbered.where(F.col("number") <= F.col("missing")).drop("number", "level", "missing"))
+    return kept
 
 
 def _weighted(
-    docs: DataFrame, id_column: str, text_column: str, group: Column, top_n: int, max_features: int,
+    docs: DataFrame, id_column: str, text_column: str, group: Column, groups: Sequence, top_n: int, max_features: int,
     sizes: tuple[int, int], stop_words: Sequence[str],
 ) -> DataFrame:
     """Mean normalised tf-idf per term and group: smooth idf, terms in two or more texts, the ``max_features``
     most frequent of them, unit vectors, mean over all texts of the group.
 
-    Two passes over the texts: one for the vocabulary, which meets the texts of the other one. Terms are counted inside
-    their text; only the distinct vocabulary terms of a text are shuffled, once, to measure its vector.
+    The texts are read once. Their terms are counted per text, on the map side first; that exchange feeds the totals that
+    choose the vocabulary (at most ``max_features`` terms per group, broadcast) and the weights of the chosen terms.
     """
     texts = docs.where(F.col(text_column).isNotNull()).select(
         group.alias("grp"), F.col(id_column).alias("id"), F.col(text_column).alias("body")
     )
     tokens = F.filter(words(F.col("body"), shortest=2), lambda w: ~w.isin(list(stop_words)))
-    terms = ngrams(tokens, *sizes)
-    vocabulary = _vocabulary(texts, terms, max_features)
-    weights = (
-        texts.select("grp", "id", F.explode(_term_counts(terms)).alias("t"))
-        .select("grp", "id", "t.term", "t.tf")
-        .join(vocabulary, ["grp", "term"])
-        .select("grp", "id", "term", "n", (F.col("tf") * F.col("idf")).alias("w"))
-    )
+    terms = F.concat(F.array(F.lit(_EVERY)), ngrams(tokens, *sizes))
+    counts = texts.select("grp", "id", F.explode(terms).alias("term")).groupBy("grp", "id", "term").agg(F.count("*").alias("tf"))
+    totals = counts.groupBy("grp", "term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
+    seen = totals.where((F.col("df") >= 2) & (F.col("term") != _EVERY))
+    size = F.broadcast(totals.where(F.col("term") == _EVERY).select("grp", F.col("df").alias("n")))  # one row per group
+    idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
+    vocabulary = _most_frequent(seen, max_features, groups).join(size, "grp").select("grp", "term", "n", idf.alias("idf"))
+    weights = counts.join(F.broadcast(vocabulary), ["grp", "term"]).select("grp", "id", "term", "n", (F.col("tf") * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
     scores = (
         weights.select("grp", "term", "n", (F.col("w") / norm).alias("w"))
@@ -144,7 +117,7 @@ def tfidf_keywords(
 ) -> DataFrame:
     """The terms with the highest mean weight over all texts; none when there are fewer than two texts."""
     stops = settings.STOP_WORDS if stop_words is None else stop_words
-    found = _weighted(df, id_column, text_column, F.lit("all"), top_n, max_features, ngram_range, stops)
+    found = _weighted(df, id_column, text_column, F.lit("all"), ["all"], top_n, max_features, ngram_range, stops)
     return found.select("keyword", "tfidf_score").orderBy(F.desc("tfidf_score"), "keyword")
 
 
@@ -157,5 +130,5 @@ def themes_by_label(
     """The same per label, every statistic being taken within the label."""
     stops = settings.STOP_WORDS if stop_words is None else stop_words
     chosen = df.where(F.col(label_column).isin(list(labels)))
-    found = _weighted(chosen, id_column, text_column, F.col(label_column), top_n, max_features, ngram_range, stops)
+    found = _weighted(chosen, id_column, text_column, F.col(label_column), list(labels), top_n, max_features, ngram_range, stops)
     return found.select("keyword", "tfidf_score", F.col("grp").alias("sentiment"))

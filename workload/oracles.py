@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from opinara import settings
+from opinara.operators.sentiment import Rules
 from workload import tables
 from workload.insight_sql import insights_sql
 from workload.sqltext import (
-    CASED, CATEGORY, CHAIN, CITY, MIN, SPACE, WIDE, WORD, YM, avg, mentions, of_text, pct, q, rnd, rows, star, texts,
+    CASED, CATEGORY, CHAIN, CITY, MIN, NOT_WORD, SPACE, WIDE, WORD, YM, avg, mentions, of_text, pct, q, rnd, rows, star, texts,
 )
 
 
@@ -179,6 +180,59 @@ SELECT *, CASE WHEN sentiment_compound >= 0.05 THEN 'Positive' WHEN sentiment_co
                ELSE 'Neutral' END AS sentiment_label FROM scores"""
 
 
+LEARNT = f"""lexicon AS (SELECT token AS word, valence FROM (
+  SELECT token, {rnd("4.0::DOUBLE * (count(*) FILTER (label = 'Positive') - count(*) FILTER (label = 'Negative')) / count(*)", 3)} AS valence
+  FROM (SELECT DISTINCT review_id, sentiment_label AS label, unnest(regexp_extract_all(lower(review_text), '[\\p{{L}}\\p{{N}}_'']+')) AS token
+        FROM text_reviews WHERE sentiment_label IN ('Positive', 'Negative'))
+  GROUP BY token HAVING count(*) >= 5) WHERE valence <> 0)"""
+
+
+def written_sql(lexicon: str) -> str:
+    """Scores of the loud documents where capitals, marks and pivots count."""
+    rules = Rules(pivots=tables.PIVOTS)
+
+    def loud(word: str) -> str:
+        return f"CASE WHEN mixed AND upper({word}) = {word} AND lower({word}) <> {word} AND NOT contains({word}, 'ß') THEN {rules.capitals}::DOUBLE ELSE 0 END"
+
+    moved = " + ".join(
+        [loud("near.word")] + [f"coalesce((b{i}.delta + {loud(f'p{i}')}) * {decay}::DOUBLE, 0)" for i, decay in enumerate(settings.BOOST_DECAY, 1)]
+    )
+    joins = " ".join(f"LEFT JOIN boosters b{i} ON b{i}.word = lower(p{i})" for i in (1, 2, 3))
+    turned = " OR ".join(f"coalesce(lower(p{i}) IN {texts(tables.NEGATIONS)}, false)" for i in (1, 2, 3))
+    lags = ", ".join(f"lag(word, {i}) OVER (PARTITION BY review_id ORDER BY pos) AS p{i}" for i in (1, 2, 3))
+    value = f"""(valence + sign(valence) * ({moved})) * CASE WHEN {turned} THEN {settings.NEGATION_FACTOR} ELSE 1 END
+       * CASE WHEN pos < turn THEN {rules.before} WHEN pos > turn THEN {rules.after} ELSE 1 END"""
+    return of_text(
+        f"""SELECT *, CASE WHEN sentiment_compound >= 0.05 THEN 'Positive' WHEN sentiment_compound <= -0.05 THEN 'Negative'
+               ELSE 'Neutral' END AS sentiment_label FROM (
+  SELECT review_id, coalesce({rnd('total / sqrt(total * total + 15)', 4)}, 0) AS sentiment_compound,
+         coalesce({rnd('up / (up + down + zero)', 4)}, 0) AS sentiment_positive,
+         coalesce({rnd('zero / (up + down + zero)', 4)}, 1) AS sentiment_neutral,
+         coalesce({rnd('down / (up + down + zero)', 4)}, 0) AS sentiment_negative
+  FROM (SELECT review_id, zero, s + sign(s) * marks AS total, CASE WHEN up > down THEN up + marks ELSE up END AS up,
+               CASE WHEN down > up THEN down + marks ELSE down END AS down FROM loud LEFT JOIN sums USING (review_id)))""",
+        lexicon,
+        f"boosters(word, delta) AS (VALUES {rows(tables.BOOSTERS.items())})",
+        f"""lengths AS (SELECT review_id, review_text AS text, length(review_text) AS n FROM text_reviews)""",
+        f"""loud AS (SELECT review_id, text, least(length(text) - length(replace(text, '!', '')), 4) * {rules.exclamation}::DOUBLE
+           + CASE WHEN asked < 2 THEN 0 WHEN asked <= 3 THEN asked * {rules.question}::DOUBLE ELSE {rules.questions}::DOUBLE END AS marks
+         FROM (SELECT *, length(text) - length(replace(text, '?', '')) AS asked FROM (
+           SELECT review_id, CASE WHEN n % 3 = 0 THEN replace(replace(text, ' the ', ' THE '), ' in ', ' IN ')
+             WHEN n % 11 = 0 THEN translate(text, {q(tables.SMALL)}, {q(tables.SMALL.upper())}) ELSE text END
+             || repeat('!', n % 7) || repeat('?', n % 5) AS text FROM lengths)))""",
+        "lists AS (SELECT review_id, regexp_extract_all(text, '[\\p{L}\\p{N}_'']+') AS t FROM loud)",
+        "tokens AS (SELECT review_id, unnest(t) AS word, generate_subscripts(t, 1) AS pos FROM lists)",
+        f"""facts AS (SELECT review_id, min(pos) FILTER (lower(word) IN {texts(tables.PIVOTS)}) AS turn,
+         bool_or(shouted) AND bool_or(NOT shouted) AS mixed FROM (
+           SELECT *, upper(word) = word AND lower(word) <> word AND NOT contains(word, 'ß') AS shouted FROM tokens) GROUP BY review_id)""",
+        f"near AS (SELECT review_id, word, pos, {lags} FROM tokens)",
+        f"""valued AS (SELECT review_id, coalesce(round({value} * 1e9) / 1e9, 0) AS v FROM near JOIN facts USING (review_id)
+         LEFT JOIN lexicon ON lexicon.word = lower(near.word) AND lower(near.word) NOT IN {texts(tables.BOOSTERS)} {joins})""",
+        """sums AS (SELECT review_id, sum(v) AS s, coalesce(sum(v + 1) FILTER (v > 0), 0) AS up,
+         coalesce(sum(1 - v) FILTER (v < 0), 0) AS down, count(*) FILTER (v = 0) AS zero FROM valued GROUP BY review_id)""",
+    )
+
+
 def all_oracles() -> dict[str, str]:
     month_filter = "WHERE review_year IS NOT NULL AND review_month IS NOT NULL GROUP BY review_year, review_month"
     built_business = f"""SELECT {BUSINESS_KEY} AS business_id, CAST(p_partkey AS VARCHAR) AS external_id, name,
@@ -459,6 +513,15 @@ def all_oracles() -> dict[str, str]:
               ORDER BY count(*) DESC, business_name LIMIT 5) GROUP BY business_name, category""",
             mentions(),
         ),
+        "phrase_mentions": f"""WITH runs AS (
+              SELECT 'd' || doc_id AS of, doc_id AS review_id, NULL AS category, regexp_extract_all(lower(text), '{WORD}+|{NOT_WORD}+') AS t FROM documents
+              UNION ALL SELECT 'i' || item_id, NULL, 'topic ' || item_id % 7, regexp_extract_all(lower(text), '{WORD}+|{NOT_WORD}+') FROM benchmark),
+            run AS (SELECT of, review_id, category, unnest(t) AS run, generate_subscripts(t, 1) AS pos FROM runs),
+            near AS (SELECT *, lead(run, 1) OVER w AS gap, lead(run, 2) OVER w AS next FROM run WINDOW w AS (PARTITION BY of ORDER BY pos)),
+            stretches AS (
+              SELECT DISTINCT review_id, category, unnest([run, run || gap || next]) AS stretch FROM near WHERE regexp_matches(run, '^{WORD}')),
+            phrases AS (SELECT DISTINCT category, stretch FROM stretches WHERE category IS NOT NULL AND (regexp_matches(stretch, '{NOT_WORD}') OR length(stretch) > 8))
+            SELECT DISTINCT d.review_id, p.category FROM stretches d JOIN phrases p ON d.stretch = p.stretch WHERE d.review_id IS NOT NULL""",
         "keyword_rows": of_text(
             """SELECT sha256(CAST(review_id AS VARCHAR) || chr(31) || category) AS keyword_id,
             CAST(review_id AS VARCHAR) AS review_id, category AS keyword, category AS complaint_category FROM mentions""",
@@ -477,6 +540,9 @@ def all_oracles() -> dict[str, str]:
             weighted("sentiment_label", "WHERE sentiment_label IN ('Positive', 'Negative')"),
         ),
         "sentiment_scores": sentiment_sql(),
+        "sentiment_as_written": written_sql(f"lexicon(word, valence) AS (VALUES {rows(tables.LEXICON.items())})"),
+        "sentiment_with_lexicon": written_sql(LEARNT),
+        "learnt_lexicon": of_text("SELECT word AS token, valence FROM lexicon", LEARNT),
         "attached_scores": """SELECT d.doc_id AS review_id, d.source AS business_name,
             CAST(quality - toxic AS DOUBLE) AS sentiment_compound, CAST(quality AS DOUBLE) AS sentiment_positive,
             CASE WHEN l.doc_id IS NOT NULL THEN 0.0::DOUBLE END AS sentiment_neutral, CAST(toxic AS DOUBLE) AS sentiment_negative,

@@ -111,6 +111,26 @@ def scored(spark: SparkSession, folder: str) -> DataFrame:
     ).drop("review_text")
 
 
+def _rules() -> sentiment.Rules:
+    return sentiment.Rules(pivots=tables.PIVOTS)
+
+
+def scored_as_written(spark: SparkSession, folder: str) -> DataFrame:
+    """Capitals, marks and pivots count, with the dictionaries in the plan."""
+    rows = tables.loud_reviews(spark, folder).select("review_id", "review_text")
+    return sentiment.score_reviews(
+        rows, lexicon=tables.LEXICON, boosters=tables.BOOSTERS, negations=tables.NEGATIONS, rules=_rules()
+    ).drop("review_text")
+
+
+def scored_with_lexicon(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents by a lexicon learnt from the labelled ones."""
+    lexicon = sentiment.lexicon_from_labels(text_reviews(spark, folder))
+    return sentiment.score_with_lexicon(
+        tables.loud_reviews(spark, folder), lexicon, boosters=tables.BOOSTERS, negations=tables.NEGATIONS, rules=_rules()
+    )
+
+
 def attached(spark: SparkSession, folder: str) -> DataFrame:
     """Quality labels written to the documents as scores, matched by key."""
     labels = read(spark, folder, "labels").select(
@@ -240,6 +260,7 @@ def all_queries() -> dict[str, Query]:
         "business_complaints": _on_text(
             complaints.business_profile, "review_text", "business_name", top_n=5, complaints=tables.COMPLAINTS
         ),
+        "phrase_mentions": lambda s, f: complaints.mentions_by_table(plain_reviews(s, f), tables.phrase_table(s, f), longest=2),
         "keyword_rows": _on_text(complaints.keyword_rows, tables.COMPLAINTS),
         "top_complaints": _on_star(feedback.top_complaints),
         "tfidf_keywords": _on_plain_text(terms.tfidf_keywords),
@@ -247,6 +268,9 @@ def all_queries() -> dict[str, Query]:
         "platform_union": platform_union,
         "sql_with_params": sql_with_params,
         "sentiment_scores": scored,
+        "sentiment_as_written": scored_as_written,
+        "sentiment_with_lexicon": scored_with_lexicon,
+        "learnt_lexicon": _on_text(sentiment.lexicon_from_labels),
         "attached_scores": attached,
         "insights": _findings(None),
         "insights_by_source": _findings("source"),

@@ -12,6 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opinara.functions.words import word_stretches
 from opinara.operators import complaints
 from opinara.sources.files import ORDER
 
@@ -30,6 +31,8 @@ COMPLAINTS = {
 LEXICON = {"the": 1.0, "and": -0.5, "with": 2.0, "der": -1.5, "que": 1.25, "les": -2.25, "was": -1.0, "for": 0.75}
 BOOSTERS = {"in": 0.25, "of": -0.125, "la": 0.5}
 NEGATIONS = ["is", "und", "et"]
+SMALL = "abcdefghijklmnopqrstuvwxyz"
+PIVOTS = ["with", "avec", "mit", "con"]
 POSITIVE_WORDS = ["the", "with", "que", "for"]
 NEGATIVE_WORDS = ["and", "der", "les", "was"]
 
@@ -46,6 +49,7 @@ SCHEMAS = {
                 "l_shipdate timestamp_ntz",
     "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
     "labels": "doc_id bigint, quality int, toxic int",
+    "benchmark": "item_id bigint, text string",
     "pages": "page_id bigint, url string, html string",
     "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
 }
@@ -170,6 +174,22 @@ def text_reviews(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def phrase_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Two neighbouring words of the benchmark's items as phrases, and their longer words; by the item's number, a category."""
+    items = read(spark, folder, "benchmark").select(F.concat(F.lit("topic "), F.col("item_id") % 7).alias("category"), F.lower("text").alias("text"))
+    phrases = items.select("category", F.explode(word_stretches(F.col("text"), 2)).alias("phrase"))
+    return phrases.where(F.col("phrase").rlike(r"[^\p{L}\p{N}_]") | (F.length("phrase") > 8))
+
+
+def loud_reviews(spark: SparkSession, folder: str) -> DataFrame:
+    """Labelled documents, some with words in capitals, exclamation and question marks."""
+    n, text = F.length("review_text"), F.col("review_text")
+    capitals = F.replace(F.replace(text, F.lit(" the "), F.lit(" THE ")), F.lit(" in "), F.lit(" IN "))
+    text = F.when(n % 3 == 0, capitals).when(n % 11 == 0, F.translate(text, SMALL, SMALL.upper())).otherwise(text)
+    text = F.concat(text, F.repeat(F.lit("!"), (n % 7).cast("int")), F.repeat(F.lit("?"), (n % 5).cast("int")))
+    return text_reviews(spark, folder).withColumn("review_text", text)
+
+
 def raw_reviews(spark: SparkSession, folder: str) -> DataFrame:
     """A raw delivery with everything cleaning has to deal with; equal documents make the copies."""
     n = F.col("n_chars")
