@@ -70,6 +70,8 @@ def _pivot(tokens: Column, rules: Rules) -> Column:
 
 def _marks(text: Column, rules: Rules) -> Column:
     """How far exclamation and question marks move the sum from zero."""
+    if not (rules.exclamation or rules.question or rules.questions):
+        return F.lit(0.0)
     exclamations, asked = F.regexp_count(text, F.lit("!")), F.regexp_count(text, F.lit(r"\?"))
     question = F.when(asked < 2, 0.0).when(asked <= 3, asked * rules.question).otherwise(rules.questions)
     return F.least(exclamations, F.lit(4)) * F.lit(rules.exclamation) + question
@@ -92,20 +94,29 @@ def _adjusted(
     factor = F.when(is_negated, settings.NEGATION_FACTOR).otherwise(1.0)
     if rules.pivots:
         factor = factor * F.when(at < pivot, rules.before).when(at > pivot, rules.after).otherwise(1.0)
-    return (valence + F.signum(valence) * moved) * factor
-
-
-def _shares(up: Column, down: Column, whole: Column, neutral: Column, marks: Column, empty: Column) -> Column:
-    """``struct<compound, positive, neutral, negative>`` out of the sums over a text."""
-    total = whole + F.signum(whole) * marks
-    up, down = up + F.when(up > down, marks).otherwise(0.0), down + F.when(down > up, marks).otherwise(0.0)
-    weight = up + down + neutral
-    return F.struct(
-        F.when(empty, 0.0).otherwise(F.round(total / F.sqrt(total * total + settings.COMPOUND_ALPHA), 4)).alias("compound"),
-        F.when(empty, 0.0).otherwise(F.round(F.try_divide(up, weight), 4)).alias("positive"),
-        F.when(empty, 1.0).otherwise(F.round(F.try_divide(neutral, weight), 4)).alias("neutral"),
-        F.when(empty, 0.0).otherwise(F.round(F.try_divide(down, weight), 4)).alias("negative"),
-    )
+    return bind(valence, lambda v: v + F.signum(v) * moved) * factor
+
+
+def _shares(sums: Column, empty: Column) -> Column:
+    """``struct<compound, positive, neutral, negative>`` out of ``struct<up, down, whole, neutral, marks>`` of a text."""
+
+    def moved(x: Column) -> Column:
+        return F.struct(
+            (x["whole"] + F.signum(x["whole"]) * x["marks"]).alias("total"), x["neutral"].alias("neutral"),
+            (x["up"] + F.when(x["up"] > x["down"], x["marks"]).otherwise(0.0)).alias("up"),
+            (x["down"] + F.when(x["down"] > x["up"], x["marks"]).otherwise(0.0)).alias("down"),
+        )
+
+    def of(x: Column) -> Column:
+        weight = x["up"] + x["down"] + x["neutral"]
+        return F.struct(
+            F.when(empty, 0.0).otherwise(F.round(x["total"] / F.sqrt(x["total"] * x["total"] + settings.COMPOUND_ALPHA), 4)).alias("compound"),
+            F.when(empty, 0.0).otherwise(F.round(F.try_divide(x["up"], weight), 4)).alias("positive"),
+            F.when(empty, 1.0).otherwise(F.round(F.try_divide(x["neutral"], weight), 4)).alias("neutral"),
+            F.when(empty, 0.0).otherwise(F.round(F.try_divide(x["down"], weight), 4)).alias("negative"),
+        )
+
+    return bind(bind(sums, moved), of)
 
 
 def _tokens(text: Column, rules: Rules) -> Column:
@@ -148,11 +159,13 @@ def scores(
             return _adjusted(valence_of(lowered(word)), word, earlier, mixed, at, pivot, boost_of, turned, rules)
 
         def of_values(values: Column) -> Column:
-            marked = F.filter(values, lambda v: v != 0)
-            up = total(F.transform(F.filter(values, lambda v: v > 0), lambda v: v + 1))
-            down = total(F.transform(F.filter(values, lambda v: v < 0), lambda v: 1 - v))
-            empty = F.coalesce(F.size(tokens), F.lit(0)) <= 0
-            return _shares(up, down, total(values), F.size(tokens) - F.size(marked), _marks(text, rules), empty)
+            sums = F.struct(
+                total(F.transform(F.filter(values, lambda v: v > 0), lambda v: v + 1)).alias("up"),
+                total(F.transform(F.filter(values, lambda v: v < 0), lambda v: 1 - v)).alias("down"),
+                total(values).alias("whole"), (F.size(tokens) - F.size(F.filter(values, lambda v: v != 0))).alias("neutral"),
+                _marks(text, rules).alias("marks"),
+            )
+            return _shares(sums, F.size(tokens) <= 0)
 
         return bind(F.transform(places, value), of_values)
 
@@ -239,8 +252,8 @@ def score_with_lexicon(
         F.max("marks").alias("marks"), F.max("n").alias("n"), F.sum(flag(v != 0)).alias("hits"),
         summed(v > 0, v + one).alias("up"), summed(v < 0, one - v).alias("down"), summed(v != 0, v).alias("whole"),
     )
-    shares = _shares(F.col("up"), F.col("down"), F.col("whole"), F.col("n") - F.col("hits"), F.col("marks"), F.col("n") <= 0)
-    return _with_scores(sums, shares).select(key, *SCORE_COLUMNS)
+    parts = F.struct("up", "down", "whole", (F.col("n") - F.col("hits")).alias("neutral"), "marks")
+    return _with_scores(sums, _shares(parts, F.col("n") <= 0)).select(key, *SCORE_COLUMNS)
 
 
 def lexicon_from_labels(

@@ -11,9 +11,6 @@ from opinara import settings
 from opinara.functions.words import ngrams, plain_words, words
 from opinara.operators.ranking import top_k
 
-_EVERY = ""  # a term no text contains, counted once per text
-
-
 def word_frequency(
     df: DataFrame, text_column: str = "review_text", max_words: int = settings.WORD_LIST_SIZE,
     stop_words: Sequence[str] | None = None,
@@ -58,47 +55,57 @@ def theme_counts(
     )
 
 
-def _most_frequent(seen: DataFrame, k: int, groups: Sequence) -> DataFrame:
-    """The ``k`` terms of each group with the largest ``total``, equal ones by the alphabet; ``groups`` lists all groups.
+def _edge(rows: DataFrame, level: Column, wanted: Column, best_first: Column) -> DataFrame:
+    """Per group, the level in which the ``wanted``-th row lies and how many rows are wanted from that level.
+
+    Only rows per level are counted and summed up; a group has a row here if it has any.
+    """
+    before = Window.partitionBy("grp").orderBy(best_first).rowsBetween(Window.unboundedPreceding, -1)
+    levels = rows.groupBy("grp", level.alias("level"), wanted.alias("wanted")).agg(F.count("*").alias("rows"))
+    levels = levels.withColumn("above", F.coalesce(F.sum("rows").over(before), F.lit(0))).where(F.col("above") < F.col("wanted"))
+    last = levels.groupBy("grp").agg(F.max(F.struct("above", "level", "wanted")).alias("last"))
+    return F.broadcast(last.select("grp", F.col("last.level").alias("edge"), (F.col("last.wanted") - F.col("last.above")).alias("missing")))
+
+
+def _most_frequent(seen: DataFrame, k: int) -> DataFrame:
+    """The ``k`` terms of each group with the largest ``total``, equal ones by the alphabet.
 
-    A count of terms per total shows how far down the k-th lies; there are few totals (their sum is the number of
-    occurrences). What lies above is kept as it is; of the terms level with the cut, each task keeps its first k by the
-    alphabet and one more step the first of those.
+    Counts of terms per total show how far down the k-th lies; there are few totals (their sum is the number of
+    occurrences). Of the terms with just that total, counts per first letters show how far the alphabet reaches, and only
+    the terms that begin with those letters are numbered.
     """
-    downwards = Window.partitionBy("grp").orderBy(F.desc("total")).rowsBetween(Window.unboundedPreceding, -1)
-    levels = seen.groupBy("grp", "total").agg(F.count("*").alias("terms")).withColumn("above", F.coalesce(F.sum("terms").over(downwards), F.lit(0)))
-    cut = levels.where(F.col("above") < k).groupBy("grp").agg(F.min(F.struct("total", "above")).alias("cut"))
-    cut = F.broadcast(cut.select("grp", F.col("cut.total").alias("level"), (k - F.col("cut.above")).alias("missing")))  # one row per group
-    placed = seen.join(cut, "grp")
-    kept = placed.where(F.col("total") > F.col("level")).drop("level", "missing")
-    for group in groups:
-        level = placed.where((F.col("grp") == F.lit(group)) & (F.col("total") == F.col("level"))).orderBy("term").limit(k)
-        numbered = level.withColumn("number", F.row_number().over(Window.partitionBy("grp").orderBy("term")))
-        kept = kept.unionByName(numbered.where(F.col("number") <= F.col("missing")).drop("number", "level", "missing"))
-    return kept
+    start = F.substring("term", 1, 4)
+    placed = seen.join(_edge(seen, F.col("total"), F.lit(k), F.desc("level")), "grp")
+    above = placed.where(F.col("total") > F.col("edge")).drop("edge", "missing")
+    level = placed.where(F.col("total") == F.col("edge")).drop("edge").withColumnRenamed("missing", "wanted")
+    level = level.join(_edge(level, start, F.col("wanted"), F.asc("level")), "grp").drop("wanted")
+    sure = level.where(start < F.col("edge")).drop("edge", "missing")
+    numbered = level.where(start == F.col("edge")).withColumn("number", F.row_number().over(Window.partitionBy("grp").orderBy("term")))
+    return above.unionByName(sure).unionByName(numbered.where(F.col("number") <= F.col("missing")).drop("edge", "missing", "number"))
 
 
 def _weighted(
-    docs: DataFrame, id_column: str, text_column: str, group: Column, groups: Sequence, top_n: int, max_features: int,
+    docs: DataFrame, id_column: str, text_column: str, group: Column, top_n: int, max_features: int,
     sizes: tuple[int, int], stop_words: Sequence[str],
 ) -> DataFrame:
     """Mean normalised tf-idf per term and group: smooth idf, terms in two or more texts, the ``max_features``
     most frequent of them, unit vectors, mean over all texts of the group.
 
-    The texts are read once. Their terms are counted per text, on the map side first; that exchange feeds the totals that
-    choose the vocabulary (at most ``max_features`` terms per group, broadcast) and the weights of the chosen terms.
+    The texts are shuffled once, by id; that moves less than their terms would. Counting terms per text and measuring its
+    vector need no further exchange, and the vocabulary (at most ``max_features`` terms per group, broadcast) comes from sums
+    over the same rows. What else is shuffled are partial sums per term.
     """
     texts = docs.where(F.col(text_column).isNotNull()).select(
         group.alias("grp"), F.col(id_column).alias("id"), F.col(text_column).alias("body")
     )
+    texts = texts.repartition("id")
     tokens = F.filter(words(F.col("body"), shortest=2), lambda w: ~w.isin(list(stop_words)))
-    terms = F.concat(F.array(F.lit(_EVERY)), ngrams(tokens, *sizes))
+    terms = ngrams(tokens, *sizes)
     counts = texts.select("grp", "id", F.explode(terms).alias("term")).groupBy("grp", "id", "term").agg(F.count("*").alias("tf"))
-    totals = counts.groupBy("grp", "term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
-    seen = totals.where((F.col("df") >= 2) & (F.col("term") != _EVERY))
-    size = F.broadcast(totals.where(F.col("term") == _EVERY).select("grp", F.col("df").alias("n")))  # one row per group
+    seen = counts.groupBy("grp", "term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).where("df >= 2")
+    size = F.broadcast(texts.groupBy("grp").agg(F.count("*").alias("n")).where("n >= 2"))  # one row per group
     idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
-    vocabulary = _most_frequent(seen, max_features, groups).join(size, "grp").select("grp", "term", "n", idf.alias("idf"))
+    vocabulary = _most_frequent(seen, max_features).join(size, "grp").select("grp", "term", "n", idf.alias("idf"))
     weights = counts.join(F.broadcast(vocabulary), ["grp", "term"]).select("grp", "id", "term", "n", (F.col("tf") * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
     scores = (
@@ -117,7 +124,7 @@ def tfidf_keywords(
 ) -> DataFrame:
     """The terms with the highest mean weight over all texts; none when there are fewer than two texts."""
     stops = settings.STOP_WORDS if stop_words is None else stop_words
-    found = _weighted(df, id_column, text_column, F.lit("all"), ["all"], top_n, max_features, ngram_range, stops)
+    found = _weighted(df, id_column, text_column, F.lit("all"), top_n, max_features, ngram_range, stops)
     return found.select("keyword", "tfidf_score").orderBy(F.desc("tfidf_score"), "keyword")
 
 
@@ -130,5 +137,5 @@ def themes_by_label(
     """The same per label, every statistic being taken within the label."""
     stops = settings.STOP_WORDS if stop_words is None else stop_words
     chosen = df.where(F.col(label_column).isin(list(labels)))
-    found = _weighted(chosen, id_column, text_column, F.col(label_column), list(labels), top_n, max_features, ngram_range, stops)
+    found = _weighted(chosen, id_column, text_column, F.col(label_column), top_n, max_features, ngram_range, stops)
     return found.select("keyword", "tfidf_score", F.col("grp").alias("sentiment"))
