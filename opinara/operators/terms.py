@@ -101,7 +101,7 @@ def _weighted(
     texts = texts.repartition("id")
     tokens = F.filter(words(F.col("body"), shortest=2), lambda w: ~w.isin(list(stop_words)))
     terms = ngrams(tokens, *sizes)
-    counts = texts.select("grp", "id", F.explode(terms).alias("term")).groupBy("grp", "id", "term").agg(F.count("*").alias("tf"))
+    counts = texts.select("grp", "id", F.explode(terms).alias("term")).where("term IS NOT NULL").groupBy("grp", "id", "term").agg(F.count("*").alias("tf"))
     seen = counts.groupBy("grp", "term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).where("df >= 2")
     size = F.broadcast(texts.groupBy("grp").agg(F.count("*").alias("n")).where("n >= 2"))  # one row per group
     idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
@@ -124,7 +124,8 @@ def tfidf_keywords(
 ) -> DataFrame:
     """The terms with the highest mean weight over all texts; none when there are fewer than two texts."""
     stops = settings.STOP_WORDS if stop_words is None else stop_words
-    found = _weighted(df, id_column, text_column, F.lit("all"), top_n, max_features, ngram_range, stops)
+    everything = F.left(F.concat(F.lit("all"), F.col(text_column)), F.lit(3))  # one group, which joins by group can hash
+    found = _weighted(df, id_column, text_column, everything, top_n, max_features, ngram_range, stops)
     return found.select("keyword", "tfidf_score").orderBy(F.desc("tfidf_score"), "keyword")
 
 
