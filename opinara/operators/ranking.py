@@ -1,37 +1,44 @@
-"""Ranks, tiles and top rows that do not gather a large group in one task."""
+"""Ranks, tiles and top rows that do not gather a large group in one task.
 
-from __future__ import annotations
+Rows with equal values are counted first: a window over the values sees a row per value. Names that tie at one value are
+counted per first letters, and only names that share those as well are numbered by a sort.
+"""
 
-from collections.abc import Sequence
+from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opinara.session import durable
+BEFORE = (Window.unboundedPreceding, -1)
+LETTERS = 4
+
 
-GROUP_LIMIT = 1000  # up to this k Spark trims every map task to k rows per group before the shuffle
-SPREAD = 64
+def _edge(rows: DataFrame, group: str, level: Column, wanted: Column, best_first: Column) -> DataFrame:
+    """Per group, the level in which the ``wanted``-th row lies and how many rows are wanted from that level; a group has a
+    row here if it has any."""
+    before = Window.partitionBy(group).orderBy(best_first).rowsBetween(*BEFORE)
+    levels = rows.groupBy(group, level.alias("_level"), wanted.alias("_wanted")).agg(F.count("*").alias("_rows"))
+    levels = levels.withColumn("_above", F.coalesce(F.sum("_rows").over(before), F.lit(0))).where(F.col("_above") < F.col("_wanted"))
+    last = levels.groupBy(group).agg(F.max(F.struct("_above", "_level", "_wanted")).alias("_last"))
+    missing = F.col("_last._wanted") - F.col("_last._above")
+    return F.broadcast(last.select(group, F.col("_last._level").alias("_edge"), missing.alias("_missing")))
 
 
-def top_k(df: DataFrame, group: str, order: Sequence[Column], k: int) -> DataFrame:
-    """The first ``k`` rows of each group. ``order`` has to be total.
+def top_k(df: DataFrame, group: str, measure: str, tie: str, k: int) -> DataFrame:
+    """The ``k`` rows of each group with the largest ``measure``; equal ones by the text ``tie``, which has to tell them apart.
 
-    For a large ``k`` each group is first cut down in 64 parts, then among the parts' first rows, so no task
-    sorts more than 64 k rows of a group.
+    Counts of rows per measure show how far down the k-th lies. Of the rows with just that measure, counts per first letters
+    show how far the alphabet reaches, and only the rows that begin with those letters are numbered. One row per group is
+    broadcast, so there have to be few groups.
     """
-    position = "_position"
-    rows = df
-    if k > GROUP_LIMIT:
-        part = F.pmod(F.xxhash64(*[c for c in df.columns if c != group]), F.lit(SPREAD))
-        spread = Window.partitionBy(group, "_part").orderBy(*order)
-        rows = (
-            rows.withColumn("_part", part)
-            .withColumn(position, F.row_number().over(spread))
-            .where(F.col(position) <= k)
-            .drop("_part", position)
-        )
-    whole = Window.partitionBy(group).orderBy(*order)
-    return rows.withColumn(position, F.row_number().over(whole)).where(F.col(position) <= k).drop(position)
+    start = F.substring(tie, 1, LETTERS)
+    placed = df.join(_edge(df, group, F.col(measure), F.lit(k), F.desc("_level")), group)
+    above = placed.where(F.col(measure) > F.col("_edge")).drop("_edge", "_missing")
+    level = placed.where(F.col(measure) == F.col("_edge")).drop("_edge").withColumnRenamed("_missing", "_wanted")
+    level = level.join(_edge(level, group, start, F.col("_wanted"), F.asc("_level")), group).drop("_wanted")
+    sure = level.where(start < F.col("_edge")).drop("_edge", "_missing")
+    numbered = level.where(start == F.col("_edge")).withColumn("_number", F.row_number().over(Window.partitionBy(group).orderBy(tie)))
+    return above.unionByName(sure).unionByName(numbered.where(F.col("_number") <= F.col("_missing")).drop("_edge", "_missing", "_number"))
 
 
 def dense_rank_of_levels(df: DataFrame, value: str, name: str) -> DataFrame:
@@ -70,34 +77,27 @@ def rank_within(df: DataFrame, group: str, value: str, name: str, width: float =
     return df.join(ranked.select(group, value, rank.alias(name)), [group, value])
 
 
-def positions(df: DataFrame, order: Sequence[Column], name: str = "_position", total: str = "_total") -> DataFrame:
-    """Numbers all rows from 0 in a total order and adds their number, without a single-task sort.
+def tiles(df: DataFrame, n: int, value: str, tie: str, name: str, descending: bool = False) -> DataFrame:
+    """``ntile(n)`` over all rows by ``value``, then by the text ``tie``: sizes differ by one at most, larger tiles come first.
 
-    The rows are range-partitioned and sorted, written to the checkpoint folder so that the ranges stay as they
-    are, and numbered inside each range on top of the rows in the ranges before it.
+    A row's place is the number of rows with values before its own, those with its value and earlier first letters, and its
+    place among the rest. There are few values when they are counts: their sum is the number of what was counted.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = durable(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranged.groupBy("_range").agg(F.count("*").alias("_rows")).select(
-        "_range",
-        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"),
-        F.sum("_rows").over(Window.partitionBy()).alias(total),
+    levels = df.groupBy(value).agg(F.count("*").alias("_rows"))
+    whole, by_value = Window.partitionBy(), Window.orderBy(F.desc(value) if descending else F.asc(value)).rowsBetween(*BEFORE)
+    levels = levels.select(
+        F.col(value).alias("_value"), F.coalesce(F.sum("_rows").over(by_value), F.lit(0)).alias("_lower"), F.sum("_rows").over(whole).alias("_total")
     )
-    here = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return (
-        ranged.join(offsets, "_range")
-        .withColumn(name, F.col("_before") + here - 1)
-        .drop("_range", "_before")
-    )
-
-
-def tiles(df: DataFrame, n: int, order: Sequence[Column], name: str) -> DataFrame:
-    """``ntile(n)`` over all rows: sizes differ by one at most, the larger tiles come first."""
-    numbered = positions(df, order)
-    size, larger, at = F.floor(F.col("_total") / n), F.col("_total") % n, F.col("_position")
+    rows = df.withColumn("_start", F.substring(tie, 1, LETTERS))
+    letters = rows.groupBy(value, "_start").agg(F.count("*").alias("_rows"))
+    earlier = F.sum("_rows").over(Window.partitionBy(value).orderBy("_start").rowsBetween(*BEFORE))
+    letters = letters.select(value, "_start", F.coalesce(earlier, F.lit(0)).alias("_earlier"))
+    here = F.row_number().over(Window.partitionBy(value, "_start").orderBy(tie))
+    numbered = rows.join(letters, [value, "_start"]).withColumn("_here", here).join(levels, F.col(value) == F.col("_value"))
+    at = F.col("_lower") + F.col("_earlier") + F.col("_here") - 1
+    size, larger = F.floor(F.col("_total") / n), F.col("_total") % n
     in_larger = larger * (size + 1)
     tile = F.when(at < in_larger, F.floor(at / (size + 1)) + 1).otherwise(
         larger + F.floor(F.try_divide(at - in_larger, size)) + 1
     )
-    return numbered.withColumn(name, tile.cast("bigint")).drop("_position", "_total")
+    return numbered.select(*df.columns, tile.cast("bigint").alias(name))

@@ -33,7 +33,7 @@ def word_frequency_by_label(
         label, F.explode(plain_words(F.col(text_column), stops)).alias("word")
     )
     counts = found.groupBy("sentiment", "word").agg(F.count("*").alias("freq"))
-    return top_k(counts, "sentiment", [F.desc("freq"), F.asc("word")], max_words)
+    return top_k(counts, "sentiment", "freq", "word", max_words)
 
 
 def theme_counts(
@@ -55,35 +55,6 @@ def theme_counts(
     )
 
 
-def _edge(rows: DataFrame, level: Column, wanted: Column, best_first: Column) -> DataFrame:
-    """Per group, the level in which the ``wanted``-th row lies and how many rows are wanted from that level.
-
-    Only rows per level are counted and summed up; a group has a row here if it has any.
-    """
-    before = Window.partitionBy("grp").orderBy(best_first).rowsBetween(Window.unboundedPreceding, -1)
-    levels = rows.groupBy("grp", level.alias("level"), wanted.alias("wanted")).agg(F.count("*").alias("rows"))
-    levels = levels.withColumn("above", F.coalesce(F.sum("rows").over(before), F.lit(0))).where(F.col("above") < F.col("wanted"))
-    last = levels.groupBy("grp").agg(F.max(F.struct("above", "level", "wanted")).alias("last"))
-    return F.broadcast(last.select("grp", F.col("last.level").alias("edge"), (F.col("last.wanted") - F.col("last.above")).alias("missing")))
-
-
-def _most_frequent(seen: DataFrame, k: int) -> DataFrame:
-    """The ``k`` terms of each group with the largest ``total``, equal ones by the alphabet.
-
-    Counts of terms per total show how far down the k-th lies; there are few totals (their sum is the number of
-    occurrences). Of the terms with just that total, counts per first letters show how far the alphabet reaches, and only
-    the terms that begin with those letters are numbered.
-    """
-    start = F.substring("term", 1, 4)
-    placed = seen.join(_edge(seen, F.col("total"), F.lit(k), F.desc("level")), "grp")
-    above = placed.where(F.col("total") > F.col("edge")).drop("edge", "missing")
-    level = placed.where(F.col("total") == F.col("edge")).drop("edge").withColumnRenamed("missing", "wanted")
-    level = level.join(_edge(level, start, F.col("wanted"), F.asc("level")), "grp").drop("wanted")
-    sure = level.where(start < F.col("edge")).drop("edge", "missing")
-    numbered = level.where(start == F.col("edge")).withColumn("number", F.row_number().over(Window.partitionBy("grp").orderBy("term")))
-    return above.unionByName(sure).unionByName(numbered.where(F.col("number") <= F.col("missing")).drop("edge", "missing", "number"))
-
-
 def _weighted(
     docs: DataFrame, id_column: str, text_column: str, group: Column, top_n: int, max_features: int,
     sizes: tuple[int, int], stop_words: Sequence[str],
@@ -105,7 +76,7 @@ def _weighted(
     seen = counts.groupBy("grp", "term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).where("df >= 2")
     size = F.broadcast(texts.groupBy("grp").agg(F.count("*").alias("n")).where("n >= 2"))  # one row per group
     idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
-    vocabulary = _most_frequent(seen, max_features).join(size, "grp").select("grp", "term", "n", idf.alias("idf"))
+    vocabulary = top_k(seen, "grp", "total", "term", max_features).join(size, "grp").select("grp", "term", "n", idf.alias("idf"))
     weights = counts.join(F.broadcast(vocabulary), ["grp", "term"]).select("grp", "id", "term", "n", (F.col("tf") * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
     scores = (
@@ -114,7 +85,7 @@ def _weighted(
         .agg((F.sum("w") / F.max("n")).alias("score"))
         .withColumn("score", F.round("score", 12))
     )
-    best = top_k(scores, "grp", [F.desc("score"), F.asc("term")], top_n)
+    best = top_k(scores, "grp", "score", "term", top_n)
     return best.select("grp", F.col("term").alias("keyword"), F.round("score", 6).alias("tfidf_score"))
 
 

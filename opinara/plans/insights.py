@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from opinara import settings
 from opinara.functions.dates import year_month
 from opinara.functions.numbers import percent
-from opinara.operators.rollup import average, by_name, named, per_business, per_month, regroup, share
+from opinara.operators.rollup import SUMS, average, by_name, named, regroup, share, sums
 from opinara.plans.trends import volume_change
 from opinara.sources.warehouse import Star
 
@@ -205,26 +205,28 @@ def insights(
     star: Star, by: str | None = None, threshold: float = settings.RATING_ALERT,
     min_reviews: int = settings.MIN_REVIEWS,
 ) -> DataFrame:
-    """All findings, for all reviews or for each value of the review column ``by``."""
+    """All findings, for all reviews or for each value of the review column ``by``.
+
+    The facts are read once: reviews are summed per scope, business and month, and both the businesses' and the months'
+    sums are added up from that exchange. Mentions that have the column ``by`` themselves are counted without the reviews.
+    """
     # one scope for all reviews still depends on a column: a literal would turn the joins by scope into cross joins
     every = F.coalesce(F.concat(F.lit("all"), F.substring(F.col("review_id").cast("string"), 1, 0)), F.lit("all"))
     scope = F.col(by).cast("string") if by else every
     reviews = star.reviews.withColumn(SCOPE, scope)
-    rows = named(per_business(reviews, SCOPE), star.businesses)
+    label = F.when(F.col("review_year").isNotNull() & F.col("review_month").isNotNull(), year_month(F.col("review_year"), F.col("review_month")))
+    base = sums(reviews.where("business_id IS NOT NULL").withColumn("year_month", label), SCOPE, "business_id", "year_month")
+    # no count is below zero: the filter asks for every sum, so the two plans over it are one exchange
+    base = base.where(F.greatest(*SUMS) >= 0)
+    rows = named(regroup(base, SCOPE, "business_id").drop("businesses"), star.businesses)
     total = regroup(rows, SCOPE)
     frequent = F.col("reviews") >= min_reviews
     by_city = by_name(rows, star.cities, "city_id", "city_name", SCOPE).where(frequent)
     by_category = by_name(rows, star.categories, "category_id", "category_name", SCOPE).where(frequent)
     low = rows.where(frequent & (average(2) < threshold))
     rated = [average(2).alias("avg_rating"), F.col("reviews").alias("review_count")]
-    months = (
-        per_month(reviews, SCOPE)
-        .where("review_month IS NOT NULL")
-        .select(
-            SCOPE, year_month(F.col("review_year"), F.col("review_month")).alias("year_month"),
-            F.col("reviews").alias("review_count"),
-        )
-    )
+    dated = base.groupBy(SCOPE, "year_month").agg(F.sum("reviews").alias("review_count"), F.count("year_month").alias("dated"))
+    months = dated.where("dated > 0").drop("dated")
     found = [
         sentiment_health(
             total.select(SCOPE, share("positive").alias("positive_pct"), share("negative").alias("negative_pct"),
@@ -237,7 +239,9 @@ def insights(
     ]
     if star.keywords is not None:
         mentions = star.keywords.where("complaint_category IS NOT NULL")
-        if by:
+        if by and by in mentions.columns:
+            mentions = mentions.withColumn(SCOPE, F.col(by).cast("string"))
+        elif by:
             mentions = mentions.join(reviews.select("review_id", SCOPE), "review_id")
         else:
             mentions = mentions.withColumn(SCOPE, F.lit("all"))

@@ -216,8 +216,7 @@ def rank_in_city(star: Star, min_reviews: int = MIN) -> DataFrame:
 def city_quartiles(star: Star, descending: bool = False) -> DataFrame:
     """Cities in four groups by number of reviews."""
     cities = _by_dimension(star, "city_name").select("city_name", F.col("reviews").alias("review_count"))
-    first = F.desc("review_count") if descending else F.asc("review_count")
-    tiled = ranking.tiles(cities, 4, [first, F.asc("city_name")], "quartile")
+    tiled = ranking.tiles(cities, 4, "review_count", "city_name", "quartile", descending)
     return tiled.select("city_name", "review_count", "quartile").orderBy(F.desc("review_count"), "city_name")
 
 

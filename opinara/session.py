@@ -1,10 +1,8 @@
-"""Session settings and durable intermediate results."""
+"""Session settings."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -21,26 +19,3 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: s
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
-
-
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        context.setCheckpointDir(shared)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="opinara-checkpoint-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder.
-
-    Used on aggregated tables that are read twice by value (joined with a statistic of themselves): both
-    readers then see the same numbers, whatever is recomputed after an executor is lost.
-    """
-    _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()

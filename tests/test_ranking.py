@@ -36,24 +36,24 @@ def test_dense_rank(spark):
 
 
 def test_tiles(spark):
+    """As ntile gives them; with many names at one value, and names that share their first letters."""
     for n in (1, 3, 4, 5, 10, 103):
-        df = spark.createDataFrame([(i, (i * 7) % 5) for i in range(n)], "i int, v int")
-        got = [r["t"] for r in ranking.tiles(df, 4, [F.asc("v"), F.asc("i")], "t").orderBy("v", "i").collect()]
-        want = df.selectExpr("i", "v", "ntile(4) over (order by v, i) as t").orderBy("v", "i").collect()
-        assert got == [r["t"] for r in want]
-
-
-def test_positions_are_complete(spark):
-    df = spark.range(1000).withColumn("v", F.col("id") % 3)
-    got = ranking.positions(df, [F.desc("v"), F.asc("id")]).collect()
-    assert sorted(r["_position"] for r in got) == list(range(1000))
-    assert [r["id"] for r in sorted(got, key=lambda r: r["_position"])[:3]] == [2, 5, 8]
-
-
-def test_top_k_small_and_large(spark):
-    rows = [(g, i) for g, size in (("hot", 5000), ("cold", 10)) for i in range(size)]
-    df = spark.createDataFrame(rows, "g string, v int")
-    for k in (3, 1500):
-        got = ranking.top_k(df, "g", [F.desc("v")], k).collect()
-        want = [("hot", v) for v in range(5000 - k, 5000)] + [("cold", v) for v in range(max(0, 10 - k), 10)]
-        assert sorted(map(tuple, got)) == sorted(want)
+        for descending in (False, True):
+            df = spark.createDataFrame([(f"{'same' * (i % 2)}{i * 31 % 101:03d}", (i * 7) % 5 if i % 3 else 0) for i in range(n)], "name string, v int")
+            got = {r["name"]: r["t"] for r in ranking.tiles(df, 4, "v", "name", "t", descending).collect()}
+            want = df.selectExpr("name", f"ntile(4) over (order by v {'desc' if descending else 'asc'}, name) as t").collect()
+            assert got == {r["name"]: r["t"] for r in want} and len(got) == n
+
+
+def test_tiles_of_nothing(spark):
+    assert ranking.tiles(spark.createDataFrame([], "name string, v int"), 4, "v", "name", "t").collect() == []
+
+
+def test_top_k(spark):
+    """Whole levels above the cut, the first names by the alphabet at the cut, other groups untouched."""
+    rows = [("g", f"t{i:03d}", total) for i, total in enumerate([9] * 3 + [5] * 40 + [2] * 400)] + [("h", "only", 2), ("h", "éa", 2), ("h", "", 7)]
+    df = spark.createDataFrame(rows, "grp string, term string, total long").repartition(5)
+    for k in (1, 2, 3, 4, 43, 50, 442, 443, 1000):
+        got = sorted((r.grp, r.term) for r in ranking.top_k(df, "grp", "total", "term", k).collect())
+        best = [sorted((r for r in rows if r[0] == g), key=lambda r: (-r[2], r[1]))[:k] for g in "gh"]
+        assert got == sorted((r[0], r[1]) for part in best for r in part)

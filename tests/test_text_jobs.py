@@ -137,15 +137,6 @@ def test_tfidf(spark, max_features):
         assert got == pytest.approx(want, abs=2e-6)
 
 
-def test_vocabulary_cut(spark):
-    """Whole levels above the cut, the first terms by the alphabet at the cut, other groups untouched."""
-    rows = [("g", f"t{i:03d}", total, 2) for i, total in enumerate([9] * 3 + [5] * 40 + [2] * 400)] + [("h", "only", 2, 2)]
-    seen = spark.createDataFrame(rows, "grp string, term string, total long, df long").repartition(5)
-    for k in (1, 3, 4, 43, 50, 442, 443, 1000):
-        got = sorted((r.grp, r.term) for r in terms._most_frequent(seen, k).collect())
-        assert got == sorted([("g", t[1]) for t in sorted(rows[:-1], key=lambda r: (-r[2], r[1]))[:k]] + [("h", "only")])
-
-
 def test_tfidf_shuffles_texts_once(spark):
     """Terms are counted and vectors measured where their text is: no exchange by text and term."""
     rows = [(i, f"soup bread tea w{i % 3}", "Positive", "b") for i in range(20)]

@@ -10,8 +10,20 @@ def fmt(value: str, digits: int) -> str:
     return f"printf('%.{digits}f', {rnd(value, digits)})"
 
 
-def insights_sql(scope: str = "'all'", with_complaints: bool = True) -> str:
-    """All findings per value of ``scope``, an expression over the reviews."""
+#: (scope, category) of the documents' complaints, and of the line items' by an expression over the reviews.
+DOCUMENT_MENTIONS = "SELECT 'all' AS scope, category FROM mentions"
+
+
+def line_mentions(scope: str) -> str:
+    return f"""SELECT {scope} AS scope, CASE WHEN r.rating <= 2 THEN 'Service' WHEN r.rating = 3 THEN 'Waiting Time'
+        ELSE 'Price / Value' END AS category FROM reviews r WHERE r.sentiment_label = 'Negative'"""
+
+
+MONTH = f"CASE WHEN r.review_year IS NOT NULL THEN {YM} ELSE 'undated' END"
+
+
+def insights_sql(scope: str = "'all'", complaints: str = DOCUMENT_MENTIONS) -> str:
+    """All findings per value of ``scope``, an expression over the reviews; ``complaints`` selects (scope, category)."""
 
     def per(key: str, joined: str) -> str:
         return (
@@ -83,14 +95,14 @@ def insights_sql(scope: str = "'all'", with_complaints: bool = True) -> str:
         {fmt('abs(change)', 0)} || '% compared to earlier periods.',
         'Investigate causes of reduced engagement. Consider review solicitation campaigns.' FROM trend WHERE change < -20""",
     ]
-    if with_complaints:
-        ctes += [TEXT_REVIEWS, mentions()]
-        findings.append(
-            f"""SELECT 'all', 5, 'warning', 'Top Complaint: ' || category,
-            '''' || category || ''' accounts for ' || {fmt('100.0::DOUBLE * n / total', 1)} ||
-            '% of all negative feedback — the most frequently mentioned issue in customer reviews.',
-            'Prioritise improvements to ' || lower(category) || ' experience. Set measurable targets and monitor weekly.'
-            FROM (SELECT category, count(*) AS n, sum(count(*)) OVER () AS total FROM mentions GROUP BY category)
-            QUALIFY row_number() OVER (ORDER BY n DESC, category) = 1"""
-        )
+    ctes += [TEXT_REVIEWS, mentions(), f"complaints AS ({complaints})"]
+    findings.append(
+        f"""SELECT scope, 5, 'warning', 'Top Complaint: ' || category,
+        '''' || category || ''' accounts for ' || {fmt('100.0::DOUBLE * n / total', 1)} ||
+        '% of all negative feedback — the most frequently mentioned issue in customer reviews.',
+        'Prioritise improvements to ' || lower(category) || ' experience. Set measurable targets and monitor weekly.'
+        FROM (SELECT *, sum(n) OVER (PARTITION BY scope) AS total
+              FROM (SELECT scope, category, count(*) AS n FROM complaints GROUP BY scope, category))
+        QUALIFY row_number() OVER (PARTITION BY scope ORDER BY n DESC, category) = 1"""
+    )
     return "WITH " + ",".join([REVIEWS, *ctes]) + "\n" + "\nUNION ALL ".join(findings)

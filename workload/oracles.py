@@ -5,7 +5,7 @@ from __future__ import annotations
 from opinara import settings
 from opinara.operators.sentiment import Rules
 from workload import tables
-from workload.insight_sql import insights_sql
+from workload.insight_sql import MONTH, insights_sql, line_mentions
 from workload.sqltext import (
     CASED, CATEGORY, CHAIN, CITY, MIN, NOT_WORD, SPACE, WIDE, WORD, YM, avg, mentions, of_text, pct, q, rnd, rows, star, texts,
 )
@@ -554,7 +554,8 @@ def all_oracles() -> dict[str, str]:
         "sql_with_params": """SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_linestatus = 'O' AND l_linenumber >= 3
             GROUP BY l_returnflag""",
         "insights": insights_sql(),
-        "insights_by_source": insights_sql("r.source", False),
+        "insights_by_source": insights_sql("r.source", line_mentions("r.source")),
+        "insights_by_month": insights_sql(MONTH, line_mentions(MONTH)),
         "recommendations": f"SELECT scope, rule_order, action FROM ({insights_sql()})",
         "sample_exact": "SELECT * FROM documents ORDER BY md5(CAST(doc_id AS VARCHAR) || ':42') LIMIT 500",
         "sample_reviews": star(

@@ -152,7 +152,8 @@ def _findings(by: str | None) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         data = rating_star(spark, folder)
         if by:
-            data.keywords = None
+            data.keywords = tables.line_mentions(data)
+            data.reviews = data.reviews.withColumn("month", tables.month_of_review())
         return insights.insights(data, by=by, threshold=tables.ATTENTION)
 
     return run
@@ -274,6 +275,7 @@ def all_queries() -> dict[str, Query]:
         "attached_scores": attached,
         "insights": _findings(None),
         "insights_by_source": _findings("source"),
+        "insights_by_month": _findings("month"),
         "recommendations": lambda s, f: insights.recommendations(_findings(None)(s, f)),
     }
     return {name: _wide(query) for name, query in plain.items()}

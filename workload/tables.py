@@ -144,6 +144,19 @@ class RatingStar:
         return complaints.keyword_rows(text_reviews(self._spark, self._folder), COMPLAINTS)
 
 
+def line_mentions(star: RatingStar) -> DataFrame:
+    """Complaint mentions of the negative line items, with their source and month."""
+    category = F.when(F.col("rating") <= 2, "Service").when(F.col("rating") == 3, "Waiting Time").otherwise("Price / Value")
+    return star.reviews.where("sentiment_label = 'Negative'").select(
+        "review_id", category.alias("complaint_category"), "source", month_of_review().alias("month"),
+    )
+
+
+def month_of_review():
+    label = F.format_string("%04d-%02d", "review_year", "review_month")
+    return F.when(F.col("review_year").isNotNull(), label).otherwise("undated")
+
+
 def rating_star(spark: SparkSession, folder: str) -> RatingStar:
     return RatingStar(spark, folder)
 
