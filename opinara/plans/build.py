@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from opinara import settings
+from opinara.functions.words import row_digest
 from opinara.operators import cleaning, complaints, sentiment, star
-from opinara.plans import ratings
 from opinara.sources import files, sampling, warehouse
 from opinara.sources.roles import canonical
 
@@ -21,7 +22,9 @@ def ordered(
     ``numeric`` names the number columns that play no role; None finds them out, in one more pass over the file.
     """
     rows = files.with_order(files.with_numbers(raw, numeric))
-    return sampling.exact_sample(rows, sample_rows, key=files.ORDER) if sample_rows else rows
+    if not sample_rows:
+        return rows
+    return sampling.exact_sample(rows, sample_rows, key=row_digest([c for c in rows.columns if c != files.ORDER]))
 
 
 def prepare(rows: DataFrame, platform: str = settings.DEFAULT_SOURCE, dictionaries: dict | None = None) -> DataFrame:
@@ -30,35 +33,38 @@ def prepare(rows: DataFrame, platform: str = settings.DEFAULT_SOURCE, dictionari
     return sentiment.score_reviews(cleaned, **(dictionaries or {}))
 
 
-def store(rows: DataFrame, location: str, complaint_words: Mapping | None = None) -> int:
-    """Writes the five tables and returns the number of complaint mentions. Reviews and mentions are replaced, new
-    dimension rows are added.
+def store(rows: DataFrame, location: str, complaint_words: Mapping | None = None, platform: str = settings.DEFAULT_SOURCE) -> int:
+    """Writes one platform's rows to the five tables and returns the number of its complaint mentions.
 
-    The prepared rows are written once and read by the four table jobs, so nothing is cleaned or scored twice.
+    What the platform had in businesses, reviews and mentions is replaced, other platforms' rows stay; cities and categories
+    are names, and new ones are added. So platforms may come in any order, and one of them again.
+
+    The prepared rows are written once and read by the table jobs, so nothing is cleaned or scored twice.
     """
     spark = rows.sparkSession
-    staged = f"{location}/_staged_reviews"
+    staged = f"{location}/_staged_{platform}"
     rows.write.mode("overwrite").parquet(staged)
     rows = spark.read.schema(rows.schema).parquet(staged)
     warehouse.append_new(star.build_cities(rows), "cities", location)
     warehouse.append_new(star.build_categories(rows), "categories", location)
-    warehouse.append_new(star.build_businesses(rows), "businesses", location)
-    warehouse.write_table(star.build_reviews(rows), "reviews", location)
-    return store_keywords(spark, location, complaint_words)
+    warehouse.write_table(star.build_businesses(rows), "businesses", location, platform)
+    warehouse.write_table(star.build_reviews(rows), "reviews", location, platform)
+    return store_keywords(spark, location, complaint_words, platform)
 
 
-def store_keywords(spark: SparkSession, location: str, complaint_words: Mapping | None = None) -> int:
-    """Tags the stored negative reviews anew, replaces the mentions and returns their number."""
-    reviews = warehouse.read_table(spark, "reviews", location)
-    warehouse.write_table(complaints.keyword_rows(reviews, complaint_words), "keywords", location)
-    return warehouse.read_table(spark, "keywords", location).count()
+def store_keywords(
+    spark: SparkSession, location: str, complaint_words: Mapping | None = None, platform: str = settings.DEFAULT_SOURCE
+) -> int:
+    """Tags a platform's stored negative reviews anew, replaces its mentions and returns their number."""
+    reviews = warehouse.read_table(spark, "reviews", location).where(F.col("source") == platform)
+    warehouse.write_table(complaints.keyword_rows(reviews, complaint_words), "keywords", location, platform)
+    return warehouse.read_table(spark, "keywords", location).where(F.col("source") == platform).count()
 
 
-def is_ready(spark: SparkSession, location: str) -> bool:
-    """Whether stored, scored reviews exist."""
-    if warehouse.read_table(spark, "reviews", location) is None:
-        return False
-    return ratings.scored_counts(warehouse.read_star(spark, location)).first()["scored_reviews"] > 0
+def is_ready(spark: SparkSession, location: str, platform: str = settings.DEFAULT_SOURCE) -> bool:
+    """Whether stored, scored reviews of the platform exist."""
+    reviews = warehouse.read_table(spark, "reviews", location)
+    return reviews is not None and not reviews.where((F.col("source") == platform) & F.col("sentiment_label").isNotNull()).isEmpty()
 
 
 def build(
@@ -66,11 +72,11 @@ def build(
     preferred: str | None = None, sample_rows: int | None = None, audit_path: str | None = None,
     multi_line: bool = False,
 ) -> warehouse.Star:
-    """Reads, cleans, scores, tags and stores the reviews of all files of a folder unless that has been done."""
-    if not is_ready(spark, location):
+    """Reads, cleans, scores, tags and stores one platform's reviews, all files of a folder, unless that has been done."""
+    if not is_ready(spark, location, platform):
         paths = files.find_csv(spark, raw_folder, preferred)
         rows = ordered(files.read_csv(spark, paths, multi_line), sample_rows)
         if audit_path:
             files.write_json(cleaning.log_document(rows, platform, ", ".join(paths), sample_rows), audit_path)
-        store(prepare(rows, platform), location)
+        store(prepare(rows, platform), location, platform=platform)
     return warehouse.read_star(spark, location)

@@ -43,16 +43,19 @@ REVIEWS = _struct(
 )
 KEYWORDS = _struct(
     ("keyword_id", S, False), ("review_id", S, False), ("keyword", S, False), ("complaint_category", S, True),
+    ("source", S, True),
 )
 TABLES = {
     "cities": CITIES, "categories": CATEGORIES, "businesses": BUSINESSES, "reviews": REVIEWS,
     "keywords": KEYWORDS,
 }
-PARTITION_COLUMNS = {"reviews": ["review_year"]}
+#: Every platform has folders of its own, so one is loaded again without touching the others.
+PARTITION_COLUMNS = {"businesses": ["source"], "reviews": ["source", "review_year"], "keywords": ["source"]}
 
 
 def create_tables(spark: SparkSession, location: str) -> None:
-    """Declare the five tables over the Parquet folders below ``location``; existing ones stay."""
+    """Declare the five tables over the Parquet folders below ``location``; existing ones stay. A business that several
+    platforms know has a row per platform here; :func:`opinara.sources.warehouse.read_table` merges them."""
     for name, schema in TABLES.items():
         if not spark.catalog.tableExists(name):
             keys = PARTITION_COLUMNS.get(name, [])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, fields
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,14 +33,18 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     )
 
 
-def write_table(df: DataFrame, table: str, location: str) -> None:
-    """Replaces a table. Rebalancing evens out the files and splits a year that holds most of the rows."""
+def write_table(df: DataFrame, table: str, location: str, source: str | None = None) -> None:
+    """Replaces a table, or what one ``source`` has in it, years that it no longer has included. Rebalancing evens out the
+    files and splits a year that holds most of the rows."""
     keys = schema.PARTITION_COLUMNS.get(table, [])
-    rows = conform(df, table)
+    rows, path = conform(df, table), f"{location}/{table}"
+    if source is not None:
+        keys = [k for k in keys if k != "source"]
+        rows, path = rows.drop("source"), f"{path}/source={quote(source)}"
     if keys:
         rows = rows.hint("rebalance", *keys)
     writer = rows.write.mode("overwrite")
-    (writer.partitionBy(*keys) if keys else writer).parquet(f"{location}/{table}")
+    (writer.partitionBy(*keys) if keys else writer).parquet(path)
 
 
 def append_new(df: DataFrame, table: str, location: str) -> None:
@@ -53,11 +58,17 @@ def append_new(df: DataFrame, table: str, location: str) -> None:
 
 
 def read_table(spark: SparkSession, table: str, location: str) -> DataFrame | None:
+    """A stored table, None if there is none. A business that several platforms know is one row: that of the first platform
+    by the alphabet, whichever was loaded first."""
     try:
         stored = spark.read.schema(schema.TABLES[table]).parquet(f"{location}/{table}")
     except AnalysisException:
         return None
-    return stored.select(*schema.TABLES[table].names)
+    columns = schema.TABLES[table].names
+    if table != "businesses":
+        return stored.select(*columns)
+    merged = stored.groupBy(columns[0]).agg(F.min_by(F.struct(*columns[1:]), "source").alias("first"))
+    return merged.select(columns[0], *[F.col(f"first.{c}").alias(c) for c in columns[1:]])
 
 
 def read_star(spark: SparkSession, location: str) -> Star:

@@ -119,3 +119,37 @@ def test_build_reads_every_file_of_the_folder(spark, raw_folder, tmp_path):
             csv.writer(f).writerows([HEADER, row])
     raw = files.read_csv(spark, files.find_csv(spark, str(folder)), multi_line=True)
     assert raw.count() == 2
+
+
+def test_two_platforms_in_either_order_and_again(spark, raw_folder, tmp_path):
+    """Each platform's rows are its own; a business that both know is one, whichever came first."""
+    folder = tmp_path / "yelp"
+    folder.mkdir()
+    rows = [["Kafe", "istanbul", "3", "good but slow", "2024-05-01", "y1"], ["Bar Uno", "Reno", "1", "rude and dirty", "2023-05-01", "y2"]]
+
+    def write(rows):
+        with open(folder / "yelp.csv", "w", newline="", encoding="utf-8") as f:
+            csv.writer(f).writerows([["name", "city", "stars", "text", "date", "business_id"], *rows])
+
+    write(rows)
+    loads = {"google_maps": raw_folder, "yelp": str(folder)}
+    tables = ("cities", "categories", "businesses", "reviews", "keywords")
+    found = []
+    for order in (["google_maps", "yelp"], ["yelp", "google_maps"]):
+        where = str(tmp_path / "-".join(order))
+        for platform in order:
+            assert not build.is_ready(spark, where, platform)
+            built = build.build(spark, loads[platform], where, platform, multi_line=True)
+        found.append({name: content(getattr(built, name)) for name in tables})
+    assert found[0] == found[1]
+    kafe = built.businesses.where("name = 'Kafe' AND external_id = 'g1'").collect()
+    assert len(kafe) == 1 and kafe[0]["source"] == "google_maps" and built.businesses.where("external_id = 'y1'").count() == 0
+    assert {r["source"]: r["count"] for r in built.reviews.groupBy("source").count().collect()} == {"google_maps": 5, "yelp": 2}
+
+    write(rows[:1])  # a year of the platform's reviews is gone: loading it again takes them out, and nothing else
+    raw = files.read_csv(spark, files.find_csv(spark, str(folder)), multi_line=True)
+    build.store(build.prepare(build.ordered(raw), "yelp"), where, platform="yelp")
+    again = warehouse.read_star(spark, where)
+    assert content(again.reviews.where("source = 'google_maps'")) == content(built.reviews.where("source = 'google_maps'"))
+    assert [r["review_year"] for r in again.reviews.where("source = 'yelp'").collect()] == [2024]
+    assert again.keywords.where("source = 'yelp'").count() == 0 and again.businesses.where("name = 'Bar Uno'").count() == 0

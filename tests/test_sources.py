@@ -94,6 +94,24 @@ def test_exact_sample(spark):
     assert sampling.exact_sample(df, 10).count() == 10
 
 
+def test_sample_is_a_filter(spark):
+    """No shuffle, no sort: whatever is drawn is read once more."""
+    df = spark.range(5000)
+    found = sampling.exact_sample(df, 1000, key="id")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    want = df.withColumn("d", F.md5(F.concat(F.col("id").cast("string"), F.lit(":42")))).orderBy("d").limit(1000)
+    assert {r[0] for r in found.collect()} == {r["id"] for r in want.collect()}
+
+
+def test_sample_with_a_bad_guess(spark, monkeypatch):
+    """All digests far from where the n-th is looked for first; and many equal ones at the cut."""
+    df = spark.range(400)
+    for digest in (F.lpad(F.hex("id"), 32, "0"), F.concat(F.lit("ffff"), F.lpad(F.hex("id"), 28, "0")), F.lit("7" * 32)):
+        monkeypatch.setattr(sampling, "draw", lambda key, seed, digest=digest: F.lower(digest))
+        assert sampling.exact_sample(df, 100, key="id").distinct().count() == 100
+    assert sampling.exact_sample(df, 0, key="id").count() == 0
+
+
 def test_table_round_trip_and_upsert(spark, tmp_path):
     where = str(tmp_path / "star")
     cities = spark.createDataFrame([("1", "A"), ("2", "B")], "city_id string, city_name string")
