@@ -65,7 +65,7 @@ def op4_page_text(spark: SparkSession, folder: str) -> DataFrame:
 
 def op5_kn_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "lang", "text")
-    found = quality.classify(docs, quality.trusted_of(table(spark, folder, "labels")))
+    found = quality.classify(docs, quality.trusted_of(table(spark, folder, "labels")), carry=["doc_id", "lang"])
     return found.select(F.col("row.doc_id").alias("doc_id"), F.col("row.lang").alias("lang"), "perplexity", "worst", "accepted")
 
 
