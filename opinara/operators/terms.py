@@ -85,7 +85,8 @@ def _weighted(
         .agg((F.sum("w") / F.max("n")).alias("score"))
         .withColumn("score", F.round("score", 12))
     )
-    best = top_k(scores, "grp", "score", "term", top_n)
+    order = Window.partitionBy("grp").orderBy(F.desc("score"), "term")  # of a vocabulary, max_features rows
+    best = scores.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top_n)
     return best.select("grp", F.col("term").alias("keyword"), F.round("score", 6).alias("tfidf_score"))
 
 
