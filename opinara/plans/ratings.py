@@ -1,7 +1,7 @@
 """Ratings: totals, distribution, averages per city and category, best and worst businesses.
 
-Where sums per business are compared with a statistic of themselves they are made durable first, so the reviews are
-read once.
+Where sums per business are compared with a statistic of themselves both sides are the same plan, so Spark reads the reviews
+once.
 """
 
 from __future__ import annotations
