@@ -40,7 +40,8 @@ BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 32 << 20
 #: Rows of counters; each has about six counters to a window.
 DEPTH = 2
-SLICES = 1 << 16
+#: Counters of a slice, as a power of two, while there are up to 65,536 slices, and at most.
+SLICE_BITS, SLICE_BITS_MOST = 22, 26
 NO_ID = 2**63 - 1
 HALF = np.uint64(0xFFFFFFFF)
 WORDS_KEPT = 300_000
@@ -151,8 +152,16 @@ def _store_blocks(docs: DataFrame, text_column: str) -> tuple[DataFrame, int]:
     return spark.table(name), total
 
 
+def slice_bits_of(bits: int) -> int:
+    """How many slices, as a power of two, ``2 ** bits`` counters are cut in: as many as keep a slice in a task's memory at any size."""
+    return max(2, min(16, bits - SLICE_BITS), bits - SLICE_BITS_MOST)
+
+
 def _sketch(blocks: DataFrame, text_column: str, size: int, bits: int, slice_bits: int) -> DataFrame:
-    """Rows (slice, block, cells): the counters a block touched, once for each window."""
+    """Rows (slice, block, cells): the counters a block touched, each once or, for several windows, twice.
+
+    Twice is all that the estimate needs, so a passage that a block's documents repeat a thousand times weighs no more.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
@@ -163,6 +172,7 @@ def _sketch(blocks: DataFrame, text_column: str, size: int, bits: int, slice_bit
             slices, cells = [], []
             for depth in range(DEPTH):
                 cell = np.sort(digests[depth] >> np.uint64(64 - bits))
+                cell = np.concatenate((cell[:2], cell[2:][cell[2:] != cell[:-2]]))
                 which = (cell >> np.uint64(bits - slice_bits)).astype(np.int64)
                 cuts = np.flatnonzero(np.diff(which)) + 1
                 for part in np.split(cell, cuts) if len(cell) else []:
@@ -240,7 +250,7 @@ def remove_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """
     blocks, total = _store_blocks(docs, text_column)
     bits = max(10, total.bit_length())
-    slice_bits = min(SLICES.bit_length() - 1, max(2, bits - 22))
+    slice_bits = slice_bits_of(bits)
     flags = _sketch(blocks, text_column, size, bits, slice_bits).groupBy("slice").applyInArrow(_merge, "block bigint, slice bigint, cells binary")
 
     nothing = pa.table({n: pa.array([], pa.int64() if n in ("slice", "block") else pa.binary()) for n in ("slice", "block", "a", "b", "low", "more")})

@@ -18,11 +18,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinara.llm.shared import ascii_lower, by_batch, stored
 
+#: Bytes of a filter that one group of a task combines.
+SEGMENT = 1 << 16
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -98,7 +102,7 @@ class Cascade:
 
 
 def _filter_of(keys: DataFrame, level: int, n: int, rate: float) -> tuple[np.ndarray, int, int]:
-    """A Bloom filter of ``keys`` (key): each task makes the bytes it sets, equal places are combined before they travel."""
+    """A Bloom filter of ``keys`` (key): tasks find the bytes that they set, others combine them to segments, which travel whole."""
     bits = max(64, 8 * math.ceil(n * -math.log(rate) / math.log(2) ** 2 / 8))
     hashes = max(1, round(bits / n * math.log(2)))
 
@@ -109,17 +113,23 @@ def _filter_of(keys: DataFrame, level: int, n: int, rate: float) -> tuple[np.nda
         np.bitwise_or.at(value, inverse, np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
         return pa.record_batch([pa.array(place.view(np.int64)), pa.array(value.astype(np.int32))], names=["place", "value"])
 
-    rows = keys.select("key").mapInArrow(by_batch(run), "place bigint, value int").groupBy("place").agg(F.bit_or("value").alias("value"))
-    filled = np.zeros(bits // 8 + 1, np.uint8)
-    found = rows.toArrow()
-    filled[found["place"].to_numpy()] = found["value"].to_numpy().astype(np.uint8)
-    return filled, bits, hashes
+    def combine(group: pa.Table) -> pa.Table:
+        segment = group["segment"][0].as_py()
+        filled = np.zeros(SEGMENT, np.uint8)
+        np.bitwise_or.at(filled, group["place"].to_numpy() - segment * SEGMENT, group["value"].to_numpy().astype(np.uint8))
+        return pa.table({"segment": pa.array([segment], pa.int64()), "filled": pa.array([filled.tobytes()], pa.binary())})
+
+    rows = keys.select("key").mapInArrow(by_batch(run), "place bigint, value int").withColumn("segment", F.floor(F.col("place") / SEGMENT))
+    filled = np.zeros((bits // 8 // SEGMENT + 1) * SEGMENT, np.uint8)
+    for r in rows.groupBy("segment").applyInArrow(combine, "segment bigint, filled binary").toLocalIterator():
+        filled[r.segment * SEGMENT : (r.segment + 1) * SEGMENT] = np.frombuffer(r.filled, np.uint8)
+    return filled[: bits // 8 + 1], bits, hashes
 
 
 def build_cascade(universe: DataFrame, max_megabytes: int = 64, first_rate: float = 0.1, rate: float = 0.5) -> Cascade:
     """Cascade over ``universe`` (key string, listed boolean), each key once.
 
-    All levels together must fit ``max_megabytes``, since they are broadcast; a larger list has to be given in parts.
+    All levels together must fit ``max_megabytes``, since they are broadcast; :func:`judge` gives a larger universe in parts.
     """
     cascade = Cascade([])
     spark = universe.sparkSession
@@ -155,19 +165,32 @@ def judge(
     corpus = rows.select(F.explode("keys").alias("key"), F.lit(False).alias("listed"))
     named = listed.where("key IS NOT NULL").select(F.col("key").cast("string").alias("key"), F.lit(True).alias("listed"))
     universe = stored(corpus.unionAll(named).groupBy("key").agg(F.max("listed").alias("listed")), "universe")
-    shared = pages.sparkSession.sparkContext.broadcast(build_cascade(universe, max_megabytes))
-
-    def probe(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys = batch.column(3)
-        flat = [k.encode() for k in keys.flatten().to_pylist()]
-        member = shared.value.member(flat) if flat else np.zeros(0, bool)
-        ends = np.concatenate(([0], np.cumsum(member)))
-        offsets = keys.offsets.to_numpy() - keys.offsets[0].as_py()
-        hit = ends[offsets[1:]] > ends[offsets[:-1]]
-        return pa.record_batch([*batch.columns[:3], pa.array(hit)], names=["id", "host", "path", "hit"])
-
-    kind = rows.schema["id"].dataType.simpleString()
-    judged = rows.mapInArrow(by_batch(probe), f"id {kind}, host string, path string, hit boolean")
+    numbers = dict(universe.groupBy("listed").count().collect())
+    # bits of all levels: each halves the one before the last, the first lets a tenth of the other keys through
+    bits = 6.3 * numbers.get(True, 0) + 0.3 * numbers.get(False, 0)
+    parts = math.ceil(1.3 * bits / (8 * 2**20 * max_megabytes)) or 1
+
+    def probe(cascade: Broadcast):
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            keys = batch.column(3)
+            flat = [k.encode() for k in keys.flatten().to_pylist()]
+            member = cascade.value.member(flat) if flat else np.zeros(0, bool)
+            ends = np.concatenate(([0], np.cumsum(member)))
+            offsets = keys.offsets.to_numpy() - keys.offsets[0].as_py()
+            hit = (ends[offsets[1:]] > ends[offsets[:-1]]) | batch.column(5).to_numpy(zero_copy_only=False)
+            return pa.record_batch([*batch.columns[:3], batch.column(4), pa.array(hit)], names=["id", "host", "path", "keys", "hit"])
+
+        return run
+
+    judged = rows.withColumn("hit", F.lit(False))
+    of_part = F.pmod(F.xxhash64("key"), F.lit(parts))
+    for part in range(parts):  # one part is the rule; the verdicts so far are stored before the next part's filters are sent
+        shared = pages.sparkSession.sparkContext.broadcast(build_cascade(universe.where(of_part == part), max_megabytes))
+        own = F.filter("keys", lambda k: F.pmod(F.xxhash64(k), F.lit(parts)) == part) if parts > 1 else F.col("keys")
+        judged = judged.select("id", "host", "path", own.alias("own"), "keys", "hit").mapInArrow(by_batch(probe(shared)), judged.schema)
+        if part < parts - 1:
+            judged = stored(judged, "url-verdicts")
+            shared.destroy()
     which = fitting_rule(F.col("host"), F.col("path"), rules)
     texts = F.array(*[F.lit(r.text) for r in rules]) if rules else F.array().cast("array<string>")
     verdicts = F.array(*[F.lit(r.verdict) for r in rules]) if rules else F.array().cast("array<string>")

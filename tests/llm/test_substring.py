@@ -72,3 +72,17 @@ def test_query(spark, write_tables):
     got = queries.op10_substring_dedup(spark, write_tables(documents=docs)).collect()
     want = Counter((i, n, gone, hashlib.sha256(kept.encode()).hexdigest()) for i, n, gone, kept in by_hand(odd.pairs(docs), 13).elements())
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == want
+
+
+def test_a_hot_passage_is_sent_twice_by_a_block(spark):
+    """A passage that a third of the rows repeat reaches its slice twice from each block, not once for each window."""
+    hot = " ".join(f"w{i}" for i in range(13))
+    texts = [hot if i % 3 == 0 else " ".join(f"v{i}x{j}" for j in range(13)) for i in range(3000)]
+    blocks = spark.createDataFrame([(0, (t,)) for t in texts], "block bigint, row struct<text:string>").coalesce(1)
+    cells = [substring.decode(r.cells) for r in substring._sketch(blocks, "text", 13, 40, 2).collect()]
+    counts = [np.unique(c, return_counts=True)[1] for c in cells]
+    assert max(c.max() for c in counts) == 2 and sum(len(c) for c in cells) == substring.DEPTH * (2000 + 2)
+
+
+def test_slices_grow_with_the_counters():
+    assert [substring.slice_bits_of(b) for b in (10, 24, 30, 38, 42, 47, 60)] == [2, 2, 8, 16, 16, 21, 34]

@@ -61,6 +61,14 @@ def test_size_is_checked(spark):
         url_filter.build_cascade(universe, max_megabytes=0)
 
 
+def test_a_long_list_is_taken_in_parts(spark):
+    """More keys than the filters of one part hold: the same exact verdicts, part after part."""
+    pages = spark.range(3000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), F.col("id"), F.lit(".net/")).alias("url"))
+    listed = spark.range(0, 3000, 3).select(F.concat(F.lit("h"), F.col("id"), F.lit(".net")).alias("key"))
+    out = url_filter.judge(pages, [], listed, max_megabytes=0.0008).collect()
+    assert {(r.id, r.verdict) for r in out} == {(i, "allow" if i % 3 else "block") for i in range(3000)} and len(out) == 3000
+
+
 def test_empty(spark):
     nothing = spark.createDataFrame([], "page_id long, url string")
     assert url_filter.judge(nothing, RULES, spark.createDataFrame([], "key string")).count() == 0
