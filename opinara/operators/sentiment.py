@@ -279,7 +279,8 @@ SCORE_COLUMNS = [
 def attach_scores(reviews: DataFrame, scored: DataFrame, key: str = "review_id") -> DataFrame:
     """Reviews with scores computed elsewhere, matched by key; a review without a score gets none.
 
-    For scores of :func:`score_reviews` this join is not needed: they are columns of the reviews already.
+    For scores of :func:`score_reviews` this join is not needed: they are columns of the reviews already. Where both
+    sides are tables of ``warehouse.write_keyed`` neither is shuffled.
     """
     plain = reviews.drop(*SCORE_COLUMNS)
     return plain.join(scored.select(key, *SCORE_COLUMNS), key, "left")

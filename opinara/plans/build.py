@@ -27,29 +27,34 @@ def ordered(
     return sampling.exact_sample(rows, sample_rows, key=row_digest([c for c in rows.columns if c != files.ORDER]))
 
 
-def prepare(rows: DataFrame, platform: str = settings.DEFAULT_SOURCE, dictionaries: dict | None = None) -> DataFrame:
+def prepare(
+    rows: DataFrame, platform: str = settings.DEFAULT_SOURCE, dictionaries: dict | None = None, counts: cleaning.CleaningCounts | None = None
+) -> DataFrame:
     """Clean, canonical and scored reviews of one platform, as one plan."""
-    cleaned = canonical(cleaning.clean(rows, platform), platform)
+    cleaned = canonical(cleaning.clean(rows, platform, counts=counts), platform)
     return sentiment.score_reviews(cleaned, **(dictionaries or {}))
 
 
+def stage(rows: DataFrame, location: str, platform: str = settings.DEFAULT_SOURCE) -> DataFrame:
+    """The prepared rows written once, so that the table jobs neither clean nor score them again."""
+    staged = f"{location}/_staged_{platform}"
+    rows.write.mode("overwrite").parquet(staged)
+    return rows.sparkSession.read.schema(rows.schema).parquet(staged)
+
+
 def store(rows: DataFrame, location: str, complaint_words: Mapping | None = None, platform: str = settings.DEFAULT_SOURCE) -> int:
     """Writes one platform's rows to the five tables and returns the number of its complaint mentions.
 
     What the platform had in businesses, reviews and mentions is replaced, other platforms' rows stay; cities and categories
     are names, and new ones are added. So platforms may come in any order, and one of them again.
 
-    The prepared rows are written once and read by the table jobs, so nothing is cleaned or scored twice.
+    ``rows`` are read by each table's job: give them as :func:`stage` returns them.
     """
-    spark = rows.sparkSession
-    staged = f"{location}/_staged_{platform}"
-    rows.write.mode("overwrite").parquet(staged)
-    rows = spark.read.schema(rows.schema).parquet(staged)
     warehouse.append_new(star.build_cities(rows), "cities", location)
     warehouse.append_new(star.build_categories(rows), "categories", location)
     warehouse.write_table(star.build_businesses(rows), "businesses", location, platform)
     warehouse.write_table(star.build_reviews(rows), "reviews", location, platform)
-    return store_keywords(spark, location, complaint_words, platform)
+    return store_keywords(rows.sparkSession, location, complaint_words, platform)
 
 
 def store_keywords(
@@ -76,7 +81,9 @@ def build(
     if not is_ready(spark, location, platform):
         paths = files.find_csv(spark, raw_folder, preferred)
         rows = ordered(files.read_csv(spark, paths, multi_line), sample_rows)
+        counts = cleaning.CleaningCounts() if audit_path else None
+        staged = stage(prepare(rows, platform, counts=counts), location, platform)
         if audit_path:
-            files.write_json(cleaning.log_document(rows, platform, ", ".join(paths), sample_rows), audit_path)
-        store(prepare(rows, platform), location, platform=platform)
+            files.write_json(cleaning.log_document(rows, platform, ", ".join(paths), sample_rows, counts=counts, cleaned=staged), audit_path)
+        store(staged, location, platform=platform)
     return warehouse.read_star(spark, location)

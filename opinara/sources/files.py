@@ -12,6 +12,8 @@ from opinara import settings
 from opinara.functions.numbers import to_number
 
 ORDER = "_order"
+#: A kept review's city as the file spells it.
+SPELLING = "_city_spelling"
 
 
 def find_csv(spark: SparkSession, folder: str, preferred: str | None = None) -> list[str]:

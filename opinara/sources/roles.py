@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opinara import schema, settings
-from opinara.sources.files import ORDER
+from opinara.sources.files import ORDER, SPELLING
 
 
 def find_role(columns: Sequence[str], candidates: Sequence[str]) -> str | None:
@@ -38,7 +38,7 @@ def canonical(df: DataFrame, platform: str = settings.DEFAULT_SOURCE, source: st
         else:
             column = F.col(f"`{name}`").try_cast(kind)
         typed.append(column.alias(role))
-    kept = [F.col(c) for c in ("review_id", ORDER) if c in df.columns]
+    kept = [F.col(c) for c in ("review_id", ORDER, SPELLING) if c in df.columns]
     return df.select(*kept, *typed, F.lit(source or platform).alias("source"))
 
 

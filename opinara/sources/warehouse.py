@@ -57,6 +57,19 @@ def append_new(df: DataFrame, table: str, location: str) -> None:
     rows.write.mode("append").parquet(f"{location}/{table}")
 
 
+def write_keyed(df: DataFrame, table: str, path: str, key: str = "review_id", buckets: int | None = None) -> DataFrame:
+    """Replaces the catalog table ``table`` at ``path``, bucketed and sorted by ``key``, one file per bucket, and reads it.
+
+    Tables of the same number of buckets are joined by that key without a shuffle. The number is the session's shuffle
+    partitions if not given; for large tables give one that makes a bucket a task's work.
+    """
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartition(buckets, key)
+    rows.write.mode("overwrite").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+    return spark.table(table)
+
+
 def read_table(spark: SparkSession, table: str, location: str) -> DataFrame | None:
     """A stored table, None if there is none. A business that several platforms know is one row: that of the first platform
     by the alphabet, whichever was loaded first."""

@@ -2,8 +2,9 @@ import csv
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
-from opinara.operators import star
+from opinara.operators import cleaning, sentiment, star
 from opinara.plans import build, feedback, ratings, views
 from opinara.sources import files, warehouse
 from opinara.sources.files import ORDER
@@ -75,6 +76,41 @@ def test_build_and_rerun(spark, raw_folder, tmp_path):
     assert before == {name: content(getattr(again, name)) for name in before}
 
 
+@pytest.mark.parametrize("sample", [None, 4])
+def test_observed_counts_equal_the_audit(spark, raw_folder, tmp_path, sample):
+    """What the write job observes is what the exact audit counts, and the log does not clean again."""
+    raw = build.ordered(files.read_csv(spark, files.find_csv(spark, raw_folder), multi_line=True), sample)
+    counts = cleaning.CleaningCounts()
+    staged = build.stage(build.prepare(raw, counts=counts), str(tmp_path / "star"))
+    exact = cleaning.audit(raw).first().asDict()
+    observed = cleaning.observed_audit(counts, staged)
+    assert observed.first().asDict() == exact
+    assert "FileScan csv" not in observed._jdf.queryExecution().executedPlan().toString()
+    empty = raw.where("false")
+    counts = cleaning.CleaningCounts()
+    staged = build.stage(build.prepare(empty, counts=counts), str(tmp_path / "empty"))
+    assert cleaning.observed_audit(counts, staged).first().asDict() == cleaning.audit(empty).first().asDict()
+
+
+def test_scores_are_written_back_without_a_shuffle(spark, tmp_path):
+    """Reviews and scores bucketed by key: the join reads buckets side by side."""
+    reviews = spark.range(500).select(F.col("id").cast("string").alias("review_id"), F.lit("x").alias("review_text"))
+    scores = reviews.where("CAST(review_id AS INT) % 5 != 0").select("review_id", *[F.lit(0.5).alias(c) for c in sentiment.SCORE_COLUMNS[:-1]], F.lit("Positive").alias("sentiment_label"))
+    left = warehouse.write_keyed(reviews, "keyed_reviews", str(tmp_path / "reviews"))
+    right = warehouse.write_keyed(scores, "keyed_scores", str(tmp_path / "scores"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = sentiment.attach_scores(left, right)
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+        got = joined.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql("DROP TABLE keyed_reviews")
+        spark.sql("DROP TABLE keyed_scores")
+    assert len(got) == 500 and {r["review_id"] for r in got if r["sentiment_label"] is None} == {str(i) for i in range(0, 500, 5)}
+
+
 def test_registered_views(spark, raw_folder, tmp_path):
     built = build.build(spark, raw_folder, str(tmp_path / "star"), multi_line=True)
     warehouse.register(built)
