@@ -86,6 +86,7 @@ def build_index(docs: DataFrame, terms: dict[bytes, int], id_column: str, text_c
     """Rows (keys, ids, n_words, terms, counts, steps): documents of a run, how often each term occurs in it, and the terms'
     positions in the run as differences."""
     shared = docs.sparkSession.sparkContext.broadcast(terms)
+    kind = "binary" if docs.schema[id_column].dataType.typeName() == "binary" else "bigint"
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         get = shared.value.get
@@ -95,7 +96,8 @@ def build_index(docs: DataFrame, terms: dict[bytes, int], id_column: str, text_c
             words = words_of(text)
             sizes.append(len(words))
             parts.append(np.fromiter(map(get, words, repeat(-1)), np.int64, len(words)))
-            keys.append(xxhash.xxh3_128_digest(b"%d:" % doc + text if doc is not None else b":" + text))
+            name = b"" if doc is None else doc if isinstance(doc, bytes) else b"%d" % doc
+            keys.append(xxhash.xxh3_128_digest(name + b":" + text))
         if not ids:
             return None
         term = np.concatenate(parts)
@@ -105,10 +107,10 @@ def build_index(docs: DataFrame, terms: dict[bytes, int], id_column: str, text_c
         place = (posting & 0xFFFFFFFF).astype(np.int32)
         steps = np.diff(place, prepend=np.int32(0))
         row = [keys, ids, sizes, which.astype(np.int32).tolist(), counts.tolist(), steps.astype("<i4").tobytes()]
-        return pa.record_batch([pa.array([x], t) for x, t in zip(row, (pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary()), strict=True)], names=["keys", "ids", "n_words", "terms", "counts", "steps"])
+        return pa.record_batch([pa.array([x], t) for x, t in zip(row, (pa.list_(pa.binary()), pa.list_(pa.binary() if kind == "binary" else pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary()), strict=True)], names=["keys", "ids", "n_words", "terms", "counts", "steps"])
 
-    rows = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).cast("string").alias("text"))
-    return stored(rows.mapInArrow(by_batch(run), "keys array<binary>, ids array<bigint>, n_words array<bigint>, terms array<int>, counts array<bigint>, steps binary"), "postings")
+    rows = docs.select(F.col(id_column).cast(kind).alias("id"), F.col(text_column).cast("string").alias("text"))
+    return stored(rows.mapInArrow(by_batch(run), f"keys array<binary>, ids array<{kind}>, n_words array<bigint>, terms array<int>, counts array<bigint>, steps binary"), "postings")
 
 
 def term_counts(index: DataFrame, n_terms: int) -> np.ndarray:
@@ -224,6 +226,7 @@ def decontaminate(
     ``items`` are the benchmark items of which a window of ``n`` words (all words, if it has fewer) occurs in the document,
     ``n_hit`` counts the document's words inside such occurrences. ``near_items`` are the items of which all words of a
     window lie within ``span`` words of its rarest one, in any order; null without ``span``. Items without an id are left out.
+    Ids of ``docs`` are bigint, or binary if the column is.
     """
     slim, exact, near = None, None, None
     parts = parts_of(benchmark.where(F.col(item_column).isNotNull()), item_column, item_text_column, n)

@@ -70,21 +70,30 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def with_least(edges: DataFrame) -> DataFrame:
+    """(u, v, m) per edge (u, v): m is the least of u and the nodes that u has edges to.
+
+    The second, redundant key has both sides dealt right before the join. Else the minima stay where the grouping left them,
+    and AQE only splits the edges of a node that has very many if both sides come straight from a shuffle.
+    """
+    least = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
+    return edges.join(least, (F.col("u") == F.col("c")) & (F.xxhash64("u") == F.xxhash64("c"))).select("u", "v", "m")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components by alternating large and small stars: (node, root), root the smallest node reachable.
 
     ``edges`` has two bigint columns (u, v); loops and repeats are allowed. Nodes without an edge are left out. Each
     round shuffles the edges a few times and is stored, so lost executors repeat one round at most. No adjacency list
-    is ever gathered: a node with many neighbours only meets their minimum, which is combined before the shuffle.
+    is ever gathered: a node with many neighbours only meets their minimum, which is combined before the shuffle, and its
+    edges are spread over tasks (``with_least``).
     """
     current = stored(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = None
     while True:
         both = current.unionAll(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
-        large = both.join(least, F.col("u") == F.col("c")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "c")
-        small = large.join(least, F.col("u") == F.col("c")).select(
+        large = with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = with_least(large).select(
             F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
         ).select("e.u", "e.v").where("u != v").distinct()
         current = stored(small, "edges")

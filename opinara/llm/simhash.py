@@ -6,6 +6,9 @@ blocks. Under a key, a table holds the Hamming distance of each fingerprint to m
 triangle inequality a pair whose distances to any reference differ by more than ``radius`` can't be a link and is
 discarded, the survivors are verified bit by bit. (Pivot tables alone would have to compare all pairs.)
 
+The number of blocks follows from the number of fingerprints (``blocks_for``): more blocks are more keys of more bits, so a
+fingerprint shares its keys with a bounded number of unrelated ones however many there are. The links are the same.
+
 A key with many fingerprints is cut into blocks of ``HOT`` rows and each pair of blocks is a group of its own. From a
 group only a spanning forest of its links leaves the task, never its pairs.
 
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +38,8 @@ PIVOTS = np.random.default_rng(7).integers(0, 2**63, 24, dtype=np.uint64) * np.u
 #: Fingerprints under one key in one group.
 HOT = 2048
 CHUNK = 1 << 16
+#: Unrelated fingerprints that one may share its keys with, about, before there are more blocks.
+PARTNERS = 1 << 10
 
 
 def fingerprint(text: bytes, shingle: int) -> int:
@@ -70,6 +76,17 @@ def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def blocks_for(n: int, radius: int, least: int = 2) -> int:
+    """Blocks so that ``n`` evenly spread fingerprints have about ``PARTNERS`` partners each under all keys, or fewer.
+
+    A key has all blocks but ``radius``, about 64 (blocks - radius) / blocks bits; ``least`` of them at any size.
+    """
+    blocks = radius + least
+    while blocks < BITS and comb(blocks, radius) * n > PARTNERS << (BITS * (blocks - radius) // blocks):
+        blocks += 1
+    return blocks
+
+
 def block_masks(radius: int, blocks: int) -> list[int]:
     """One mask for each choice of blocks - radius blocks."""
     edges = [round(i * BITS / blocks) for i in range(blocks + 1)]
@@ -149,8 +166,10 @@ def _link_groups(radius: int):
     return run
 
 
-def links(nodes: DataFrame, radius: int = 4, blocks: int = 6) -> DataFrame:
+def links(nodes: DataFrame, radius: int = 4, blocks: int | None = None) -> DataFrame:
     """A spanning set of the links between the distinct fingerprints ``nodes`` (fp): (u, v)."""
+    if blocks is None:
+        blocks = blocks_for(nodes.count(), radius)
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(block_masks(radius, blocks))])
     keyed = nodes.select("fp", F.explode(keys).alias("key"))
     shared_keys = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("key", "k")
@@ -165,7 +184,7 @@ def links(nodes: DataFrame, radius: int = 4, blocks: int = 6) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 4, radius: int = 4, blocks: int = 6
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 4, radius: int = 4, blocks: int | None = None
 ) -> DataFrame:
     """(id, fp, component_id) per row of ``docs``: component_id is the smallest id reachable over links, its own included."""
     rows = stored(fingerprints(docs, id_column, text_column, shingle), "fingerprints")

@@ -7,7 +7,7 @@ import pytest
 import xxhash
 
 from opinara.llm import queries, simhash
-from opinara.llm.shared import components
+from opinara.llm.shared import components, with_least
 from tests.llm import odd
 
 
@@ -55,8 +55,8 @@ def test_sixty_four_shingles_with_the_same_bit():
     assert simhash.fingerprint(b"A b c d " * 70, 4) == fingerprint_by_hand("a b c d " * 70)
 
 
-@pytest.mark.parametrize("hot", [4, 64])
-def test_links_of_a_crowded_neighbourhood(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "blocks"), [(4, None), (64, None), (16, 7), (16, 8)])
+def test_links_of_a_crowded_neighbourhood(spark, monkeypatch, hot, blocks):
     monkeypatch.setattr(simhash, "HOT", hot)
     rng = np.random.default_rng(3)
     base = int(rng.integers(0, 2**62))
@@ -66,7 +66,7 @@ def test_links_of_a_crowded_neighbourhood(spark, monkeypatch, hot):
     fps |= {int(x) for x in rng.integers(0, 2**63, 200)} | {0, 1, 2**64 - 1}
     signed = [simhash._signed(f) for f in fps]
     nodes = spark.createDataFrame([(f,) for f in signed], "fp bigint")
-    roots = {r.node: r.root for r in components(simhash.links(nodes)).collect()}
+    roots = {r.node: r.root for r in components(simhash.links(nodes, blocks=blocks)).collect()}
     rows = [(i, f) for i, f in enumerate(signed)]
     want = components_by_hand([(i, f % 2**64) for i, f in rows])
     least = {}
@@ -82,6 +82,36 @@ def test_components_of_chains_stars_and_loops(spark):
     assert got == {**{i: 0 for i in range(41)}, **{x: 100 for x in range(100, 180)}, 201: 201, 202: 201}
 
 
+def test_blocks_follow_the_fingerprints():
+    found = [simhash.blocks_for(10**e, 4) for e in range(12)]
+    assert found[:8] == [6] * 8 and found == sorted(found) and found[-1] > 7
+    assert simhash.comb(found[-1], 4) * 10**11 / 2 ** (64 * (found[-1] - 4) // found[-1]) <= simhash.PARTNERS
+
+
+def test_edges_of_a_hub_are_split(spark):
+    """A node with a third of all edges: its join is dealt anew, and the components are right."""
+    conf = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.shuffle.partitions": "32",
+    }
+    before = {k: spark.conf.get(k, None) for k in conf}
+    edges = spark.range(1, 30_001).selectExpr("id * 7 AS u", "0L AS v").unionAll(spark.range(60_000).selectExpr("10000000 + id AS u", "20000000 + id AS v"))
+    edges = edges.unionAll(edges.selectExpr("v AS u", "u AS v")).repartition(8)
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        least = with_least(edges)
+        assert least.collect() and "skew=true" in least._jdf.queryExecution().executedPlan().toString()
+        assert least.where("m != least(u, v)").count() == 0 and least.count() == 180_000
+        roots = components(edges)
+        assert roots.where("root = 0").count() == 30_001 and roots.count() == 150_001
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_query(spark, write_tables):
     docs = odd.documents(spark)
     out = queries.op7_simhash(spark, write_tables(documents=docs)).collect()
