@@ -36,6 +36,11 @@ def _text(pattern: str, *values: Column) -> Column:
     return F.format_string(pattern, *values)
 
 
+def _half_up(value: Column, digits: int) -> Column:
+    """Rounded on the 15 decimals of a double: a mean of 3.515 that is stored as 3.5149999999999997 is 3.52."""
+    return F.round(value.cast("decimal(38,15)"), digits).cast("double")
+
+
 # The wording of every finding below is a fixed value.
 
 
@@ -104,7 +109,7 @@ def city_gaps(cities: DataFrame, overall: DataFrame) -> DataFrame:
         .groupBy(SCOPE, "side")
         .agg(
             F.array_sort(F.collect_list(F.struct("at", "city_name"))).alias("names"),
-            F.avg("avg_rating").alias("mean"), F.max("national_avg").alias("national_avg"),
+            _half_up(F.avg("avg_rating"), 2).alias("mean"), F.max("national_avg").alias("national_avg"),
         )
         .withColumn("list", F.array_join("names.city_name", ", "))
     )

@@ -80,3 +80,14 @@ def test_by_group(spark):
         ("Positive", "Strong Positive Sentiment"), ("Negative", "Top Complaint: Service"),
         ("Positive", "Top Complaint: Service"),
     }
+
+
+def test_a_mean_of_averages_is_rounded_on_its_decimals(spark):
+    pairs = [(a / 100, b / 100) for a in range(340, 360) for b in range(340, 360) if (a + b) % 2 and repr((a / 100 + b / 100) / 2).endswith("99999999997")]
+    assert pairs  # means that end in 5, stored a little below
+    cities = [(str(i), f"city {j}", rating, 5) for i, pair in enumerate(pairs) for j, rating in enumerate(pair)]
+    rows = spark.createDataFrame(cities, "scope string, city_name string, avg_rating double, review_count long")
+    overall = spark.createDataFrame([(str(i), 2.0) for i in range(len(pairs))], "scope string, national_avg double")
+    got = {r.scope: r.detail for r in insights.city_gaps(rows, overall).collect()}
+    for i, (a, b) in enumerate(pairs):
+        assert got[str(i)].endswith(f"ratings of {(round(100 * a) + round(100 * b) + 1) / 200:.2f}★.")
