@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinara import settings
-from opinara.functions.words import ngrams, plain_words, words
+from opinara.functions.words import plain_words, words
 from opinara.operators.ranking import top_k
 
 def word_frequency(
@@ -55,6 +56,32 @@ def theme_counts(
     )
 
 
+#: Parts of a group that are ranked on their own; the group's ranking sees ``max_features`` terms of each.
+PARTS = 64
+
+
+def _starts(texts: DataFrame, high: int) -> DataFrame:
+    """A row per word of ``texts`` (grp, id, body), the words joined by a space: (grp, id, w0, w1, ...), null behind the last word."""
+    listed = texts.where("body != ''").select("grp", "id", F.split("body", " ").alias("ws"))
+    later = [F.slice("ws", F.lit(1 + n), F.greatest(F.size("ws") - n, F.lit(0))) for n in range(high)]
+    found = listed.select("grp", "id", F.explode(F.arrays_zip(*later)).alias("w"))
+    return found.select("grp", "id", *[F.col("w").getField(str(n)).alias(f"w{n}") for n in range(high)])
+
+
+def _candidates(starts: DataFrame, max_features: int) -> DataFrame:
+    """(grp, word) that terms of the vocabulary are made of: ``max_features`` words of two or more texts are as frequent as these
+    or more so, hence so is the vocabulary, and no term is more frequent than its words. All words of two or more texts if
+    there are fewer."""
+    text = F.xxhash64("id")
+    words_seen = starts.groupBy("grp", "w0").agg(F.count("*").alias("total"), F.min(text).alias("least"), F.max(text).alias("most"))
+    frequent = words_seen.where("least != most")
+    above = F.sum("words").over(Window.partitionBy("grp").orderBy(F.desc("total")))
+    levels = frequent.groupBy("grp", "total").agg(F.count("*").alias("words")).withColumn("above", above)
+    floors = levels.where(F.col("above") >= max_features).groupBy("grp").agg(F.max("total").alias("floor"))
+    held = frequent.join(F.broadcast(floors), "grp", "left").where(F.col("total") >= F.coalesce("floor", F.lit(0)))
+    return held.select("grp", F.col("w0").alias("word"))
+
+
 def _weighted(
     docs: DataFrame, id_column: str, text_column: str, group: Column, top_n: int, max_features: int,
     sizes: tuple[int, int], stop_words: Sequence[str],
@@ -62,22 +89,38 @@ def _weighted(
     """Mean normalised tf-idf per term and group: smooth idf, terms in two or more texts, the ``max_features``
     most frequent of them, unit vectors, mean over all texts of the group.
 
-    The texts are shuffled once, by id; that moves less than their terms would. Counting terms per text and measuring its
-    vector need no further exchange, and the vocabulary (at most ``max_features`` terms per group, broadcast) comes from sums
-    over the same rows. What else is shuffled are partial sums per term.
+    The texts' words are shuffled once, by id, and read three times: for the words' counts, which leave about ``max_features``
+    candidates per group (broadcast); for the terms made of candidates, which are counted per text; and for the weights of the
+    vocabulary (broadcast). What else is shuffled are partial sums per word and per term of candidates.
     """
+    low, high = sizes
+    tokens = F.filter(words(F.col(text_column), shortest=2), lambda w: ~w.isin(list(stop_words)))
     texts = docs.where(F.col(text_column).isNotNull()).select(
-        group.alias("grp"), F.col(id_column).alias("id"), F.col(text_column).alias("body")
+        group.alias("grp"), F.col(id_column).alias("id"), F.array_join(tokens, " ").alias("body")
     )
     texts = texts.repartition("id")
-    tokens = F.filter(words(F.col("body"), shortest=2), lambda w: ~w.isin(list(stop_words)))
-    terms = ngrams(tokens, *sizes)
-    counts = texts.select("grp", "id", F.explode(terms).alias("term")).where("term IS NOT NULL").groupBy("grp", "id", "term").agg(F.count("*").alias("tf"))
+    rows = starts = _starts(texts, high)
+    places = [f"w{n}" for n in range(high)]
+    whole = [F.col(p).isNotNull() for p in places]
+    if low == 1:
+        held = F.broadcast(_candidates(starts, max_features))
+        for n, place in enumerate(places):
+            rows = rows.join(held.select("grp", F.col("word").alias(place), F.lit(True).alias(f"held{n}")), ["grp", place], "left" if n else "inner")
+        whole = [F.col(f"held{n}").isNotNull() for n in range(high)]
+    grams = [F.when(reduce(Column.__and__, whole[:n]), F.concat_ws(" ", *places[:n])) for n in range(low, high + 1)]
+    terms = rows.select("grp", "id", F.explode(F.array(*grams)).alias("term")).where("term IS NOT NULL")
+    counts = terms.groupBy("grp", "id", "term").agg(F.count("*").alias("tf"))
     seen = counts.groupBy("grp", "term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).where("df >= 2")
+    best_first = (F.desc("total"), "term")
+    part = Window.partitionBy("grp", F.pmod(F.xxhash64("term"), F.lit(PARTS))).orderBy(*best_first)
+    for window in (part, Window.partitionBy("grp").orderBy(*best_first)):
+        seen = seen.withColumn("place", F.row_number().over(window)).where(F.col("place") <= max_features)
     size = F.broadcast(texts.groupBy("grp").agg(F.count("*").alias("n")).where("n >= 2"))  # one row per group
     idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
-    vocabulary = top_k(seen, "grp", "total", "term", max_features).join(size, "grp").select("grp", "term", "n", idf.alias("idf"))
-    weights = counts.join(F.broadcast(vocabulary), ["grp", "term"]).select("grp", "id", "term", "n", (F.col("tf") * F.col("idf")).alias("w"))
+    vocabulary = seen.join(size, "grp").select("grp", "term", "n", idf.alias("idf"))
+    weights = terms.join(F.broadcast(vocabulary), ["grp", "term"]).groupBy("grp", "id", "term").agg(
+        (F.count("*") * F.max("idf")).alias("w"), F.max("n").alias("n")
+    )
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
     scores = (
         weights.select("grp", "term", "n", (F.col("w") / norm).alias("w"))

@@ -263,3 +263,21 @@ def test_attached_scores(spark):
     scored = sentiment.score_reviews(df.where("review_id = 1"))
     got = {r["review_id"]: r["sentiment_label"] for r in sentiment.attach_scores(df, scored).collect()}
     assert got == {1: "Positive", 2: None}
+
+
+# --- many words -----------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("max_features", [3, 20, 45])
+def test_tfidf_counts_terms_of_frequent_words_only(spark, max_features):
+    rng = random.Random(8)
+    texts = [" ".join(f"w{min(int(rng.paretovariate(0.6)), 60)}" for _ in range(rng.randrange(0, 25))) for _ in range(40)]
+    df = frame(spark, [(i, t, "Positive", "b") for i, t in enumerate(texts)])
+    got = terms.tfidf_keywords(df, top_n=15, max_features=max_features)
+    assert {r["keyword"]: r["tfidf_score"] for r in got.collect()} == pytest.approx(tfidf_by_hand(texts, 15, max_features), abs=2e-6)
+    total, seen = Counter(w for t in texts for w in t.split()), Counter(w for t in texts for w in set(t.split()))
+    counts = sorted((total[w] for w in seen if seen[w] > 1), reverse=True)
+    starts = terms._starts(df.select(F.lit("all").alias("grp"), F.col("review_id").alias("id"), F.col("review_text").alias("body")), 2)
+    held = {r["word"] for r in terms._candidates(starts, max_features).collect()}
+    least = counts[max_features - 1] if len(counts) >= max_features else 0
+    assert held == {w for w in seen if seen[w] > 1 and total[w] >= least} and (max_features > 20 or len(held) < len(counts))
