@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinara import settings
+from opinara.functions.text import bind
 from opinara.functions.words import plain_words, words
 from opinara.operators.ranking import top_k
 
@@ -45,10 +46,15 @@ def theme_counts(
     themes = {"positive": positive or settings.POSITIVE_THEMES, "negative": negative or settings.NEGATIVE_THEMES}
     wanted = sorted({w for ws in themes.values() for w in ws})
     hits = F.filter(words(F.col(text_column)), lambda w: w.isin(wanted))
-    # a word's occurrences in a text follow each other once they are sorted: the first one counts the text
-    rows = df.select(F.posexplode(F.sort_array(hits)).alias("at", "term"), F.sort_array(hits).alias("hits"))
-    is_first = F.when(F.col("at") == F.array_position("hits", F.col("term")) - 1, 1).otherwise(0)
-    found = rows.select("term", is_first.alias("first")).groupBy("term").agg(F.count("*").alias("total"), F.sum("first").alias("df"))
+
+    def counted(found: Column) -> Column:
+        """(term, n) per theme word of a text: a pass over the hits for each, and a row for each, however long the text."""
+        return F.transform(
+            F.array_distinct(found), lambda w: F.struct(w.alias("term"), (F.size(found) - F.size(F.array_remove(found, w))).alias("n"))
+        )
+
+    rows = df.select(F.explode(bind(hits, counted)).alias("hit")).select("hit.*")
+    found = rows.groupBy("term").agg(F.sum("n").alias("total"), F.count("*").alias("df"))
     sides = [F.when(F.col("term").isin(list(ws)), F.lit(name)) for name, ws in themes.items()]
     return found.select(
         F.explode(F.array_compact(F.array(*sides))).alias("theme"), F.col("term").alias("word"),
