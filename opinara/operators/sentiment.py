@@ -77,10 +77,10 @@ def _marks(text: Column, rules: Rules) -> Column:
     return F.least(exclamations, F.lit(4)) * F.lit(rules.exclamation) + question
 
 
-def _adjusted(
-    valence: Column, word: Column, earlier: Sequence[Column], mixed: Column, at: Column, pivot: Column, boost_of, turned: list[str], rules: Rules
-) -> Column:
-    """Valence of a word of the lexicon among its neighbours; ``earlier`` are the words before it, nearest first."""
+def _context(
+    word: Column, earlier: Sequence[Column], mixed: Column, at: Column, pivot: Column, boost_of, turned: list[str], rules: Rules
+) -> tuple[Column, Column]:
+    """By how much the words around a word move its valence from zero, and the factor; ``earlier`` are the words before it, nearest first."""
     zero, lowered = F.lit(0.0), [F.lower(w) if rules.capitals else w for w in earlier]
 
     def loud(w: Column) -> Column:
@@ -94,6 +94,11 @@ def _adjusted(
     factor = F.when(is_negated, settings.NEGATION_FACTOR).otherwise(1.0)
     if rules.pivots:
         factor = factor * F.when(at < pivot, rules.before).when(at > pivot, rules.after).otherwise(1.0)
+    return moved, factor
+
+
+def _adjusted(valence: Column, moved: Column, factor: Column) -> Column:
+    """Valence of a word of the lexicon among its neighbours."""
     return bind(valence, lambda v: v + F.signum(v) * moved) * factor
 
 
@@ -156,7 +161,7 @@ def scores(
         def value(at: Column) -> Column:
             word = F.get(tokens, at)
             earlier = [F.get(tokens, at - back) for back in range(1, len(settings.BOOST_DECAY) + 1)]
-            return _adjusted(valence_of(lowered(word)), word, earlier, mixed, at, pivot, boost_of, turned, rules)
+            return _adjusted(valence_of(lowered(word)), *_context(word, earlier, mixed, at, pivot, boost_of, turned, rules))
 
         def of_values(values: Column) -> Column:
             sums = F.struct(
@@ -199,25 +204,20 @@ def _positions(df: DataFrame, key: str, text_column: str, rules: Rules) -> DataF
     """One row per token with the three before it, and one per text (``at`` -1) with its number of tokens and its marks."""
     text = F.coalesce(F.col(text_column), F.lit(""))
     back = [f"w{i}" for i in range(1, len(settings.BOOST_DECAY) + 1)]
-    kinds = f"struct<at:int, word:string, {', '.join(f'{b}:string' for b in back)}>"
-
-    def listed(tokens: Column) -> Column:
-        return F.transform(
-            tokens,
-            lambda w, at: F.struct(at.alias("at"), w.alias("word"), *[F.get(tokens, at - i).alias(b) for i, b in enumerate(back, 1)]).cast(kinds),
-        )
-
-    head = F.array(F.struct(F.lit(-1), *[F.lit(None).cast("string")] * (1 + len(back))).cast(kinds))
     facts = bind(
         _tokens(text, rules),
         lambda tokens: F.struct(
-            F.size(tokens).alias("n"), _is_mixed(tokens, rules).alias("mixed"), _pivot(tokens, rules).alias("pivot"),
-            F.concat(head, listed(tokens)).alias("places"),
+            F.size(tokens).alias("n"), _is_mixed(tokens, rules).alias("mixed"), _pivot(tokens, rules).alias("pivot"), tokens.alias("tokens")
         ),
     )
-    whole = df.select(F.col(key), _marks(text, rules).alias("marks"), facts.alias("facts"))
-    rows = whole.select(key, "marks", "facts.n", "facts.mixed", "facts.pivot", F.explode("facts.places").alias("place"))
-    return rows.select(key, "marks", "n", "mixed", "pivot", "place.*", F.lower("place.word").alias("token"))
+    whole = df.select(F.col(key), _marks(text, rules).alias("marks"), facts.alias("facts")).select(key, "marks", "facts.*")
+    # each list begins one place later, so the zipped ones have a place behind the last token: it stands for the text
+    none = F.lit(None).cast("string")
+    shifted = [F.concat(F.array(*[none] * i), F.col("tokens")) for i in range(1, len(back) + 1)]
+    rows = whole.select(key, "marks", "n", "mixed", "pivot", F.posexplode(F.arrays_zip("tokens", *shifted)).alias("at", "place"))
+    names = zip(["tokens", *map(str, range(1, len(back) + 1))], ["word", *back], strict=True)
+    rows = rows.where("at <= n").select(key, "marks", "n", "mixed", "pivot", F.when(F.col("at") < F.col("n"), F.col("at")).otherwise(-1).alias("at"), *[F.col("place").getField(f).alias(n) for f, n in names])
+    return rows.withColumn("token", F.lower("word"))
 
 
 def score_with_lexicon(
@@ -227,8 +227,8 @@ def score_with_lexicon(
     """(key, four scores, label) per text, by a ``lexicon`` table (token, valence) of any size.
 
     ``key`` tells the texts apart. A token that the lexicon has several times has its mean valence. Tokens
-    meet the lexicon by :func:`look_up`, so the words of every text don't gather in a few tasks; neighbours are looked at
-    for the tokens that were found. Sums are of whole units, per text on the map side first.
+    meet the lexicon by :func:`look_up`, so the words of every text don't gather in a few tasks; what neighbours do to a token
+    is two numbers before anything is shuffled. Sums are of whole units, per text on the map side first.
     """
     boosters = settings.BOOSTERS if boosters is None else boosters
     turned = list(settings.NEGATIONS if negations is None else negations)
@@ -238,11 +238,13 @@ def score_with_lexicon(
         entries = entries.where(~F.col("token").isin(list(boosters)))
     positions = _positions(df, key, text_column, rules)
     counted = df.select(F.explode(_tokens(F.col(text_column), rules)).alias("token")).select(F.lower("token").alias("token"))
-    found = look_up(positions, entries, "token", counted, always=F.col("at") < 0)
     earlier = [F.col(f"w{i}") for i in range(1, len(settings.BOOST_DECAY) + 1)]
-    value = _adjusted(F.col("valence"), F.col("word"), earlier, F.col("mixed"), F.col("at"), F.col("pivot"), dictionary(boosters), turned, rules)
-    units = F.when(F.col("at") >= 0, F.round(value / UNIT).cast("bigint"))
-    found = found.select(key, "at", "marks", "n", units.alias("v"))
+    moved, factor = _context(F.col("word"), earlier, F.col("mixed"), F.col("at"), F.col("pivot"), dictionary(boosters), turned, rules)
+    of_text = F.col("at") < 0
+    slim = [key, moved.alias("moved"), factor.alias("factor"), *[F.when(of_text, F.col(c)).alias(c) for c in ("marks", "n")]]
+    found = look_up(positions, entries, "token", counted, always=of_text, slim=slim)
+    units = F.when(F.col("n").isNull(), F.round(_adjusted(F.col("valence"), F.col("moved"), F.col("factor")) / UNIT).cast("bigint"))
+    found = found.select(key, "marks", "n", units.alias("v"))
 
     def summed(kept: Column, v: Column) -> Column:
         return F.coalesce(F.sum(F.when(kept, v)), F.lit(0)) * UNIT

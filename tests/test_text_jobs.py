@@ -288,3 +288,15 @@ def test_tfidf_counts_terms_of_frequent_words_only(spark, max_features):
     held = {r["word"] for r in terms._candidates(starts, max_features).collect()}
     least = counts[max_features - 1] if len(counts) >= max_features else 0
     assert held == {w for w in seen if seen[w] > 1 and total[w] >= least} and (max_features > 20 or len(held) < len(counts))
+
+
+@pytest.mark.parametrize("frequent", [0, 2, 100])
+def test_look_up_leaves_other_words_out_before_the_shuffle(spark, monkeypatch, frequent):
+    monkeypatch.setattr(lookup, "FREQUENT", frequent)
+    rows = spark.createDataFrame([(i, f"w{i % 7}", "long") for i in range(50)] + [(99, None, "head"), (98, "none", "long")], "i int, word string, more string")
+    entries = spark.createDataFrame([("w1", 1.0), ("w3", 3.0), ("w9", 9.0)], "word string, v double")
+    found = lookup.look_up(rows, entries, "word", always=F.col("word").isNull(), slim=["i", F.length("more").alias("n")])
+    assert found.columns == ["word", "i", "n", "v"]  # nothing else is shuffled
+    want = {(f"w{i % 7}", i, 4, float(i % 7)) for i in range(50) if i % 7 in (1, 3)} | {(None, 99, 4, None)}
+    assert {tuple(r) for r in found.collect()} == want
+    assert lookup._possible(rows, entries.select(lookup._slot("word")), "word").count() == len(want) - 1
