@@ -7,7 +7,7 @@ import re
 import zlib
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinara.functions.text import WORD_CHAR, bind
@@ -95,6 +95,16 @@ def word_stretches(lowered: Column, longest: int) -> Column:
     return bind(F.regexp_extract_all(lowered, F.lit(RUNS), F.lit(0)), of)
 
 
+def stretch_rows(df: DataFrame, lowered: Column, longest: int, *keep: str) -> DataFrame:
+    """(``keep``, stretch): the same as rows, as often as they occur. Nothing but the stretches is made of a text."""
+    runs = df.select(*keep, F.regexp_extract_all(lowered, F.lit(RUNS), F.lit(0)).alias("runs"))
+    later = [F.slice("runs", F.lit(1 + n), F.greatest(F.size("runs") - n, F.lit(0))) for n in range(2 * longest - 1)]
+    at = runs.select(*keep, F.explode(F.arrays_zip(*later)).alias("at")).where(F.col("at").getField("0").rlike(f"^[{WORD_CHAR}]"))
+    parts = [F.col("at").getField(str(n)) for n in range(2 * longest - 1)]
+    # null where the text ends before
+    return at.select(*keep, F.explode(F.array(*[F.concat(*parts[: 2 * n + 1]) for n in range(longest)])).alias("stretch")).where("stretch IS NOT NULL")
+
+
 def is_run_bound(phrase: str) -> bool:
     """Whether a phrase starts and ends with a word character, so that it covers whole words where it is found."""
     return bool(re.fullmatch(r"\w(.*\w)?", phrase, re.S))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from opinara import settings
 from opinara.functions.numbers import percent
 from opinara.functions.text import bind
-from opinara.functions.words import any_phrase, is_run_bound, phrases_found, word_stretches
+from opinara.functions.words import any_phrase, is_run_bound, phrases_found, stretch_rows
 from opinara.operators.lookup import look_up
 
 Dictionary = Mapping[str, Sequence[str]]
@@ -67,12 +67,11 @@ def mentions_by_table(
     """(key, category): the categories whose phrases a text has, by a table (category, phrase) of any size.
 
     Phrases of up to ``longest`` words that begin and end with a word are found, in any case, as :func:`categories` finds
-    them. Every stretch of so many words is looked up once per text, whatever the number of phrases.
+    them. Every stretch of so many words is looked up, whatever the number of phrases.
     """
     wanted = phrases.select(F.lower("phrase").alias("stretch"), "category").where("stretch IS NOT NULL AND category IS NOT NULL")
     wanted = wanted.groupBy("stretch").agg(F.collect_set("category").alias("categories"))
-    stretches = word_stretches(F.lower(F.col(text_column)), longest)
-    rows = df.select(F.col(key), F.explode(stretches).alias("stretch"))
+    rows = stretch_rows(df, F.lower(F.col(text_column)), longest, key)
     found = look_up(rows, wanted, "stretch")
     return found.select(key, F.explode("categories").alias("category")).distinct()
 

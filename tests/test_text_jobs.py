@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opinara import settings
-from opinara.functions.words import any_phrase
+from opinara.functions.words import any_phrase, stretch_rows, word_stretches
 from opinara.operators import complaints, lookup, sentiment, terms
 
 
@@ -300,3 +300,11 @@ def test_look_up_leaves_other_words_out_before_the_shuffle(spark, monkeypatch, f
     want = {(f"w{i % 7}", i, 4, float(i % 7)) for i in range(50) if i % 7 in (1, 3)} | {(None, 99, 4, None)}
     assert {tuple(r) for r in found.collect()} == want
     assert lookup._possible(rows, entries.select(lookup._slot("word")), "word").count() == len(want) - 1
+
+
+def test_stretches_as_rows(spark):
+    texts = ["one two, three", "", "  a--b ", "x", None, "été 2_3!"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for longest in (1, 2, 3):
+        want = df.select("i", F.explode(word_stretches(F.col("t"), longest)).alias("s"))
+        assert {tuple(r) for r in stretch_rows(df, F.col("t"), longest, "i").collect()} == {tuple(r) for r in want.collect()}
