@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opinara.llm.shared import shared_folder, utf8
+from opinara.llm.shared import shared_folder, slices, utf8
 
 #: Text bytes in a block; a longer document is a block of its own.
 BLOCK_BYTES = 8 << 20
@@ -44,19 +44,15 @@ DEPTH = 2
 SLICE_BITS, SLICE_BITS_MOST = 22, 26
 NO_ID = 2**63 - 1
 HALF = np.uint64(0xFFFFFFFF)
-WORDS_KEPT = 300_000
 _FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _MIXES = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
 
 
-class WordHashes(dict):
-    """64-bit hash of each word met; forgets all when it holds too many."""
+class WordHashes:
+    """64-bit hash of each word. None is remembered: a look-up takes longer than hashing, and the words of a block much memory."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def _mixed(x: np.ndarray, factor: int) -> np.ndarray:
@@ -79,15 +75,18 @@ def window_digests(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarra
 
 
 class Block:
-    """The windows of some documents: the digests, the document of each, and each document's words and first window."""
+    """The windows of some documents: the digests, the document of each, and each document's first window.
 
-    def __init__(self, texts: list[bytes], size: int, cache: WordHashes):
-        self.words = [t.split() for t in texts]
-        n_words = np.array([len(w) for w in self.words], np.int64)
+    Words are held for one document at a time: as objects they take several times the space of their text.
+    """
+
+    def __init__(self, texts: list[bytes], size: int, hashed: WordHashes):
+        by_text = [hashed(t.split()) for t in texts]
+        n_words = np.array([len(h) for h in by_text], np.int64)
         self.n_windows = np.maximum(n_words - size + 1, 0)
         self.first = np.concatenate(([0], np.cumsum(self.n_windows)))
         self.doc = np.repeat(np.arange(len(texts)), self.n_windows)
-        hashes = np.fromiter((cache[w] for words in self.words for w in words), np.uint64, int(n_words.sum()))
+        hashes = np.concatenate([np.zeros(0, np.uint64), *by_text])
         if len(hashes) < size:
             self.digests = (np.zeros(0, np.uint64),) * 2
             return
@@ -164,23 +163,22 @@ def _sketch(blocks: DataFrame, text_column: str, size: int, bits: int, slice_bit
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
         current, texts = None, []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            digests = Block(texts, size, cache).digests
-            slices, cells = [], []
+            digests = Block(texts, size, WordHashes()).digests
+            found, cells = [], []
             for depth in range(DEPTH):
                 cell = np.sort(digests[depth] >> np.uint64(64 - bits))
                 cell = np.concatenate((cell[:2], cell[2:][cell[2:] != cell[:-2]]))
                 which = (cell >> np.uint64(bits - slice_bits)).astype(np.int64)
                 cuts = np.flatnonzero(np.diff(which)) + 1
                 for part in np.split(cell, cuts) if len(cell) else []:
-                    slices.append(depth << slice_bits | int(part[0] >> np.uint64(bits - slice_bits)))
+                    found.append(depth << slice_bits | int(part[0] >> np.uint64(bits - slice_bits)))
                     cells.append(encode(part))
-            yield pa.record_batch([pa.array(slices, pa.int64()), pa.array([current] * len(slices), pa.int64()), pa.array(cells, pa.binary())], names=["slice", "block", "cells"])
+            yield pa.record_batch([pa.array(found, pa.int64()), pa.array([current] * len(found), pa.int64()), pa.array(cells, pa.binary())], names=["slice", "block", "cells"])
 
-        for batch in batches:
+        for batch in slices(batches, 500):
             ids = batch.column(0).to_numpy()
             all_texts = utf8(batch.column(1))
             begin = 0
@@ -275,11 +273,11 @@ def remove_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(a)) - 1 if len(first) else first
         a, b, low, high = a[first], b[first], doc[first].view(np.uint64), doc[last].view(np.uint64)
-        slices = (a >> np.uint64(64 - slice_bits)).astype(np.int64)
-        parts = np.split(np.arange(len(a)), np.flatnonzero(np.diff(slices)) + 1) if len(a) else []
+        own = (a >> np.uint64(64 - slice_bits)).astype(np.int64)
+        parts = np.split(np.arange(len(a)), np.flatnonzero(np.diff(own)) + 1) if len(a) else []
         return pa.table(
             {
-                "slice": pa.array([int(slices[p[0]]) for p in parts], pa.int64()), "block": pa.array([left["block"][0].as_py()] * len(parts), pa.int64()),
+                "slice": pa.array([int(own[p[0]]) for p in parts], pa.int64()), "block": pa.array([left["block"][0].as_py()] * len(parts), pa.int64()),
                 "a": pa.array([encode(a[p]) for p in parts], pa.binary()), "b": pa.array([pack(b[p]) for p in parts], pa.binary()),
                 "low": pa.array([pack(low[p]) for p in parts], pa.binary()), "more": pa.array([pack(high[p] - low[p]) for p in parts], pa.binary()),
             }
@@ -292,7 +290,8 @@ def remove_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     kept_type = f"row {blocks.schema['row'].dataType.simpleString()}, n_words bigint, n_removed bigint, kept string"
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
-        block = Block(utf8(_plain(left, text_column)), size, WordHashes())
+        texts = utf8(_plain(left, text_column))
+        block = Block(texts, size, WordHashes())
         copies = np.zeros(len(block.doc), bool)
         if right.num_rows and len(copies):
             a = np.concatenate([decode(x) for x in right["a"].to_pylist()])
@@ -312,7 +311,7 @@ def remove_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str =
                 at[left_over] += 1
         n_words, n_removed, kept = [], [], []
         marks = np.concatenate(([0], np.cumsum(copies)))
-        for i, words in enumerate(block.words):
+        for i, words in enumerate(map(bytes.split, texts)):
             n_words.append(len(words))
             first, end = block.first[i], block.first[i + 1]
             if marks[end] == marks[first]:

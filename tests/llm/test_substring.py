@@ -1,6 +1,7 @@
 """Substring dedup against a direct search."""
 
 import hashlib
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -86,3 +87,13 @@ def test_a_hot_passage_is_sent_twice_by_a_block(spark):
 
 def test_slices_grow_with_the_counters():
     assert [substring.slice_bits_of(b) for b in (10, 24, 30, 38, 42, 47, 60)] == [2, 2, 8, 16, 16, 21, 34]
+
+
+def test_a_block_holds_the_words_of_one_document_at_a_time():
+    """Peak and rest per word of a block of different words: its arrays of numbers, but no objects."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(1000)).encode() for i in range(200)]
+    tracemalloc.start()
+    block = substring.Block(texts, 13, substring.WordHashes())
+    left, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(block.digests[0]) == 200 * 988 and left < 40 * 200_000 and peak < 120 * 200_000
