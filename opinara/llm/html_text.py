@@ -4,15 +4,16 @@ Each page is cut into lines (blocks of text). The different line lists of a host
 the neighbour whose path shares the longer beginning with its own. The pair's lines are aligned by longest common
 subsequence; lines that both have are the site's, not the page's, and go.
 
-Differencing alone would keep menus and adverts that change from page to page and drop article lines that two pages
-share, so structure goes first: lines inside menus, headers, footers, sidebars, forms, notices, adverts and reader comments
-go whatever the neighbour has, and where a page marks its article (or main part), the article's lines stay and the lines
-around it go. Differencing decides about the lines of pages without such a mark. A class or id names such a part only if
-all its words do (``comment-list``, ``site-footer``), so an article's ``social-history`` stays.
+Every page goes through that. Differencing alone would keep menus and adverts that change from page to page and drop article
+lines that two pages share, so a check by structure follows: lines inside menus, headers, footers, sidebars, forms, notices,
+adverts and reader comments go whatever the neighbour has, and where a page marks its article (or main part), all of the
+article's lines stay and the lines around it go. On pages without such a mark differencing has the last word. A class or id
+names such a part only if all its words do (``comment-list``, ``site-footer``), so an article's ``social-history`` stays.
 
-Markup is parsed where the page is read, once, into a stored table. Only line digests are sorted, one row per host and line
-list: copies of a page share one row, and their neighbour is a page that differs. Parts of the sorted order hand their edge
-rows to each other, so results do not depend on the number of parts, and a host with a third of all pages is many tasks' work.
+Markup is parsed where the page is read, once, into a stored table of blocks of bounded bytes, bucketed by block: the
+neighbours' answers go to the texts, which don't move again. Only line digests are sorted, one row per host and line list:
+copies of a page share one row, and their neighbour is a page that differs. Parts of the sorted order hand their edge rows to
+each other, so results do not depend on the number of parts, and a host with a third of all pages is many tasks' work.
 
 Defined cases: null or empty html gives an empty text; a null URL has an empty host and path; broken and unclosed markup is
 read as far as it goes. Rows may repeat, each gets a row, and copies on one host get the same text; null ids are carried
@@ -24,6 +25,8 @@ from __future__ import annotations
 
 import os.path
 import re
+import uuid
+from collections.abc import Iterator
 from html import unescape
 
 import numpy as np
@@ -32,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from opinara.llm.shared import by_batch, stored
+from opinara.llm.shared import by_batch, shared_folder, slices, stored
 from opinara.llm.url_filter import host_of, path_of
 
 TOKEN = re.compile(
@@ -67,6 +70,10 @@ BESIDE = {
 GONE, ARTICLE, OTHER = 0, 1, 2
 #: Cells of an alignment that are held at once; longer lists are halved first.
 CELLS = 1 << 27
+#: Bytes of kept text in a block; a longer page is a block of its own.
+BLOCK_BYTES = 4 << 20
+#: Bytes of html in a bucket, up to 50,000 buckets.
+BUCKET_BYTES = 32 << 20
 
 
 def _marked(attributes: str) -> bool:
@@ -210,20 +217,34 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
     return sorted(out)
 
 
-def _parse(batch: pa.RecordBatch) -> pa.RecordBatch:
-    hashes, digests, places, texts, marked = [], [], [], [], []
-    for html in batch.column(4).to_pylist():
-        lines = lines_of(html or "")
-        keep = ARTICLE if any(kind == ARTICLE for _, kind in lines) else OTHER
-        marked.append(keep == ARTICLE)
-        hashes.append(np.array([xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) for line, _ in lines], np.uint64).view(np.int64))
-        digests.append(xxhash.xxh3_128_digest(hashes[-1].tobytes()))
-        places.append([i for i, (_, kind) in enumerate(lines) if kind == keep])
-        texts.append([line.encode("utf-8", "replace").decode() for line, kind in lines if kind == keep])
-    return pa.record_batch(
-        [*batch.columns[:4], pa.array(digests, pa.binary()), pa.array(hashes, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.string())), pa.array(marked, pa.bool_())],
-        names=["id", "url", "host", "path", "digest", "hashes", "places", "texts", "marked"],
-    )
+PARSED = (
+    "block bigint, at int, id bigint, url string, host string, path string, digest binary, hashes array<bigint>, n_lines int, places array<int>, "
+    "texts array<string>, marked boolean"
+)
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``PARSED`` from (part, id, url, host, path, html); ``at`` counts the rows of a block."""
+    held = chunk = at = 0
+    for batch in slices(batches, 500):
+        out: list[list] = [[] for _ in range(8)]
+        for part, html in zip(batch.column(0).to_pylist(), batch.column(5).to_pylist(), strict=True):
+            lines = lines_of(html or "")
+            keep = ARTICLE if any(kind == ARTICLE for _, kind in lines) else OTHER
+            hashes = np.array([xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) for line, _ in lines], np.uint64).view(np.int64)
+            texts = [line.encode("utf-8", "replace").decode() for line, kind in lines if kind == keep]
+            size = sum(map(len, texts)) + 64
+            if held and held + size > BLOCK_BYTES:
+                held, at, chunk = 0, 0, chunk + 1
+            places = [i for i, (_, kind) in enumerate(lines) if kind == keep]
+            row = (part << 32 | chunk, at, xxhash.xxh3_128_digest(hashes.tobytes()), hashes, len(lines), places, texts, keep == ARTICLE)
+            for column, value in zip(out, row, strict=True):
+                column.append(value)
+            held, at = held + size, at + 1
+        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.bool_()]
+        made = [pa.array(values, kind) for values, kind in zip(out, kinds, strict=True)]
+        names = [column.split()[0] for column in PARSED.split(", ")]
+        yield pa.record_batch([*made[:2], *batch.columns[1:5], *made[2:]], names=names)
 
 
 def _align(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -236,22 +257,24 @@ def _align(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.record_batch([batch.column("host"), batch.column("digest"), pa.array(shared, pa.list_(pa.int32()))], names=["host", "digest", "shared"])
 
 
-def _without(batch: pa.RecordBatch) -> pa.RecordBatch:
-    texts = []
-    for row in batch.select(["places", "texts", "shared"]).to_pylist():
-        shared = set(row["shared"] or ())
-        texts.append("\n".join(t for i, t in zip(row["places"], row["texts"], strict=True) if i not in shared))
-    return pa.record_batch([batch.column("id"), batch.column("url"), pa.array(texts, pa.string())], names=["id", "url", "text"])
+def _texts(left: pa.Table, right: pa.Table) -> pa.Table:
+    """The texts of a block's pages: lines that the neighbour has go, then the structure's check puts an article's back."""
+    shared = dict(zip(right["of_row"].to_pylist(), right["shared"].to_pylist(), strict=True))
+    texts, n_shared = [], []
+    for row in left.select(["at", "places", "texts", "marked"]).to_pylist():
+        gone = set(shared.get(row["at"], ()))
+        n_shared.append(len(gone))
+        texts.append("\n".join(t for i, t in zip(row["places"], row["texts"], strict=True) if row["marked"] or i not in gone))
+    return pa.table({"id": left["id"], "url": left["url"], "text": pa.array(texts, pa.string()), "n_lines": left["n_lines"].cast(pa.int64()), "n_shared": pa.array(n_shared, pa.int64())})
 
 
 def shared_lines(parsed: DataFrame, parts: int | None = None) -> DataFrame:
-    """(host, digest, shared) per line list of a host that some page without a marked article has.
+    """(host, digest, shared) per line list of a host.
 
     ``parts`` is the number of parts of the sorted order, Spark's own choice if not given.
     """
-    lists = parsed.where(F.size("hashes") > 0).groupBy("host", "digest").agg(
-        F.min(F.struct("path", "hashes")).alias("page"), F.max(~F.col("marked")).alias("needed")
-    ).select("host", "page.path", "digest", "page.hashes", "needed")
+    lists = parsed.where(F.size("hashes") > 0).groupBy("host", "digest").agg(F.min(F.struct("path", "hashes")).alias("page"))
+    lists = lists.select("host", "page.path", "digest", "page.hashes")
     keys = ["host", "path", "digest"]
     ranged = lists.repartitionByRange(parts, *keys) if parts else lists.repartitionByRange(*keys)
     lists = stored(ranged.withColumn("part", F.spark_partition_id()), "line-lists")
@@ -261,15 +284,22 @@ def shared_lines(parsed: DataFrame, parts: int | None = None) -> DataFrame:
     # two rows of each part at most
     edges = rows.where(at_edge).withColumn("before", F.coalesce("before", F.lag(page).over(edge))).withColumn("after", F.coalesce("after", F.lead(page).over(edge)))
     own = [F.when(F.col(f"{side}.host") == F.col("host"), F.col(side)).alias(side) for side in ("before", "after")]
-    pairs = rows.where(~at_edge).unionByName(edges).where("needed").select(*keys, "hashes", *own)
+    pairs = rows.where(~at_edge).unionByName(edges).select(*keys, "hashes", *own)
     return pairs.mapInArrow(by_batch(_align), "host string, digest binary, shared array<int>")
 
 
 def main_texts(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", parts: int | None = None) -> DataFrame:
-    """(id, url, text) per row of ``pages``."""
+    """(id, url, text, n_lines, n_shared) per row of ``pages``: its main text, its lines, and how many of them its neighbour has too."""
+    spark, html = pages.sparkSession, F.col(html_column).cast("string")
     url = F.coalesce(F.col(url_column).cast("string"), F.lit(""))
-    rows = pages.select(F.col(id_column).cast("bigint").alias("id"), F.col(url_column).cast("string").alias("url"), host_of(url).alias("host"), path_of(url).alias("path"), F.col(html_column).cast("string").alias("html"))
-    parsed = stored(rows.mapInArrow(by_batch(_parse), "id bigint, url string, host string, path string, digest binary, hashes array<bigint>, places array<int>, texts array<string>, marked boolean"), "page-lines")
-    marked = parsed.where("marked").select("id", "url", F.array_join("texts", "\n").alias("text"))
-    unmarked = parsed.where("NOT marked").select("id", "url", "host", "digest", "places", "texts").join(shared_lines(parsed, parts), ["host", "digest"], "left")
-    return marked.unionByName(unmarked.mapInArrow(by_batch(_without), "id bigint, url string, text string"))
+    rows = pages.select(F.spark_partition_id().cast("bigint").alias("part"), F.col(id_column).cast("bigint").alias("id"), F.col(url_column).cast("string").alias("url"), host_of(url).alias("host"), path_of(url).alias("path"), html.alias("html"))
+    total = pages.agg(F.sum(F.octet_length(html))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(50_000, total // BUCKET_BYTES + 1))
+    name = f"page_lines_{uuid.uuid4().hex}"
+    writer = rows.mapInArrow(_parse, PARSED).write.format("parquet").option("compression", "zstd").option("path", f"{shared_folder(spark)}/{name}")
+    writer.bucketBy(buckets, "block").sortBy("block").saveAsTable(name)
+    parsed = spark.table(name)
+    found = parsed.select("block", "at", "host", "digest").join(shared_lines(parsed, parts).where(F.size("shared") > 0), ["host", "digest"])
+    found = found.select(F.col("block").alias("of_block"), F.col("at").alias("of_row"), "shared")
+    blocks = parsed.select("block", "at", "id", "url", "n_lines", "places", "texts", "marked")
+    return blocks.groupBy("block").cogroup(found.groupBy("of_block")).applyInArrow(_texts, "id bigint, url string, text string, n_lines bigint, n_shared bigint")

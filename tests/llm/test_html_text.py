@@ -88,3 +88,14 @@ def test_query(spark, write_tables):
     rows = [(i, f"http://h.net/{i}", h) for i, (h, _) in enumerate(CASES[:6])]
     out = queries.op4_page_text(spark, write_tables(pages=frame(spark, rows))).collect()
     assert {(r.page_id, r.url, r.text, r.n_chars) for r in out} == {(i, f"http://h.net/{i}", t, len(t)) for i, (_, t) in enumerate(CASES[:6])}
+
+
+def test_pages_with_an_article_are_differenced(spark, write_tables, monkeypatch):
+    """Every page meets its neighbour; of a marked page the check by structure puts back what both articles say."""
+    monkeypatch.setattr(html_text, "BLOCK_BYTES", 200)
+    marked = "<div>Site</div><nav>menu</nav><article><p>text {0}</p><p>Both say this.</p></article><div>by {0}</div>"
+    rows = [(i, f"http://a.net/{i:02}", marked.format(i)) for i in range(20)] + [(None, "http://a.net/00", marked.format(0)), (99, "http://b.net/", marked.format(99))]
+    rows += [(i, f"http://c.net/{i}", f"<div>Site</div><p>text {i}</p>") for i in (50, 51)]
+    out = queries.op4_page_text(spark, write_tables(pages=frame(spark, rows).repartition(3))).collect()
+    want = {(i, f"text {i or 0}\nBoth say this.", 5, 0 if i == 99 else 3) for i in [*range(20), None, 99]} | {(i, f"text {i}", 2, 1) for i in (50, 51)}
+    assert len(out) == len(rows) and {(r.page_id, r.text, r.n_lines, r.n_shared) for r in out} == want
